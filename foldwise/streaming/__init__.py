@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+The reference study has no stream source, watermark, stream window or stateful
+operator; its one "online" name means continued batch training (see
+``foldwise.models.boosting``).  This package stays empty on purpose.
+"""
