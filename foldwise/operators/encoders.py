@@ -213,7 +213,7 @@ class FoldState:
     features: list
     encodings: dict = field(default_factory=dict)   # col -> (enc, gmean)
     scale: DataFrame | None = None                  # one row per heldout
-    target: DataFrame | None = None                 # heldout, y__min, y__max
+    target: DataFrame | None = None                 # heldout, target__min, target__max
     age_range: DataFrame | None = None
 
 
@@ -251,8 +251,8 @@ class FoldPreprocessor:
             stats_long = stats_long.unionByName(p)
         st.scale = wide_stats(stats_long, scaled)
         tstats = fold_fit_stats(df, [self.target], self.k, self.fold)
-        st.target = tstats.select("heldout", F.col("min").alias("y__min"),
-                                  F.col("max").alias("y__max"))
+        st.target = tstats.select("heldout", F.col("min").alias("target__min"),
+                                  F.col("max").alias("target__max"))
         if self.age_bins and "age" in df.columns:
             st.age_range = fold_fit_stats(df, ["age"], self.k, self.fold).select(
                 "heldout", F.col("min").alias("age__lo"), F.col("max").alias("age__hi"))
@@ -276,7 +276,6 @@ class FoldPreprocessor:
             else:
                 lo, hi = F.col("age__lo"), F.col("age__hi")
             out = out.withColumn("age_bin", equal_width_codes(F.col("age"), lo, hi).cast("double"))
-        raw_age = F.col("age")
         repl = {}
         for c in self.minmax_cols:
             if c in st.features:
@@ -284,14 +283,13 @@ class FoldPreprocessor:
         for c in self.zscore_cols:
             if c in st.features:
                 repl[c] = zscore_expr(c)
-        span = F.col("y__max") - F.col("y__min")
-        repl["label"] = (F.col(self.target) - F.col("y__min")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
-        del raw_age
+        span = F.col("target__max") - F.col("target__min")
+        repl["label"] = (F.col(self.target) - F.col("target__min")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
         out = out.withColumns(repl)
         feats = list(st.features) + (["age_bin"] if st.age_range is not None else [])
         keep = [c for c in df.columns if c not in self.base_features]
         return out.select(*keep, "heldout", "split", *[F.col(c).cast("double") for c in feats],
-                          "label", "y__min", "y__max")
+                          "label", "target__min", "target__max")
 
     def feature_names(self, st: FoldState) -> list[str]:
         return list(st.features) + (["age_bin"] if st.age_range is not None else [])
