@@ -128,3 +128,28 @@ def target_step(pred: str, target: str, lr: float, loss: str = "mse") -> Column:
     """``H - lr * gradient`` (the next layer target)."""
     return F.zip_with(F.col(pred), loss_gradient(pred, target, loss),
                       lambda a, g: a - F.lit(lr) * g)
+
+
+# Fixed feature counts of the location-encoding variants (after the variant's drops).
+VARIANT_FEATURES = {"cat": 14, "tgt": 17, "coord_only": 15, "tgt_only": 14}
+
+
+def n_features_table(spark) -> DataFrame:
+    return spark.createDataFrame(list(VARIANT_FEATURES.items()), "variant string, n_features int")
+
+
+def fold_split_metrics(expanded: DataFrame, by, y: str = "y", p: str = "pred",
+                       n_features: str = "n_features") -> DataFrame:
+    """A11 over a fold-expanded frame: metrics per (by..., heldout, split).
+
+    ``n_features`` names a column that is constant within each group.
+    """
+    keys = [*by, "heldout", "split"]
+    agg = expanded.groupBy(*keys).agg(*metric_aggs(y, p), F.first(n_features).alias("_p"))
+    return finish_metrics(agg, F.col("_p")).drop("_p")
+
+
+def cv_summary(fold_metrics: DataFrame, keys, std: str = "pop") -> DataFrame:
+    """Long (keys..., split, metric, value = mean over folds, std)."""
+    long = to_long(fold_metrics, [*keys, "heldout", "split"])
+    return fold_summary(long, [*keys, "split"], std)
