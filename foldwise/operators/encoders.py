@@ -82,12 +82,12 @@ def apply_encoding(df: DataFrame, col: str, enc: DataFrame, gmean: DataFrame,
                    out: str | None = None) -> DataFrame:
     """Left lookup join on (heldout, category); unseen or missing -> global mean."""
     out = out or col
-    e = enc.withColumnRenamed(col, "_cat")
-    j = (df.join(e, (df["heldout"] == e["heldout"]) & (df[col] == e["_cat"]), "left")
-           .drop(e["heldout"]).drop("_cat")
-           .join(F.broadcast(gmean), "heldout", "left"))
-    return (j.withColumn(out, F.coalesce(F.col("enc"), F.col("global_mean")))
-             .drop("enc", "global_mean"))
+    e = enc.select(F.col("heldout").alias("_eh"), F.col(col).alias("_cat"), F.col("enc").alias("_enc"))
+    g = gmean.select(F.col("heldout").alias("_gh"), F.col("global_mean").alias("_gm"))
+    j = (df.join(e, (F.col("heldout") == F.col("_eh")) & (F.col(col) == F.col("_cat")), "left")
+           .join(F.broadcast(g), F.col("heldout") == F.col("_gh"), "left"))
+    return (j.withColumn(out, F.coalesce(F.col("_enc"), F.col("_gm")))
+             .drop("_eh", "_cat", "_enc", "_gh", "_gm"))
 
 
 # ---------------------------------------------------------------- A21 partials
@@ -256,6 +256,17 @@ class FoldPreprocessor:
         if self.age_bins and "age" in df.columns:
             st.age_range = fold_fit_stats(df, ["age"], self.k, self.fold).select(
                 "heldout", F.col("min").alias("age__lo"), F.col("max").alias("age__hi"))
+        return self._materialize(st)
+
+    @staticmethod
+    def _materialize(st: FoldState) -> FoldState:
+        """Write the small fitted tables once (k rows, or k x categories), so
+        every pass of a model fit reads them instead of re-aggregating the data."""
+        st.encodings = {c: (e.checkpoint(), g.checkpoint()) for c, (e, g) in st.encodings.items()}
+        st.scale = st.scale.checkpoint()
+        st.target = st.target.checkpoint()
+        if st.age_range is not None:
+            st.age_range = st.age_range.checkpoint()
         return st
 
     def transform(self, df: DataFrame, st: FoldState, heldout: int | None = None) -> DataFrame:

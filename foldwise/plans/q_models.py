@@ -1 +1,128 @@
-"""Queries (filled in below)."""
+"""Queries: model fits on the engineered sales frame.
+
+Model outputs have no SQL oracle (the driver records a rows-only check);
+their behaviour is covered by planted-signal tests in ``tests/``.  Their
+metric step is the same code as the oracle-checked A11/A13 queries.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from foldwise.models import trees as TR
+from foldwise.models.boosting import BoostedStages
+from foldwise.operators import encoders as EN
+from foldwise.operators import features as FE
+from foldwise.operators import metrics as ME
+from foldwise.operators import splits as SP
+from foldwise.plans import cv as CV
+from foldwise.plans.q_splits_encoders import folded
+from foldwise.plans.registry import register
+from foldwise.sources import io as IO
+from foldwise.sources.tables import sales
+
+
+def _r(c, d=6):
+    return F.round(F.col(c) if isinstance(c, str) else c, d)
+
+
+def _summary(s):
+    return s.select("model", "variant", "split", "metric", _r("value", 4).alias("value"),
+                    _r("std", 4).alias("std"))
+
+
+@register("m1_l2_tree_cv")
+def m1_l2_tree_cv(spark, sf_dir):
+    """M1 + L2: 5-fold CV of a depth-6 regression tree on the tgt variant; mean and std per metric."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "dt", "tgt", 5)
+    return _summary(s)
+
+
+@register("m2_l2_forest_cv")
+def m2_l2_forest_cv(spark, sf_dir):
+    """M2 + L2: 5-fold CV of a 100-tree forest (all features per split, leaf >= 2) on coord_only."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "rf", "coord_only", 5,
+                                params={"max_depth": 12})
+    return _summary(s)
+
+
+@register("m3_l2_boost_cv")
+def m3_l2_boost_cv(spark, sf_dir):
+    """M3 + L2: 5-fold CV of staged boosting (20 rounds, depth 3, step 0.1) on tgt_only."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "boost", "tgt_only", 5,
+                                params={"rounds": 20, "max_depth": 3, "step": 0.1})
+    return _summary(s)
+
+
+@register("l3_stack_tree_cv")
+def l3_stack_tree_cv(spark, sf_dir):
+    """L3: price model + price-per-area model per fold, blend weight searched on
+    train predictions, metrics of the blend (ensemble_dt on cat)."""
+    _, _, s, _ = CV.cross_validate_stack(folded(spark, sf_dir), "dt", "cat", 5)
+    return _summary(s)
+
+
+@register("m4_gbt_holdout")
+def m4_gbt_holdout(spark, sf_dir):
+    """M4: one-shot boosted trees (Spark GBT, 50 rounds, depth 5) fitted on
+    fold != 0 rows of the cat variant, metrics on both splits."""
+    f = folded(spark, sf_dir)
+    fp = EN.FoldPreprocessor(5, "cat")
+    st = fp.fit(f)
+    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
+        fp.transform(f, st, 0))
+    model = TR.boosted_trees(rounds=50, step=0.1, max_depth=5).fit(fr.where(F.col("split") == "train"))
+    pred = model.transform(fr).withColumn(
+        "pred", EN.invert_minmax(F.col("prediction"), F.col("target__min"), F.col("target__max")))
+    m = ME.regression_metrics(pred, ["split"], "price", "pred", 14)
+    return m.select("split", "n", _r("RMSE", 2).alias("RMSE"), _r("R2", 6).alias("R2"))
+
+
+@register("m12_boost_with_noise_init")
+def m12_boost_with_noise_init(spark, sf_dir):
+    """M12 + M3 continued: 1 initial round on N(0,1) noise, then 10 rounds toward
+    the label, then 5 more rounds added by a second call; train/test RMSE."""
+    f = folded(spark, sf_dir)
+    fp = EN.FoldPreprocessor(5, "tgt")
+    st = fp.fit(f)
+    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
+        fp.transform(f, st, 1)).checkpoint()
+    train = fr.where(F.col("split") == "train")
+    b = BoostedStages(step=0.3, max_depth=3).fit(train, "label", rounds=10, init_rounds=1)
+    b.fit_increment(train, "label", 5)
+    pred = b.predict(fr, "ps").withColumn(
+        "pred", EN.invert_minmax(F.col("ps"), F.col("target__min"), F.col("target__max")))
+    m = ME.regression_metrics(pred, ["split"], "price", "pred", 17)
+    return m.select("split", "n", _r("RMSE", 2).alias("RMSE"), F.lit(len(b.trees)).alias("n_trees"))
+
+
+@register("s11_model_roundtrip")
+def s11_model_roundtrip(spark, sf_dir):
+    """Save a fitted tree per fold and load it back; rows where the loaded
+    model's prediction differs from the fitted one (expected: none)."""
+    f = folded(spark, sf_dir)
+    fp = EN.FoldPreprocessor(5, "tgt")
+    st = fp.fit(f)
+    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
+        fp.transform(f, st, 2))
+    model = TR.decision_tree().fit(fr.where(F.col("split") == "train"))
+    path = IO.scratch_path(spark, "model")
+    TR.save_model(model, path)
+    back = TR.load_model("DecisionTreeRegressionModel", path)
+    a = model.transform(fr).select("row_id", F.col("prediction").alias("p1"))
+    b = back.transform(fr).select("row_id", F.col("prediction").alias("p2"))
+    j = a.join(b, "row_id")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") != F.col("p2")).alias("n_diff"))
+
+
+@register("l6_map_table")
+def l6_map_table(spark, sf_dir):
+    """L6 + J2 + P14: fit on all rows, attach predictions to coordinates by key,
+    z-score against the actual and clip to +-3."""
+    raw = sales(spark, sf_dir)
+    eng = FE.engineer(raw).checkpoint()
+    t = CV.map_table(eng, raw, "dt", "tgt")
+    return t.select("row_id", "lat", "long", "actual", _r("pred", 2).alias("pred"),
+                    _r("value_zscore", 6).alias("value_zscore"),
+                    _r("value_zscore_clipped", 6).alias("value_zscore_clipped"))
