@@ -15,11 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.models import trees as TR
 from foldwise.models.boosting import BoostedStages
+from foldwise.models.neural import MLPConfig, SparkMLP
 from foldwise.operators import blend as BL
 from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
@@ -48,7 +50,7 @@ def _estimator(model: str, label: str = "label", **kw):
 
 
 class _Fitted:
-    """Uniform predict() over Spark ML models and BoostedStages."""
+    """Uniform predict() over Spark ML models, BoostedStages and SparkMLP."""
 
     def __init__(self, model):
         self.model = model
@@ -56,6 +58,10 @@ class _Fitted:
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         if isinstance(self.model, BoostedStages):
             return self.model.predict(df, out)
+        if isinstance(self.model, SparkMLP):
+            arr = df.withColumn("_xarr", vector_to_array("features"))
+            return self.model.predict(arr, "_xarr", "_mlp_out").withColumn(
+                out, F.col("_mlp_out")[0]).drop("_xarr", "_mlp_out")
         m = self.model.copy()
         m.setPredictionCol(out)
         return m.transform(df)
@@ -66,6 +72,11 @@ def fit_model(model: str, train: DataFrame, label: str = "label", params: dict |
     if model == "boost":
         rounds = params.pop("rounds", 20)
         return _Fitted(BoostedStages(**params).fit(train, label, rounds))
+    if model == "mlp":
+        n_in = len(train.select("features").first()[0])
+        net = SparkMLP(MLPConfig(input_dim=n_in, **params))
+        arr = train.withColumn("_xarr", vector_to_array("features"))
+        return _Fitted(net.fit(arr, "_xarr", label, key="row_id"))
     return _Fitted(_estimator(model, label, **params).fit(train))
 
 

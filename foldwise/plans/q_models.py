@@ -126,3 +126,120 @@ def l6_map_table(spark, sf_dir):
     return t.select("row_id", "lat", "long", "actual", _r("pred", 2).alias("pred"),
                     _r("value_zscore", 6).alias("value_zscore"),
                     _r("value_zscore_clipped", 6).alias("value_zscore_clipped"))
+
+
+# ------------------------------------------------------------------ neural and layered models
+
+@register("m6_l2_mlp_cv")
+def m6_l2_mlp_cv(spark, sf_dir):
+    """M6 + L2: 5-fold CV of the [32, 32] batch-norm MLP (Adam, lr 0.01, 20 full-batch
+    epochs, early stopping on a 10 % hold-out with patience 5) on tgt_only."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "mlp", "tgt_only", 5,
+                                params={"epochs": 20, "lr": 0.01, "patience": 5})
+    return _summary(s)
+
+
+def _emb_xy(spark, sf_dir, n_in=16):
+    from foldwise.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    return e.select(F.col("vec_id").cast("string").alias("row_id"),
+                    F.slice(F.col("embedding").cast("array<double>"), 1, n_in).alias("x"),
+                    F.array(F.col("label").cast("double")).alias("y"),
+                    F.col("label").cast("int").alias("cls"))
+
+
+@register("m7_m9_linear_layer")
+def m7_m9_linear_layer(spark, sf_dir):
+    """M7 + M9: linear layer (16 -> 10 logits, cross-entropy, Adam) trained by
+    one step per call for 15 calls; per-step loss, then the mean input-gradient
+    norm of the fitted layer (back-propagation target)."""
+    from foldwise.models.neural import LinearLayer
+    df = _emb_xy(spark, sf_dir).withColumn("yc", F.array(F.col("cls").cast("double"))).cache()
+    layer = LinearLayer(16, 10, lr=0.05, loss="ce", optimizer="Adam")
+    hist = []
+    for step in range(1, 16):
+        layer.fit(df, "x", "yc")
+        hist.append((step, float(layer.last_loss)))
+    g = layer.input_gradient(df, "x", "yc", "g").select(
+        F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, v: a + v * v)).alias("gn"))
+    gn = g.agg(F.avg("gn").alias("mean_grad_norm"))
+    h = spark.createDataFrame(hist, "step int, loss double")
+    return h.crossJoin(gn)
+
+
+@register("m11_layered_net")
+def m11_layered_net(spark, sf_dir):
+    """M8 + M11: two target-propagation layers (16 -> 3 -> 1), random-target
+    init, 2 epochs of inverse and forward fits; loss per epoch on train and test."""
+    from foldwise.models.layered import LayeredBoostedNet
+    from foldwise.functions.scalar import hash_fraction
+    df = _emb_xy(spark, sf_dir).withColumn("is_test", hash_fraction(42, "row_id") < 0.2)
+    train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
+    net = LayeredBoostedNet("mse", target_lr=0.5, epsilon=0.1)
+    net.add_layer("tp_layer", 16, 3, rounds=2, step=0.3)
+    net.add_layer("tp_layer", 3, 1, rounds=2, step=0.3)
+    net.init(train, "x", rounds=1)
+    net.fit(train, "x", "y", epochs=2, eval_sets=[test])
+    return spark.createDataFrame([(r["epoch"], float(r["train_loss"]), float(r["eval0_loss"]))
+                                  for r in net.history], "epoch int, train_loss double, test_loss double")
+
+
+@register("m13_autoencoder")
+def m13_autoencoder(spark, sf_dir):
+    """Boosted autoencoder 8 -> 3 -> 8 (target = the input), one epoch;
+    reconstruction MSE before and after, and the hidden codes' width."""
+    from foldwise.models.layered import autoencoder
+    from foldwise.operators.metrics import mean_loss
+    df = _emb_xy(spark, sf_dir, 8)
+    net = autoencoder(8, 3, rounds=2, target_lr=0.5, epsilon=0.1)
+    before = mean_loss(df.withColumn("z", F.array_repeat(F.lit(0.0), 8)), "z", "x").first()[0]
+    net.fit(df, "x", "x", epochs=1)
+    h = net.hiddens(df, "x")
+    after = mean_loss(h, "h2", "x").first()[0]
+    width = h.select(F.max(F.size("h1"))).first()[0]
+    return spark.createDataFrame([(float(before), float(after), int(width))],
+                                 "mse_zero double, mse_after double, hidden_width int")
+
+
+@register("e12_pca_2d")
+def e12_pca_2d(spark, sf_dir):
+    """2-D principal-component projection of the centered embeddings."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from foldwise.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    centered = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(e).transform(e)
+    p = PCA(k=2, inputCol="c", outputCol="pc").fit(centered).transform(centered)
+    a = vector_to_array("pc")
+    return p.select("vec_id", a[0].alias("pc1"), a[1].alias("pc2"))
+
+
+@register("l9_model_comparison")
+def l9_model_comparison(spark, sf_dir):
+    """L9 + U2 + A18: boosted trees (M4), a linear layer (M7) and a one-layer
+    boosted net (M11) on the same split; predictions stacked as (model, pred, y)
+    and MAE by model, ascending."""
+    from pyspark.ml.functions import array_to_vector
+    from foldwise.functions.scalar import hash_fraction
+    from foldwise.models.layered import LayeredBoostedNet
+    from foldwise.models.neural import LinearLayer
+    df = _emb_xy(spark, sf_dir).withColumn("is_test", hash_fraction(7, "row_id") < 0.2) \
+        .withColumn("features", array_to_vector("x")).withColumn("label", F.col("y")[0]).cache()
+    train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
+    gbt = TR.boosted_trees(rounds=20, step=0.1, max_depth=5).fit(train)
+    p1 = gbt.transform(test).select(F.lit("gbt").alias("model"), F.col("prediction").alias("pred"),
+                                    F.col("label").alias("y"))
+    lin = LinearLayer(16, 1, lr=0.05, loss="mse", optimizer="Adam")
+    for _ in range(20):
+        lin.fit(train, "x", "y")
+    p2 = lin.predict(test, "x", "_o").select(F.lit("linear").alias("model"), F.col("_o")[0].alias("pred"),
+                                             F.col("label").alias("y"))
+    net = LayeredBoostedNet("mse", target_lr=0.5)
+    net.add_layer("tp_layer", 16, 1, rounds=3, step=0.3)
+    net.fit(train, "x", "y", epochs=2)
+    p3 = net.forward(test, "x", "_o").select(F.lit("layered_1").alias("model"), F.col("_o")[0].alias("pred"),
+                                             F.col("y")[0].alias("y"))
+    st = p1.unionByName(p2).unionByName(p3)
+    m = st.groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("MAE"))
+    return m.select("model", _r("MAE", 6).alias("MAE")).orderBy("MAE")
