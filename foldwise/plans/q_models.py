@@ -41,7 +41,8 @@ def m1_l2_tree_cv(spark, sf_dir):
 
 @register("m2_l2_forest_cv")
 def m2_l2_forest_cv(spark, sf_dir):
-    """M2 + L2: 5-fold CV of a 100-tree forest (all features per split, leaf >= 2) on coord_only."""
+    """M2 + L2: 5-fold CV of a 100-tree forest (all features per split, leaf >= 2,
+    depth 12) on coord_only."""
     _, _, s = CV.cross_validate(folded(spark, sf_dir), "rf", "coord_only", 5,
                                 params={"max_depth": 12})
     return _summary(s)
@@ -243,3 +244,16 @@ def l9_model_comparison(spark, sf_dir):
     st = p1.unionByName(p2).unionByName(p3)
     m = st.groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("MAE"))
     return m.select("model", _r("MAE", 6).alias("MAE")).orderBy("MAE")
+
+
+@register("l5_fold_evaluation")
+def l5_fold_evaluation(spark, sf_dir):
+    """L5 + S6 + S11: fold-level evaluation of the tree model on cat: per fold and
+    split the five metrics, n_features and the fit seconds; models saved per fold."""
+    save = IO.scratch_path(spark, "fold-models")
+    _, fm, _ = CV.cross_validate(folded(spark, sf_dir), "dt", "cat", 5, save_dir=save)
+    return fm.select("model", "variant", "heldout", "split", "n", "n_features",
+                     F.col("fit_seconds").cast("double").alias("fit_seconds"),
+                     _r("RMSE", 2).alias("RMSE"), _r("MAE", 2).alias("MAE"),
+                     _r("MAPE", 4).alias("MAPE"), _r("R2", 6).alias("R2"),
+                     _r("Adjusted_R2", 6).alias("Adjusted_R2"))

@@ -315,3 +315,28 @@ def e10_standardize_full(spark, sf_dir):
     out = EN.standardize_full(df, ["sqft_living", "log_sqft_lot"])
     return out.select("row_id", _r("sqft_living").alias("sqft_living"),
                       _r("log_sqft_lot").alias("log_sqft_lot"))
+
+
+@register("p9_features_label", "WITH " + FOLDED + """
+SELECT row_id, price AS label, 17 AS n_features,
+       round(bedrooms + bathrooms + sqft_living + floors + waterfront + view + condition + sqft_above
+             + sqft_basement + city + x + y + z + zipcode + log_sqft_lot + was_renovated + age, 4) AS feature_sum
+FROM engineered""")
+def p9_features_label(spark, sf_dir):
+    """Separate the target (label) from the 17 features assembled into one vector."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    eng = FE.engineer(sales(spark, sf_dir))
+    v = VectorAssembler(inputCols=list(EN.BASE_FEATURES), outputCol="features").transform(eng)
+    arr = vector_to_array("features")
+    return v.select("row_id", F.col("price").alias("label"), F.size(arr).alias("n_features"),
+                    _r(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 4).alias("feature_sum"))
+
+
+@register("u3_split_rows", "WITH " + FOLDED + """
+SELECT heldout, split, count(*) AS n, round(sum(price), 2) AS price_sum FROM expanded GROUP BY heldout, split""")
+def u3_split_rows(spark, sf_dir):
+    """Train and validation rows of every held-out fold in one frame (split column, no union)."""
+    ex = EN.expand_folds(folded(spark, sf_dir), K)
+    return ex.groupBy("heldout", "split").agg(F.count(F.lit(1)).alias("n"),
+                                              _r(F.sum("price"), 2).alias("price_sum"))
