@@ -64,8 +64,10 @@ def oof_target_encoding(df: DataFrame, col: str, target: str, k: int,
     ``gmean(heldout, global_mean)`` (default for unseen / missing categories).
     """
     spark = df.sparkSession
+    # one pass over the data; the k x categories partials are written once so
+    # every derived table (per-fold encodings, global means) reads them
     part = df.groupBy(F.col(fold).alias("_f"), F.col(col)).agg(
-        F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n"))
+        F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n")).checkpoint()
     h = F.broadcast(heldouts(spark, k))
     others = part.crossJoin(h).where(F.col("_f") != F.col("heldout"))
     gmean = others.groupBy("heldout").agg(
@@ -118,7 +120,7 @@ def fold_fit_stats(df: DataFrame, cols, k: int, fold: str = "fold") -> DataFrame
     part = long.groupBy("_f", "column").agg(
         F.count("v").alias("_n"), F.avg("v").alias("_mean"),
         (F.var_pop("v") * F.count("v")).alias("_m2"), F.min("v").alias("_min"),
-        F.max("v").alias("_max"))
+        F.max("v").alias("_max")).checkpoint()   # k x columns rows, read twice below
     return _moments_by_heldout(part, k, ["column"])
 
 
@@ -128,7 +130,7 @@ def encoded_fit_stats(df: DataFrame, col: str, enc: DataFrame, k: int,
     (fold, category) count table: within a (fold, category) cell the encoded
     value is constant, so n, mean, m2, min, max are exact."""
     part = df.groupBy(F.col(fold).alias("_f"), F.col(col).alias("_cat")).agg(
-        F.count(F.lit(1)).alias("_cnt"))
+        F.count(F.lit(1)).alias("_cnt")).checkpoint()
     h = heldouts(df.sparkSession, k)
     cells = part.crossJoin(F.broadcast(h)).where(F.col("_f") != F.col("heldout"))
     e = enc.withColumnRenamed(col, "_cat")

@@ -29,13 +29,15 @@ def _rmet(df, cols=MET, d=6):
 # ------------------------------------------------------------------ the metric step of the CV study
 
 def scored_folds(spark, sf_dir):
-    return SP.assign_folds(scored(spark, sf_dir), K, 42)
+    """Scored rows with their fold, materialized once: the weight fit and the
+    fold-expanded metric pass both read it (one scan of the inputs)."""
+    return SP.assign_folds(scored(spark, sf_dir), K, 42).checkpoint()
 
 
 def blend_weights(sf):
     """A12 per (model, variant, heldout): grid weight fitted on the train rows
     of each held-out fold, from per-fold sufficient statistics."""
-    st = BL.blend_sufficient_stats(sf, ["model", "variant", "fold"])
+    st = BL.blend_sufficient_stats(sf, ["model", "variant", "fold"]).checkpoint()
     h = EN.heldouts(sf.sparkSession, K)
     others = st.crossJoin(F.broadcast(h)).where(F.col("fold") != F.col("heldout"))
     comb = others.groupBy("model", "variant", "heldout").agg(
