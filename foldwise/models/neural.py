@@ -301,11 +301,15 @@ class LinearLayer:
     ``input_gradient`` gives d(summed loss)/d(input) per row (M9)."""
 
     def __init__(self, input_size: int, output_size: int, lr: float = 0.1, loss: str = "mse",
-                 optimizer: str = "SGD", activation: str | None = None, bias: bool = True, seed: int = 0):
+                 optimizer: str = "SGD", activation: str | None = None, bias: bool = True, seed: int = 0,
+                 init: str = "uniform"):
         rng = np.random.default_rng(seed)
         lim = 1.0 / np.sqrt(input_size)
-        self.W = rng.uniform(-lim, lim, (input_size, output_size))
-        self.b = rng.uniform(-lim, lim, output_size) if bias else np.zeros(output_size)
+        if init == "zeros":
+            self.W, self.b = np.zeros((input_size, output_size)), np.zeros(output_size)
+        else:
+            self.W = rng.uniform(-lim, lim, (input_size, output_size))
+            self.b = rng.uniform(-lim, lim, output_size) if bias else np.zeros(output_size)
         self.bias, self.loss, self.activation = bias, loss, activation
         self.opt = _Optimizer(optimizer, lr)
         self.input_size, self.output_size = input_size, output_size
