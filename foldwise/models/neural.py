@@ -92,6 +92,18 @@ def _backward(params, cfg, cache, h_last, dout):
     return grads
 
 
+def _reduce_vectors(rows: DataFrame) -> np.ndarray:
+    """Element-wise sum of the per-partition vectors in column ``v``, done by
+    Spark (partial sums per map task, one row per element after the shuffle);
+    only the summed vector reaches the driver."""
+    out = (rows.select(F.posexplode("v").alias("i", "x"))
+               .groupBy("i").agg(F.sum("x").alias("s")).collect())
+    vec = np.zeros(len(out))
+    for r in out:
+        vec[r.i] = r.s
+    return vec
+
+
 def _flatten(d, names):
     return np.concatenate([np.asarray(d[k], dtype=np.float64).ravel() for k in names])
 
@@ -179,8 +191,12 @@ class SparkMLP:
         params, names, kcfg = {k: v.copy() for k, v in self.params.items()}, self.names, self._kcfg()
         n_hidden = len(kcfg["hidden"])
         seed = self.cfg.seed
+        n_bn = 2 * sum(kcfg["hidden"]) if kcfg["batch_norm"] else 0
+        n_par = sum(v.size for v in params.values())
 
         def run(it):
+            # one vector per partition: [n, sse, gradient sums..., n * batch-norm stats...]
+            acc = np.zeros(2 + n_par + n_bn)
             for pdf in it:
                 if len(pdf) == 0:
                     continue
@@ -190,21 +206,20 @@ class SparkMLP:
                 out, h_last, cache = _forward(params, x, kcfg, True, rng=rng)
                 diff = out - y
                 g = _backward(params, kcfg, cache, h_last, 2.0 * diff / y.shape[1])
-                stats = []
-                for i in range(n_hidden):
-                    if kcfg["batch_norm"]:
+                acc[0] += len(pdf)
+                acc[1] += float((diff ** 2).sum())
+                acc[2:2 + n_par] += _flatten(g, names)
+                if n_bn:
+                    stats = []
+                    for i in range(n_hidden):
                         stats += [cache[i]["mu"], cache[i]["var"]]
-                yield pd.DataFrame({"n": [len(pdf)], "sse": [float((diff ** 2).sum())],
-                                    "g": [_flatten(g, names).tolist()],
-                                    "bn": [np.concatenate(stats).tolist() if stats else []]})
-
-        schema = "n long, sse double, g array<double>, bn array<double>"
-        rows = df.select("_key", feats, label).mapInPandas(run, schema).collect()
-        n = sum(r.n for r in rows)
-        gsum = np.sum([np.asarray(r.g) for r in rows], axis=0)
-        bn = np.average([np.asarray(r.bn) for r in rows], axis=0, weights=[r.n for r in rows]) \
-            if kcfg["batch_norm"] else None
-        return n, sum(r.sse for r in rows), gsum, bn
+                    acc[2 + n_par:] += len(pdf) * np.concatenate(stats)
+            yield pd.DataFrame({"v": [acc.tolist()]})
+
+        vec = _reduce_vectors(df.select("_key", feats, label).mapInPandas(run, "v array<double>"))
+        n = int(vec[0])
+        bn = vec[2 + n_par:] / max(n, 1) if n_bn else None
+        return n, float(vec[1]), vec[2:2 + n_par], bn
 
     def _unflatten(self, vec):
         out, pos = {}, 0
@@ -354,7 +369,7 @@ class LinearLayer:
 
         def run(it):
             gW, gb, n, tot = np.zeros_like(W), np.zeros_like(b), 0, 0.0
-            for pdf in it:
+            for pdf in it:  # accumulated over the partition: one vector per partition
                 if not len(pdf):
                     continue
                 x = _to_matrix(pdf[feats])
@@ -369,17 +384,16 @@ class LinearLayer:
                 gb += g.sum(axis=0)
                 n += len(pdf)
                 tot += lsum
-            yield pd.DataFrame({"n": [n], "loss": [tot], "gW": [gW.ravel().tolist()], "gb": [gb.tolist()]})
+            yield pd.DataFrame({"v": [[float(n), tot, *gW.ravel().tolist(), *gb.tolist()]]})
 
-        rows = df.select(feats, label).mapInPandas(
-            run, "n long, loss double, gW array<double>, gb array<double>").collect()
-        n = sum(r.n for r in rows)
-        gW = np.sum([np.asarray(r.gW) for r in rows], axis=0).reshape(W.shape) / n
-        gb = np.sum([np.asarray(r.gb) for r in rows], axis=0) / n
+        vec = _reduce_vectors(df.select(feats, label).mapInPandas(run, "v array<double>"))
+        n = vec[0]
+        gW = vec[2:2 + W.size].reshape(W.shape) / n
+        gb = vec[2 + W.size:] / n
         p = {"W": self.W, "b": self.b}
         self.opt.step(p, {"W": gW, "b": gb if self.bias else np.zeros_like(gb)})
         self.W, self.b = p["W"], p["b"]
-        self.last_loss = sum(r.loss for r in rows) / n
+        self.last_loss = vec[1] / n
         return self
 
     def predict(self, df: DataFrame, feats: str = "x", out: str = "prediction") -> DataFrame:

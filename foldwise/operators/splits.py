@@ -74,7 +74,8 @@ def holdout_split(df: DataFrame, val_split: float = 0.1, seed: int = 42,
     if by:
         per = placed.groupBy(*by).agg(F.min("_pos").alias("_start"),
                                       F.count(F.lit(1)).alias("_n"))
-        ranked = placed.join(F.broadcast(per), by)
+        # one row per group: joined plainly, AQE broadcasts it at run time when small
+        ranked = placed.join(per, by)
     else:
         ranked = placed.crossJoin(F.broadcast(
             placed.agg(F.lit(0).cast("bigint").alias("_start"), F.count(F.lit(1)).alias("_n"))))
@@ -98,7 +99,9 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: in
                                    F.col(key).asc()], "_pos")
     per_class = placed.groupBy(label).agg(F.min("_pos").alias("_start"),
                                           F.count(F.lit(1)).alias("_n"))
-    return (placed.join(F.broadcast(per_class), placed[label].eqNullSafe(per_class[label]))
+    # one row per class; the class count is not bounded in general, so no
+    # broadcast hint (AQE broadcasts at run time when small)
+    return (placed.join(per_class, placed[label].eqNullSafe(per_class[label]))
                   .drop(per_class[label])
                   .withColumn(out, F.when(F.col("_pos") - F.col("_start") <
                                           F.ceil(F.col("_n") * test_size), "test")
