@@ -170,13 +170,18 @@ def s8_e7_comma_text(spark, sf_dir):
     label; categorical vocabularies with '?' in slot 0, index and one-hot forms."""
     path, desc = _orders_lines(spark, sf_dir)
     df = IO.read_comma_text(spark, path, desc, 15, onehot=True)
+    # one-hot widths from the description: values + the '?' slot
+    width = F.size(F.split("desc", ",")) + 1
+    w = desc.agg(F.max(F.when(F.col("col") == 2, width)).alias("w_status"),
+                 F.max(F.when(F.col("col") == 6, width)).alias("w_prio"))
     x, oh = F.col("x_index"), F.col("x_onehot")
-    ws = 1 + 1 + 1  # slots before the status one-hot: orderkey, custkey (+1 for 1-based)
-    return df.select(
+    status_start = F.lit(3)                       # after orderkey, custkey (1-based)
+    prio_start = F.col("w_status") + F.lit(6)     # + totalprice, year, month
+    return df.crossJoin(F.broadcast(w)).select(
         x[0].cast("bigint").alias("orderkey"), "label", x[2].alias("status_id"),
         x[6].alias("priority_id"), F.size(oh).cast("int").alias("onehot_width"),
-        (F.array_position(F.slice(oh, ws, F.lit(4)), 1.0) - 1).cast("int").alias("status_hot"),
-        (F.array_position(F.slice(oh, F.lit(ws + 4 + 3), F.lit(6)), 1.0) - 1).cast("int").alias("priority_hot"),
+        (F.array_position(F.slice(oh, status_start, F.col("w_status")), 1.0) - 1).cast("int").alias("status_hot"),
+        (F.array_position(F.slice(oh, prio_start, F.col("w_prio")), 1.0) - 1).cast("int").alias("priority_hot"),
         x[3].alias("totalprice"))
 
 
