@@ -55,38 +55,54 @@ def category_stats(df: DataFrame, col: str, target: str, smoothing: float = 10.0
                .drop("_sum"))
 
 
+def category_partials(df: DataFrame, cols, target: str, fold: str = "fold") -> DataFrame:
+    """One pass over the data for every category column: per (fold, column,
+    category) the target sum and the row count, written once (k x categories
+    rows) so all encodings and encoded-column statistics read it.
+    Categories are compared as text, so string and code columns mix."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("_cat"))
+                                for c in cols]))
+    long = df.select(F.col(fold).alias("_f"), F.col(target).alias("_y"), cells.alias("_c"))
+    return (long.groupBy("_f", F.col("_c.column").alias("column"), F.col("_c._cat").alias("_cat"))
+                .agg(F.sum("_y").alias("_s"), F.count(F.lit(1)).alias("_n"))
+                .checkpoint())
+
+
+def encoding_tables(part: DataFrame, col: str, k: int, smoothing: float = 10.0):
+    """Per held-out fold, the smoothed mean of each category of ``col`` over
+    the other folds, and the other folds' global mean (from the partials)."""
+    spark = part.sparkSession
+    p = part.where(F.col("column") == col)
+    h = F.broadcast(heldouts(spark, k))
+    others = p.crossJoin(h).where(F.col("_f") != F.col("heldout"))
+    gmean = others.groupBy("heldout").agg((F.sum("_s") / F.sum("_n")).alias("global_mean"))
+    per = others.groupBy("heldout", "_cat").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    enc = (per.join(F.broadcast(gmean), "heldout")
+              .select("heldout", F.col("_cat").alias(col),
+                      ((F.col("_s") + smoothing * F.col("global_mean")) /
+                       (F.col("_n") + smoothing)).alias("enc")))
+    return enc, gmean
+
+
 def oof_target_encoding(df: DataFrame, col: str, target: str, k: int,
                         smoothing: float = 10.0, fold: str = "fold"):
     """E2 fit: per held-out fold, smoothed target mean of each category over
     the rows of the other folds.
 
-    Returns ``(enc, gmean)``: ``enc(heldout, <col>, enc)`` and
+    Returns ``(enc, gmean)``: ``enc(heldout, <col> as text, enc)`` and
     ``gmean(heldout, global_mean)`` (default for unseen / missing categories).
     """
-    spark = df.sparkSession
-    # one pass over the data; the k x categories partials are written once so
-    # every derived table (per-fold encodings, global means) reads them
-    part = df.groupBy(F.col(fold).alias("_f"), F.col(col)).agg(
-        F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n")).checkpoint()
-    h = F.broadcast(heldouts(spark, k))
-    others = part.crossJoin(h).where(F.col("_f") != F.col("heldout"))
-    gmean = others.groupBy("heldout").agg(
-        (F.sum("_s") / F.sum("_n")).alias("global_mean"))
-    per = others.groupBy("heldout", col).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    enc = (per.join(F.broadcast(gmean), "heldout")
-              .select("heldout", col,
-                      ((F.col("_s") + smoothing * F.col("global_mean")) /
-                       (F.col("_n") + smoothing)).alias("enc")))
-    return enc, gmean
+    return encoding_tables(category_partials(df, [col], target, fold), col, k, smoothing)
 
 
 def apply_encoding(df: DataFrame, col: str, enc: DataFrame, gmean: DataFrame,
                    out: str | None = None) -> DataFrame:
     """Left lookup join on (heldout, category); unseen or missing -> global mean."""
     out = out or col
-    e = enc.select(F.col("heldout").alias("_eh"), F.col(col).alias("_cat"), F.col("enc").alias("_enc"))
+    e = enc.select(F.col("heldout").alias("_eh"), F.col(col).cast("string").alias("_cat"),
+                   F.col("enc").alias("_enc"))
     g = gmean.select(F.col("heldout").alias("_gh"), F.col("global_mean").alias("_gm"))
-    j = (df.join(e, (F.col("heldout") == F.col("_eh")) & (F.col(col) == F.col("_cat")), "left")
+    j = (df.join(e, (F.col("heldout") == F.col("_eh")) & (F.col(col).cast("string") == F.col("_cat")), "left")
            .join(F.broadcast(g), F.col("heldout") == F.col("_gh"), "left"))
     return (j.withColumn(out, F.coalesce(F.col("_enc"), F.col("_gm")))
              .drop("_eh", "_cat", "_enc", "_gh", "_gm"))
@@ -124,16 +140,15 @@ def fold_fit_stats(df: DataFrame, cols, k: int, fold: str = "fold") -> DataFrame
     return _moments_by_heldout(part, k, ["column"])
 
 
-def encoded_fit_stats(df: DataFrame, col: str, enc: DataFrame, k: int,
-                      fold: str = "fold") -> DataFrame:
-    """Fit statistics of an encoded column over train rows, from the small
-    (fold, category) count table: within a (fold, category) cell the encoded
-    value is constant, so n, mean, m2, min, max are exact."""
-    part = df.groupBy(F.col(fold).alias("_f"), F.col(col).alias("_cat")).agg(
-        F.count(F.lit(1)).alias("_cnt")).checkpoint()
-    h = heldouts(df.sparkSession, k)
-    cells = part.crossJoin(F.broadcast(h)).where(F.col("_f") != F.col("heldout"))
-    e = enc.withColumnRenamed(col, "_cat")
+def encoded_fit_stats(part: DataFrame, col: str, enc: DataFrame, k: int) -> DataFrame:
+    """Fit statistics of an encoded column over train rows, from the
+    (fold, category) counts of ``category_partials``: within a (fold,
+    category) cell the encoded value is constant, so n, mean, m2, min, max
+    are exact and no pass over the data is needed."""
+    cells = part.where(F.col("column") == col).select("_f", "_cat", F.col("_n").alias("_cnt"))
+    h = heldouts(part.sparkSession, k)
+    cells = cells.crossJoin(F.broadcast(h)).where(F.col("_f") != F.col("heldout"))
+    e = enc.select("heldout", F.col(col).cast("string").alias("_cat"), "enc")
     cells = cells.join(e, ["heldout", "_cat"], "inner")
     tot = cells.groupBy("heldout").agg(
         F.sum("_cnt").alias("n"), (F.sum(F.col("_cnt") * F.col("enc")) / F.sum("_cnt")).alias("mean"),
@@ -239,22 +254,25 @@ class FoldPreprocessor:
         st = FoldState(self.k, self.variant, feats)
         encode = self.variant != "cat"
         te_cols = [c for c in TE_COLS if c in feats] if encode else []
-        for c in te_cols:
-            st.encodings[c] = oof_target_encoding(df, c, self.target, self.k, self.smoothing,
-                                                  self.fold)
+        # pass 1: (fold, column, category) partials for every encoded column
+        if te_cols:
+            part = category_partials(df, te_cols, self.target, self.fold)
+            for c in te_cols:
+                st.encodings[c] = encoding_tables(part, c, self.k, self.smoothing)
         scaled = [c for c in (*self.minmax_cols, *self.zscore_cols) if c in feats]
         raw_cols = [c for c in scaled if c not in te_cols]
-        parts = [fold_fit_stats(df, raw_cols, self.k, self.fold)] if raw_cols else []
+        # pass 2: moments of every raw scaled column and of the target
+        raw = fold_fit_stats(df, [*raw_cols, self.target], self.k, self.fold)
+        parts = [raw.where(F.col("column") != self.target)] if raw_cols else []
         for c in te_cols:
             if c in scaled:
-                parts.append(encoded_fit_stats(df, c, st.encodings[c][0], self.k, self.fold))
+                parts.append(encoded_fit_stats(part, c, st.encodings[c][0], self.k))
         stats_long = parts[0]
         for p in parts[1:]:
             stats_long = stats_long.unionByName(p)
         st.scale = wide_stats(stats_long, scaled)
-        tstats = fold_fit_stats(df, [self.target], self.k, self.fold)
-        st.target = tstats.select("heldout", F.col("min").alias("target__min"),
-                                  F.col("max").alias("target__max"))
+        st.target = raw.where(F.col("column") == self.target).select(
+            "heldout", F.col("min").alias("target__min"), F.col("max").alias("target__max"))
         if self.age_bins and "age" in df.columns:
             st.age_range = fold_fit_stats(df, ["age"], self.k, self.fold).select(
                 "heldout", F.col("min").alias("age__lo"), F.col("max").alias("age__hi"))
