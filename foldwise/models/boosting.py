@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +62,27 @@ class BoostedStages:
         if self.base_score is None:
             self.base_score = float(df.agg(F.avg(label)).first()[0])
         work = self.predict(df.select(self.features, label), "_cur")
+        prev = None
         for r in range(rounds):
             target = -self.gradient(F.col("_cur"), F.col(label))
-            work = work.withColumn("_neg_grad", target)
+            # the tree fit reads its input several times: keep this round's frame
+            # cached so earlier trees are not re-applied on every pass
+            work = work.withColumn("_neg_grad", target).persist(StorageLevel.MEMORY_AND_DISK)
             dt = DecisionTreeRegressor(featuresCol=self.features, labelCol="_neg_grad",
                                        maxDepth=self.max_depth, minInstancesPerNode=self.min_leaf,
                                        maxBins=self.max_bins, seed=self.seed + len(self.trees))
             tree = dt.fit(work)
             self.trees.append(tree)
+            if prev is not None:
+                prev.unpersist()
+            prev = work
             work = self._add_tree_output(work.drop("_neg_grad"), tree, "_cur")
             if (r + 1) % self.checkpoint_every == 0 and r + 1 < rounds:
-                work = work.checkpoint()
+                work = work.checkpoint()   # reliable: cuts lineage, survives executor loss
+                prev.unpersist()
+                prev = None
+        if prev is not None:
+            prev.unpersist()
         return self
 
     def fit(self, df: DataFrame, label: str = "label", rounds: int = 10,
