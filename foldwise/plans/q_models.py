@@ -19,6 +19,7 @@ from foldwise.operators import splits as SP
 from foldwise.plans import cv as CV
 from foldwise.plans.q_splits_encoders import folded
 from foldwise.plans.registry import register
+from foldwise.plans.sqltext import ENGINEERED
 from foldwise.sources import io as IO
 from foldwise.sources.tables import sales
 
@@ -283,3 +284,22 @@ def m7_sgd_step(spark, sf_dir):
     layer = LinearLayer(4, 1, lr=0.1, loss="mse", optimizer="SGD", init="zeros").fit(e, "x", "y")
     rows = [(j, float(layer.W[j, 0])) for j in range(4)] + [(4, float(layer.b[0]))]
     return spark.createDataFrame(rows, "j int, w double").select("j", _r("w", 10).alias("w"))
+
+
+@register("l1_preprocess", "WITH " + ENGINEERED + """,
+o AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id) - 1 AS pos,
+             count(*) OVER () AS n FROM engineered)
+SELECT CASE WHEN pos < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1""")
+def l1_preprocess(spark, sf_dir):
+    """L1: raw records -> engineered frame (written) -> 80/20 split; rows per split."""
+    out = IO.scratch_path(spark, "l1")
+    _, split = CV.preprocess(sales(spark, sf_dir), out)
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("l4_grid_tree")
+def l4_grid_tree(spark, sf_dir):
+    """L4: the grid over the four location encodings for the tree model
+    (single mode); long metric table of every configuration."""
+    g = CV.grid(folded(spark, sf_dir), models=("dt",), modes=("single",))
+    return _summary(g)
