@@ -49,7 +49,7 @@ def with_global_position(df: DataFrame, order_cols, out_col: str = "pos",
         tagged = tagged.withColumn("_w", F.col(weight_col).cast("bigint"))
         tagged = tagged.withColumn("_local", F.coalesce(F.sum("_w").over(in_part), F.lit(0)))
     tagged = tagged.checkpoint(eager=True)
-    offsets = _partition_offsets(tagged, "_w")
+    offsets = _partition_offsets(tagged, "_w").checkpoint()   # one row per partition
     out = tagged.join(F.broadcast(offsets), "_pid", "inner")
     out = out.withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint"))
     return out.drop("_mid", "_w", "_pid", "_local", "_off")

@@ -46,8 +46,11 @@ def quantiles_long(df: DataFrame, col: str, qs, method: str = "exact",
         "q", F.col("_v").alias("_vlo"), "_frac")
     hi = placed.join(t, (placed._pos <= t._hi) & (t._hi < placed._pos + placed._cnt)).select(
         "q", F.col("_v").alias("_vhi"))
+    # a few rows, referenced by every later plan (caps, filters, reports):
+    # materialize once instead of re-deriving them per reference
     return lo.join(hi, "q").select(
-        "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+        "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value")
+    ).checkpoint()
 
 
 def quantile_row(df: DataFrame, col: str, qs: dict, method: str = "exact") -> DataFrame:
