@@ -15,42 +15,91 @@ from pyspark.sql import functions as F
 from foldwise.operators.ordering import with_global_position
 
 
+def _pick(placed: DataFrame, targets: DataFrame, keys) -> DataFrame:
+    """Interpolated value per target from rows placed at [_r, _r + _cnt)."""
+    t = F.broadcast(targets)
+    on = [placed[k] == t[k] for k in keys]
+    lo = placed.join(t, on + [(placed._r <= t._lo), (t._lo < placed._r + placed._cnt)]).select(
+        *[t[k] for k in keys], "q", F.col("_v").alias("_vlo"), "_frac")
+    hi = placed.join(t, on + [(placed._r <= t._hi), (t._hi < placed._r + placed._cnt)]).select(
+        *[t[k].alias(f"_{k}") for k in keys], F.col("q").alias("_q"), F.col("_v").alias("_vhi"))
+    j = lo.join(hi, [lo[k] == hi[f"_{k}"] for k in keys] + [lo["q"] == hi["_q"]])
+    return j.select("q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+
+
+def _targets(spark, qs, n: int):
+    rows = []
+    for i, q in enumerate(qs):
+        h = (n - 1) * q
+        lo = int(h // 1)
+        hi = lo if h == lo else lo + 1
+        rows.append((i, q, lo, hi, h - lo))
+    return spark.createDataFrame(rows, "qi int, q double, _lo bigint, _hi bigint, _frac double")
+
+
+def _exact_by_sort(x: DataFrame, qs) -> DataFrame:
+    """Every distinct value in a distributed weighted order (one full sort)."""
+    spark = x.sparkSession
+    vals = x.groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    placed = with_global_position(vals, [F.col("_v").asc()], "_r", weight_col="_cnt")
+    n = placed.agg(F.sum("_cnt")).first()[0] or 0
+    if n == 0:
+        return spark.createDataFrame([], "q double, value double")
+    return _pick(placed.withColumn("qi", F.lit(0)),
+                 _targets(spark, qs, n).withColumn("qi", F.lit(0)).dropDuplicates(["q"]), ["qi"])
+
+
 def quantiles_long(df: DataFrame, col: str, qs, method: str = "exact",
-                   accuracy: int = 100000) -> DataFrame:
+                   accuracy: int = 10000) -> DataFrame:
     """Rows ``(q double, value double)``: linear-interpolated quantiles of ``col``.
 
     ``method="exact"`` matches pandas ``Series.quantile`` / SQL
-    ``quantile_cont``; ``method="approx"`` uses ``percentile_approx`` (one
-    pass, no sort) for very large data.
+    ``quantile_cont``: a ``percentile_approx`` pass brackets each target rank
+    (rank error <= n / accuracy), one pass counts the rows below each bracket,
+    and only the values inside the brackets (a few n / accuracy rows; a hot
+    value is one (value, count) row) are placed in a distributed order.  A
+    bracket that fails the runtime check falls back to the full distributed
+    sort (``method="sort"``).  ``method="approx"`` returns the sketch values.
     """
     spark = df.sparkSession
     qs = [float(q) for q in qs]
+    x = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
     if method == "approx":
-        row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("v"))
+        row = x.agg(F.percentile_approx("_v", qs, accuracy).alias("v"))
         return row.select(F.posexplode("v").alias("i", "value")).select(
             F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("i") + 1).alias("q"),
             F.col("value"))
-    vals = (df.where(F.col(col).isNotNull())
-              .groupBy(F.col(col).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_cnt")))
-    placed = with_global_position(vals, [F.col("_v").asc()], "_pos", weight_col="_cnt")
-    n = placed.agg(F.sum("_cnt").alias("_n"))
-    qdf = spark.createDataFrame([(q,) for q in qs], "q double")
-    targets = (qdf.crossJoin(n)
-               .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-               .withColumn("_lo", F.floor("_h").cast("bigint"))
-               .withColumn("_hi", F.ceil("_h").cast("bigint"))
-               .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    t = F.broadcast(targets)
-    lo = placed.join(t, (placed._pos <= t._lo) & (t._lo < placed._pos + placed._cnt)).select(
-        "q", F.col("_v").alias("_vlo"), "_frac")
-    hi = placed.join(t, (placed._pos <= t._hi) & (t._hi < placed._pos + placed._cnt)).select(
-        "q", F.col("_v").alias("_vhi"))
+    if method == "sort":
+        return _exact_by_sort(x, qs).checkpoint()
+    eps = 2.0 / accuracy
+    sk = x.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx("_v", [max(q - eps, 0.0) for q in qs], accuracy).alias("lo"),
+               F.percentile_approx("_v", [min(q + eps, 1.0) for q in qs], accuracy).alias("hi")
+               ).first()   # one row: n and 2 x len(qs) sketch values
+    n = sk["n"]
+    if n == 0:
+        return spark.createDataFrame([], "q double, value double")
+    targets = _targets(spark, qs, n)
+    br = spark.createDataFrame([(i, float(sk["lo"][i]), float(sk["hi"][i])) for i in range(len(qs))],
+                               "qi int, _blo double, _bhi double")
+    inb = (F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi"))
+    tagged = x.crossJoin(F.broadcast(br))   # len(qs) bracket rows, broadcast
+    counts = tagged.groupBy("qi").agg(F.count_if(F.col("_v") < F.col("_blo")).alias("_below"),
+                                      F.count_if(F.col("_v") <= F.col("_bhi")).alias("_upto"))
+    chk = counts.join(targets, "qi").collect()   # len(qs) rows
+    ok = all(r["_below"] <= r["_lo"] and r["_upto"] > r["_hi"] for r in chk)
+    if not ok:
+        return _exact_by_sort(x, qs).checkpoint()
+    below = spark.createDataFrame([(r["qi"], int(r["_below"])) for r in chk], "qi int, _below bigint")
+    cand = tagged.where(inb).groupBy("qi", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    placed = with_global_position(cand, [F.col("qi").asc(), F.col("_v").asc()], "_pos",
+                                  weight_col="_cnt")
+    starts = placed.groupBy("qi").agg(F.min("_pos").alias("_start"))
+    placed = (placed.join(F.broadcast(starts), "qi").join(F.broadcast(below), "qi")
+                    .withColumn("_r", F.col("_pos") - F.col("_start") + F.col("_below")))
     # a few rows, referenced by every later plan (caps, filters, reports):
     # materialize once instead of re-deriving them per reference
-    return lo.join(hi, "q").select(
-        "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value")
-    ).checkpoint()
+    return _pick(placed, targets, ["qi"]).checkpoint()
 
 
 def quantile_row(df: DataFrame, col: str, qs: dict, method: str = "exact") -> DataFrame:
