@@ -189,4 +189,8 @@ def map_table(engineered: DataFrame, raw: DataFrame, model: str = "dt", variant:
     cap = F.broadcast(FE.outlier_cap(coords, "actual", q))
     coords = FE.drop_missing_coords(coords.crossJoin(cap).where(F.col("actual") <= F.col("cap")).drop("cap"))
     j = coords.join(pred, "row_id", "inner")
+    # Every coordinate row must find its prediction (row-count check)
+    n_coords, n_joined = coords.count(), j.count()
+    if n_coords != n_joined:
+        raise ValueError(f"Coordinate rows ({n_coords}) do not match predicted rows ({n_joined}).")
     return FE.zscore_clip(j, "pred", "actual", clip)
