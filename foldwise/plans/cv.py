@@ -13,7 +13,6 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -95,8 +94,10 @@ def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k
     assembler = VectorAssembler(inputCols=feats, outputCol="features")
 
     def one_fold(h: int):
-        # the fold's feature frame is cached only while its model trains
-        fr = assembler.transform(fp.transform(folded, st, h)).persist(StorageLevel.MEMORY_AND_DISK)
+        # no cache of the fold frame: it is a projection of the checkpointed
+        # folded frame joined to tiny fitted tables, and the learners persist
+        # their own binned / working input
+        fr = assembler.transform(fp.transform(folded, st, h))
         train = fr.where(F.col("split") == "train")
         t0 = time.perf_counter()
         fitted = fit_model(model, train, "label", params)
@@ -105,8 +106,7 @@ def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k
         pred = pred.select(
             "row_id", "heldout", "split", F.col(target).alias("y"),
             EN.invert_minmax(F.col("_pred_scaled"), F.col("target__min"), F.col("target__max")).alias("pred"))
-        pred = pred.checkpoint()   # narrow predictions, materialized; the cache can go
-        fr.unpersist()
+        pred = pred.checkpoint()   # narrow predictions, materialized once
         if save_dir and hasattr(fitted.model, "write"):
             TR.save_model(fitted.model, f"{save_dir}/{model}_{variant}_fold{h}")
         return pred, fit_s
