@@ -5,9 +5,9 @@ Spark job in which each partition computes the gradient sums of its own rows
 with numpy inside ``mapInPandas``; only per-partition sums (partitions x
 parameters numbers) reach the driver, which takes the optimizer step (SGD,
 RMSprop or Adam) on the small weight vector.  Batch norm normalizes each
-partition slice with its own statistics (per-worker batch norm, the usual
-data-parallel form) and keeps running statistics averaged over slices for
-prediction.  Prediction is an Arrow-batched ``mapInPandas`` with the weights
+Arrow batch of a partition with its own statistics (per-worker batch norm,
+the usual data-parallel form) and keeps running statistics averaged over
+slices for prediction.  Prediction is an Arrow-batched ``mapInPandas`` with the weights
 shipped once per task.
 
 Mini-batches: ``batch_size = 0`` uses every row per step (one pass per step);
