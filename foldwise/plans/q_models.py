@@ -198,7 +198,8 @@ def m11_layered_net(spark, sf_dir):
 @register("m13_autoencoder")
 def m13_autoencoder(spark, sf_dir):
     """Boosted autoencoder 8 -> 3 -> 8 (target = the input), one epoch;
-    reconstruction MSE before and after, and the hidden codes' width."""
+    reconstruction MSE of an all-zero output (reference level), the
+    autoencoder's reconstruction MSE after the epoch, and the hidden codes' width."""
     from foldwise.models.layered import autoencoder
     from foldwise.operators.metrics import mean_loss
     df = _emb_xy(spark, sf_dir, 8)
