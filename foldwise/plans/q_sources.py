@@ -192,7 +192,7 @@ SELECT s_name AS name, r_regionkey AS label, round(s_acctbal, 4) AS x1, CAST(s_n
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def s9_j7_space_text(spark, sf_dir):
     """S9 + J7: whitespace-delimited 'name f1..f8 class' lines; class name to id
-    through the label file (broadcast lookup join)."""
+    through the label file (lookup join)."""
     s = read_table(spark, sf_dir, "supplier")
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")

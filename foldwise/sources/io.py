@@ -173,7 +173,7 @@ def read_comma_text(spark: SparkSession, path: str, desc: DataFrame, n_fields: i
 
 def read_space_text(spark: SparkSession, data_path: str, label_path: str, n_floats: int = 8) -> DataFrame:
     """S9 + J7: whitespace-delimited lines ``name f1..f8 class``; the class name
-    is looked up in the label file ``id name`` (broadcast join, one row per class)."""
+    is looked up in the label file ``id name`` (lookup join, one row per class)."""
     lab = spark.read.text(label_path).select(F.split(F.trim("value"), " ").alias("c")).select(
         F.col("c")[0].cast("int").alias("label"), F.col("c")[1].alias("_cls"))
     rows = spark.read.text(data_path).where(F.length(F.trim("value")) > 0).select(
@@ -181,7 +181,8 @@ def read_space_text(spark: SparkSession, data_path: str, label_path: str, n_floa
     rows = rows.select(F.col("c")[0].alias("name"),
                        F.array(*[F.col("c")[i].cast("double") for i in range(1, n_floats + 1)]).alias("x"),
                        F.element_at("c", -1).alias("_cls"))
-    return rows.join(F.broadcast(lab), "_cls", "inner").drop("_cls")
+    # one row per class: joined plainly, AQE broadcasts it at run time when small
+    return rows.join(lab, "_cls", "inner").drop("_cls")
 
 
 # ---------------------------------------------------------------- S10
