@@ -91,8 +91,11 @@ class BoostedStages:
         per row), then ``rounds`` rounds toward the label."""
         if init_rounds:
             from foldwise.functions.scalar import hash_normal
-            keyed = df.withColumn("_k", F.monotonically_increasing_id()).checkpoint()
-            noisy = keyed.withColumn("_noise", hash_normal(noise_seed, "_k"))
+            if "row_id" in df.columns:   # noise keyed by the row: same under any partitioning
+                noisy = df.withColumn("_noise", hash_normal(noise_seed, "row_id"))
+            else:                        # no key: pin generated ids with a checkpoint
+                keyed = df.withColumn("_k", F.monotonically_increasing_id()).checkpoint()
+                noisy = keyed.withColumn("_noise", hash_normal(noise_seed, "_k"))
             base = self.base_score
             self.base_score = 0.0 if base is None else base
             self.fit_increment(noisy, "_noise", init_rounds)
