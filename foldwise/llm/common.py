@@ -11,6 +11,7 @@ from foldwise.session import ensure_checkpoint_dir, ship_package
 
 #: the white space between words: space, \t \n \x0b \x0c \r (a Java pattern)
 SPACE = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,16 +38,14 @@ def let(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """The ``[^\\x20\\x09-\\x0D]+`` of a text; none for a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE))
 
 
 def count_words(text: Column) -> Column:
-    """Their number: runs of white space, and one more unless the text ends in one, or
-    less if it starts with one.  No array is built."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
-    gaps = F.regexp_replace(body, SPACE, " ")
-    spaces = F.length(gaps) - F.length(F.replace(gaps, F.lit(" "), F.lit("")))
-    return F.when(body == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+    """Their number, as a long."""
+    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, SPACE))).cast("long")
 
 
 def keep(df: DataFrame) -> DataFrame:

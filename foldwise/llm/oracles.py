@@ -1,5 +1,146 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.  Where a query's operator is bound to a
+hash or a tokenizer that SQL lacks, there is none, and ``tests/llm`` holds a brute-force version."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from foldwise.llm import pareto_mix as mix
+from foldwise.llm import quality_rules as rules
+from foldwise.llm import url_trust as trust
+
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def top_k(k: int, every: int) -> str:
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= {k}"""
+
+
+def quality() -> str:
+    passed = " AND ".join(f"{r.top}::DOUBLE >= {r.low!r}::DOUBLE * n AND {r.top}::DOUBLE <= {r.high!r}::DOUBLE * n".replace(
+        "* n", f"* {r.bottom}::DOUBLE") for r in rules.RULES)
+    stop = ", ".join(map(quoted, rules.STOP_WORDS))
+    window = rules.WINDOW
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) AS l
+  FROM documents),
+windows AS (
+  SELECT row, i, array_to_string(w[i:i + {window - 1}], ' ') AS g
+  FROM (SELECT row, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+again AS (
+  SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + {window})) AS p FROM twice) GROUP BY row),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, {quoted(rules.SYMBOLS)}, '')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, x -> lower(trim(x, '.,;:!?"''()')) IN ({stop}))) AS n_stop_words,
+    len(list_filter(w, x -> length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital_words,
+    len(l) AS n_lines, len(list_filter(l, x -> regexp_matches(x, '[.][.][.]{SPACE}*$'))) AS n_dotted_lines,
+    len(list_filter(l, x -> regexp_matches(x, '^{SPACE}*[-*•]'))) AS n_bullet_lines
+  FROM d LEFT JOIN again USING (row)),
+b AS (
+  SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {passed} AS kept FROM b"""
+
+
+def pareto() -> str:
+    weights = "[" + ", ".join(f"{w}::DOUBLE" for w in mix.WEIGHTS) + "]"
+    top = f"{float(16 ** mix.DIGITS)!r}::DOUBLE"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}+'))::BIGINT AS size
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    ({weights})[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mix.WEIGHTS)}] AS weight
+  FROM d GROUP BY source),
+ranked AS (
+  SELECT *, {mix.MOST_COPIES} * source_size::DOUBLE AS cap,
+    row_number() OVER (ORDER BY {mix.MOST_COPIES} * source_size::DOUBLE / weight, source NULLS LAST) AS at FROM per),
+levels AS (
+  SELECT *, ({mix.SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM ranked),
+final AS (SELECT min_by(level, at) AS final FROM levels WHERE weight * level <= cap),
+targets AS (
+  SELECT source, source_size, coalesce(least(cap, weight * final), cap) AS target FROM levels CROSS JOIN final),
+plan AS (
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END) AS whole,
+    (CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END) - whole AS p,
+    target - whole * source_size::DOUBLE AS rest
+  FROM targets),
+drawn AS (
+  SELECT d.*, plan.source_size, target, whole, p, rest,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {mix.DIGITS}))::BIGINT::DOUBLE + 0.5::DOUBLE) / {top} AS u,
+    (u / (1 - u)) / (1.0::DOUBLE * (p / (1 - p))) AS odds, odds / (1 + odds) AS z
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY z, doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY source, z, doc_id) AS own
+  FROM drawn)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN p > 0 AND (upto < rest OR (upto - own < rest AND upto - rest <= rest - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed"""
+
+
+def url_filter(rule_table) -> str:
+    def ascii_lower(x):
+        return f"translate({x}, '{trust.UPPER}', '{trust.LOWER}')"
+
+    fits = [(f"((host = {quoted(h)} OR ends_with(host, {quoted('.' + h)})) AND starts_with(path, {quoted(p)}))", h + p, v)
+            for h, p, v in trust.longest_first(rule_table)]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN {quoted(r)}" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN {quoted(v)}" for f, _, v in fits) + " END"
+    parts, link = quoted(trust.PARTS), quoted(trust.LINK)
+    steps = "".join(f""",
+r{k + 1} AS MATERIALIZED (
+  SELECT s.kind, s.host, {1 - trust.DAMPING!r}::DOUBLE * s.seed + {trust.DAMPING!r}::DOUBLE * coalesce(got, 0) AS r
+  FROM seed s LEFT JOIN (SELECT e.kind, dst, sum(w * r) AS got FROM share e JOIN r{k} ON r{k}.kind = e.kind AND r{k}.host = e.src
+    GROUP BY ALL) g ON g.kind = s.kind AND g.dst = s.host)""" for k in range(trust.ITERATIONS))
+    return f"""
+WITH p AS (
+  SELECT page_id, {ascii_lower(f"regexp_extract(coalesce(url, ''), {parts}, 1)")} AS host,
+    regexp_extract(coalesce(url, ''), {parts}, 2) AS path, coalesce(html, '') AS html FROM pages),
+ruled AS (SELECT page_id, host, path, html, {rule} AS rule, {verdict} AS by_rule FROM p),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, {link}, 1)) AS link FROM p),
+edges AS MATERIALIZED (
+  SELECT src, dst, count(*)::DOUBLE AS w FROM (
+    SELECT src, {ascii_lower(f"regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, {parts}, 1)")} AS dst
+    FROM links) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+flow AS (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
+seeds AS (
+  SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust,
+    avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host),
+hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+seed AS MATERIALIZED (
+  SELECT kind, host, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0) AS seed
+  FROM (SELECT unnest(['trust', 'distrust']) AS kind, host FROM hosts) LEFT JOIN seeds USING (host)),
+share AS MATERIALIZED (
+  SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS w FROM flow
+  UNION ALL SELECT kind, host, host, 1 FROM seed s WHERE NOT EXISTS (SELECT 1 FROM flow f WHERE f.kind = s.kind AND f.src = s.host)),
+r0 AS (SELECT kind, host, seed AS r FROM seed){steps},
+bad AS (
+  SELECT host FROM r{trust.ITERATIONS} GROUP BY host
+  HAVING round(sum(CASE WHEN kind = 'distrust' THEN r ELSE 0 END), {trust.DECIMALS})
+    - round(sum(CASE WHEN kind = 'trust' THEN r ELSE 0 END), {trust.DECIMALS}) >= {trust.THRESHOLD})
+SELECT page_id, host, path, rule,
+  coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM ruled"""
