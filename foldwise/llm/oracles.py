@@ -18,9 +18,9 @@ def quoted(s: str) -> str:
 def top_k(k: int, every: int) -> str:
     return f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0)
@@ -37,7 +37,7 @@ def quality() -> str:
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '{WORD}+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) AS l
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l
   FROM documents),
 windows AS (
   SELECT row, i, array_to_string(w[i:i + {window - 1}], ' ') AS g
@@ -49,10 +49,10 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(translate(t, {quoted(rules.SYMBOLS)}, '')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(w, x -> lower(trim(x, '.,;:!?"''()')) IN ({stop}))) AS n_stop_words,
-    len(list_filter(w, x -> length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital_words,
-    len(l) AS n_lines, len(list_filter(l, x -> regexp_matches(x, '[.][.][.]{SPACE}*$'))) AS n_dotted_lines,
-    len(list_filter(l, x -> regexp_matches(x, '^{SPACE}*[-*•]'))) AS n_bullet_lines
+    len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({stop}))) AS n_stop_words,
+    len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital_words,
+    len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.][.][.]{SPACE}*$'))) AS n_dotted_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '^{SPACE}*[-*•]'))) AS n_bullet_lines
   FROM d LEFT JOIN again USING (row)),
 b AS (
   SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM m)
@@ -73,13 +73,13 @@ per AS (
   FROM d GROUP BY source),
 ranked AS (
   SELECT *, {mix.MOST_COPIES} * source_size::DOUBLE AS cap,
-    row_number() OVER (ORDER BY {mix.MOST_COPIES} * source_size::DOUBLE / weight, source NULLS LAST) AS at FROM per),
+    row_number() OVER (ORDER BY {mix.MOST_COPIES} * source_size::DOUBLE / weight, source NULLS LAST) AS place FROM per),
 levels AS (
   SELECT *, ({mix.SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE
-      - coalesce(sum(cap) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+      - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM ranked),
-final AS (SELECT min_by(level, at) AS final FROM levels WHERE weight * level <= cap),
+final AS (SELECT min_by(level, place) AS final FROM levels WHERE weight * level <= cap),
 targets AS (
   SELECT source, source_size, coalesce(least(cap, weight * final), cap) AS target FROM levels CROSS JOIN final),
 plan AS (
