@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col
     roots = connected_components(links(distinct, distance))
     linked = roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "rep")
     named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("name")), "root").select("fp", "name")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "rep").alias("component_id"))
+    # kept, so that the last join has a plain exchange on both sides and splits a fingerprint of very many rows
+    named = keep(distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "rep").alias("component_id")))
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
