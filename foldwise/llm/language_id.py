@@ -25,8 +25,9 @@ SAMPLE_ROWS = 4_000
 #: words and n-grams (of each length) that the model keeps, the most frequent ones
 WORDS, GRAMS = 60_000, 20_000
 LONGEST = 5
-#: added to every count
-SMOOTHING = 0.5
+#: items of the pooled languages that are added to each one's counts, so that a language of
+#: few rows differs from the others by what it has, not by what it lacks
+PRIOR = 1_000.0
 UNKNOWN = "und"
 #: unseen words that a worker remembers
 REMEMBERED = 200_000
@@ -40,8 +41,8 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with a mark at its start and its end."""
-    marked = f"_{word}_"
+    """Character n-grams of a word, from two characters on with a mark at its start and its end."""
+    marked = f"_{word}_" if n > 1 else word
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
@@ -141,6 +142,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, id_col: str = "doc_id",
     kind = "lang string, item string, n long"
     total = F.sum("n").alias("n")
     words = keep(drawn.select("text", "lang").mapInArrow(count_words, kind).groupBy("lang", "item").agg(total))
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())  # of the rows, some may have no word
+    if not langs:
+        return Model([], {}, {}, np.zeros((0, 0)))
     grams = keep(words.select("lang", "item", "n").mapInArrow(count_grams, kind).groupBy("lang", "item").agg(total))
 
     def table(counts: DataFrame, most: int) -> tuple[list, np.ndarray]:
@@ -150,10 +154,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, id_col: str = "doc_id",
         found = counts.join(top.select("item"), "item").collect()  # at most ``most`` x languages
         items = sorted({r["item"] for r in found})
         at, col = {w: i for i, w in enumerate(items)}, {x: i for i, x in enumerate(langs)}
-        n = np.full((len(items), len(langs)), SMOOTHING)
+        n = np.zeros((len(items), len(langs)))
         for r in found:
-            n[at[r["item"]], col[r["lang"]]] += r["n"]
-        freq = np.log(n / np.array([sums.get(x, 0) + SMOOTHING * max(1, len(items)) for x in langs]))
+            n[at[r["item"]], col[r["lang"]]] = r["n"]
+        pooled = n.sum(axis=1, keepdims=True) / max(1, sum(sums.values()))
+        freq = np.log((n + PRIOR * pooled) / (np.array([sums.get(x, 0) for x in langs]) + PRIOR))
         # of the languages, given the item: so that words of different frequency weigh alike
         return items, freq - np.logaddexp.reduce(freq, axis=1, keepdims=True)
 

@@ -50,6 +50,7 @@ m AS (
     (length(t) - length(translate(t, {quoted(rules.SYMBOLS)}, '')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words,
     len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({stop}))) AS n_stop_words,
+    len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_same_words,
     len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital_words,
     len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.][.][.]{SPACE}*$'))) AS n_dotted_lines,
     len(list_filter(l, lambda x: regexp_matches(x, '^{SPACE}*[-*•]'))) AS n_bullet_lines

@@ -42,7 +42,8 @@ RULES = (
     Rule("symbols to words", "n_symbols", "n_words", 0.0, 0.1),
     Rule("stop words", "n_stop_words", "n_words", 0.02, 1.0),
     Rule("words in capitals", "n_capital_words", "n_words", 0.0, 0.5),
-    Rule("repeated lines", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("words equal to the one before", "n_same_words", "n_words", 0.0, 0.2),
+    Rule("repeated lines", "n_dup_lines", "n_lines", 0.0, 0.5),
     Rule("lines that end in dots", "n_dotted_lines", "n_lines", 0.0, 0.3),
     Rule("lines that start with a bullet", "n_bullet_lines", "n_lines", 0.0, 0.9),
 )
@@ -86,6 +87,7 @@ def measures(text: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"),
                         repeated_words(w).alias("n_repeat_words"),
                         F.size(F.filter(w, lambda x: bare(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+                        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_same_words"),
                         F.size(capital).cast("long").alias("n_capital_words"))
 
     def of_lines(x):
@@ -100,7 +102,7 @@ def measures(text: Column) -> Column:
         return F.length(F.translate(text, chars, "")).cast("long")
 
     return let(F.struct(let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l")), lambda m: F.struct(
-        *(m["w"][c].alias(c) for c in ("n_words", "n_repeat_words", "n_stop_words", "n_capital_words")),
+        *(m["w"][c].alias(c) for c in ("n_words", "n_repeat_words", "n_stop_words", "n_same_words", "n_capital_words")),
         *(m["l"][c].alias(c) for c in ("n_lines", "n_dup_lines", "n_dotted_lines", "n_bullet_lines")),
         without(SPACES).alias("word_chars"), (F.length(text) - without(SYMBOLS)).alias("n_symbols")))
 

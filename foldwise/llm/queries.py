@@ -28,7 +28,7 @@ LABELLED_DOCUMENTS = 20_000
 #: characters kept on each side of a labelled finding
 CONTEXT = 120
 #: fixed values: how a reviewer of the stand-in tells a secret, by published formats
-REVIEWED = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-f]{40}"))
+REVIEWED = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-fA-F]{40}"))
 REVIEWED_VALUE, REVIEWED_NAME = re.compile(r"(?=\S*\d)[0-9A-Za-z]{12,}"), re.compile(r"(?i)(password|passwd|secret)\W{1,4}$")
 
 

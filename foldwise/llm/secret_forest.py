@@ -38,10 +38,11 @@ PLACEHOLDERS = ("example", "sample", "dummy", "fake", "placeholder", "changeme",
 MADE_UP_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 CONFIG_PATHS = (".env", "conf", ".yml", ".yaml", ".ini", ".properties", ".pem", "settings", "secret", "credential")
 
-RUN = r"(?<!\w)[A-Za-z0-9_+/\-]{20,}={0,2}(?![\w=])"
-ASSIGNED = r"(?:%s)[\"']?\s{0,2}[:=]{1,2}\s{0,2}[\"']?([^\s\"'`,;<>(){}\[\]]{8,})" % "|".join(
-    ("password", "passwd", "pwd", "secret", "token", "api[_-]?key", "access[_-]?key", "auth", "credentials?"))
-NET = re.compile(rf"(?i:{ASSIGNED})|{RUN}")
+RUN = re.compile(r"(?<!\w)[A-Za-z0-9_+/\-]{20,}={0,2}(?![\w=])")
+ASSIGNED = re.compile(r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
+                      r"[\"']?\s{0,2}[:=]{1,2}\s{0,2}[\"']?([^\s\"'`,;<>(){}\[\]]{8,}))")
+#: one of these is in every text with an assigned value
+NAMES = ("passw", "pwd", "secret", "token", "api", "access", "auth", "credential")
 #: characters beside a candidate that are read for neighbouring words
 BESIDE = 80
 
@@ -50,11 +51,17 @@ FEATURES = ("length", "transitions", "digits", "capitals", "entropy", "letter_pa
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidates in a whole text, in order and apart from each other."""
-    out = []
-    for m in NET.finditer(text):
-        start, end = m.span(1) if m.group(1) else m.span()
-        out.append((start, end))
+    """(start, end) of the candidates in a whole text, in order; of two that overlap, the
+    one that starts first, or else the longer one."""
+    spans = [m.span() for m in RUN.finditer(text)]
+    low = text.lower()
+    if any(n in low for n in NAMES):
+        spans += [m.span(1) for m in ASSIGNED.finditer(text)]
+    out, last = [], 0
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= last:
+            out.append((start, end))
+            last = end
     return out
 
 
@@ -102,9 +109,8 @@ def _kind(c: str) -> int:
 
 
 def features(text: str, start: int, end: int, path: str | None, words: Dictionary) -> list[float]:
-    """Of the candidate ``text[start:end]``, in the order of ``FEATURES``.  Of a very long
-    candidate the length is whole and the rest is of its first 400 characters."""
-    value = text[start:min(end, start + 400)]
+    """Of the candidate ``text[start:end]``, in the order of ``FEATURES``."""
+    value = text[start:end]
     n = len(value)
     kinds = [_kind(c) for c in value]
     counts = Counter(value)
@@ -213,7 +219,7 @@ def fit_forest(labelled: DataFrame, dictionary_path: str, sample: int = SAMPLE)
     learner = RandomForestClassifier(featuresCol="f", labelCol="secret", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
                                      minInstancesPerNode=2)
     model = learner.fit(x.coalesce(4).select(array_to_vector("x").alias("f"), "secret"))
-    return Forest([_arrays(t._java_obj.rootNode()) for t in model.trees] if hasattr(model.trees[0], "_java_obj") else [])
+    return Forest([_arrays(t._java_obj.rootNode()) for t in model.trees])
 
 
 # ------------------------------------------------------------------ scans
