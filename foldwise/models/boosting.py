@@ -13,10 +13,11 @@ Not reproduced from XGBoost: second-order leaf weights and the L2 leaf term.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,24 @@ class BoostedStages:
         return self.fit_increment(df, label, rounds)
 
 
+    def save(self, path: str, spark) -> None:
+        """Settings as one row of JSON text and every tree beside it.  A custom
+        gradient is code and isn't saved; a loaded model predicts."""
+        meta = {"step": self.step, "max_depth": self.max_depth, "min_leaf": self.min_leaf, "max_bins": self.max_bins,
+                "base_score": self.base_score, "features": self.features, "n_trees": len(self.trees)}
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree-{i:05d}")
+        spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str, spark) -> "BoostedStages":
+        meta = json.loads(spark.read.text(f"{path}/settings").first()[0])
+        n = meta.pop("n_trees")
+        model = cls(**meta)
+        model.trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i:05d}") for i in range(n)]
+        return model
+
+
 class MultiOutputBoosting:
     """M5: one ``BoostedStages`` per output slot of an array label; outputs as an array."""
 

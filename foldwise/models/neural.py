@@ -4,20 +4,18 @@ Training is synchronous data-parallel gradient descent: every step is one
 Spark job in which each partition computes the gradient sums of its own rows
 with numpy inside ``mapInPandas``; only per-partition sums (partitions x
 parameters numbers) reach the driver, which takes the optimizer step (SGD,
-RMSprop or Adam) on the small weight vector.  Batch norm normalizes each
-Arrow batch of a partition with its own statistics (per-worker batch norm,
-the usual data-parallel form) and keeps running statistics averaged over
-slices for prediction.  Prediction is an Arrow-batched ``mapInPandas`` with the weights
-shipped once per task.
-
-Mini-batches: ``batch_size = 0`` uses every row per step (one pass per step);
-otherwise each epoch draws batch ids from a per-epoch hash of the row key and
-each step reads one batch from the cached frame.
+RMSprop or Adam) on the small weight vector.  Batch norm and dropout work
+on slices of rows, which a hash of the row key forms, so a fit depends neither on
+partitions nor on the size of Arrow batches; running statistics follow the mean
+and variance of the whole step.  Prediction is an Arrow-batched ``mapInPandas``
+with the weights shipped once per task.
+
+``batch_size = 0`` uses every row per step (one pass per step); otherwise a step
+reads the slices of one batch, whose ids are drawn once.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +31,13 @@ from foldwise.session import ship_package
 
 # ---------------------------------------------------------------- numpy kernels (per task)
 
-def _relu(x):
-    return np.maximum(x, 0.0)
+#: activation by name: value, and derivative from input and value
+ACTIVATIONS = {
+    "ReLU": (lambda x: np.maximum(x, 0.0), lambda x, a: (x > 0).astype(float)),
+    "LeakyReLU": (lambda x: np.where(x > 0, x, 0.01 * x), lambda x, a: np.where(x > 0, 1.0, 0.01)),
+    "Tanh": (np.tanh, lambda x, a: 1.0 - a * a),
+    "Sigmoid": (lambda x: 1.0 / (1.0 + np.exp(-x)), lambda x, a: a * (1.0 - a)),
+}
 
 
 def _forward(params, x, cfg, train, bn_state=None, rng=None):
@@ -56,8 +59,8 @@ def _forward(params, x, cfg, train, bn_state=None, rng=None):
             a_in = zhat * params[f"g{i}"] + params[f"be{i}"]
         else:
             a_in = z
-        a = _relu(a_in)
-        layer["a_in"] = a_in
+        a = ACTIVATIONS[cfg["activation"]][0](a_in)
+        layer.update(a_in=a_in, a=a)
         if train and cfg["dropout"] > 0:
             mask = (rng.random(a.shape) >= cfg["dropout"]) / (1.0 - cfg["dropout"])
             a = a * mask
@@ -75,7 +78,7 @@ def _backward(params, cfg, cache, h_last, dout):
         layer = cache[i]
         if "mask" in layer:
             dh = dh * layer["mask"]
-        da = dh * (layer["a_in"] > 0)
+        da = dh * ACTIVATIONS[cfg["activation"]][1](layer["a_in"], layer["a"])
         if cfg["batch_norm"]:
             zhat, var = layer["zhat"], layer["var"]
             grads[f"g{i}"] = (da * zhat).sum(axis=0)
@@ -153,6 +156,19 @@ class MLPConfig:
     min_delta: float = 0.0
     val_split: float = 0.1
     seed: int = 42
+    activation: str = "ReLU"
+    slice_rows: int = 1024      # rows, about, that batch norm and dropout see together
+    momentum: float = 0.1       # weight of a step in the running statistics
+
+
+def latest_best(losses, min_delta: float = 0.0) -> int:
+    """Index of the last loss that undercut all before it by more than ``min_delta``."""
+    low = np.minimum.accumulate(np.concatenate([[np.inf], losses]))[:-1]
+    kept, best = np.inf, 0
+    for i in np.flatnonzero(np.asarray(losses) < low):   # only new minima can count
+        if losses[i] < kept - min_delta:
+            kept, best = losses[i], int(i)
+    return best
 
 
 def _to_matrix(s: pd.Series) -> np.ndarray:
@@ -160,10 +176,12 @@ def _to_matrix(s: pd.Series) -> np.ndarray:
 
 
 class SparkMLP:
-    """M6: linear -> batch norm -> ReLU -> dropout blocks and a linear output,
+    """M6: linear -> batch norm -> activation -> dropout blocks and a linear output,
     MSE loss, Adam, early stopping with best-weights restore (patience > 0)."""
 
     def __init__(self, cfg: MLPConfig):
+        if cfg.activation not in ACTIVATIONS:
+            raise ValueError(f"unknown activation {cfg.activation!r}")
         self.cfg = cfg
         rng = np.random.default_rng(cfg.seed)
         self.params, prev = {}, cfg.input_dim
@@ -184,7 +202,7 @@ class SparkMLP:
 
     def _kcfg(self):
         return {"hidden": list(self.cfg.hidden_dims), "batch_norm": self.cfg.use_batch_norm,
-                "dropout": self.cfg.dropout}
+                "dropout": self.cfg.dropout, "activation": self.cfg.activation}
 
     def _grad_job(self, df: DataFrame, feats: str, label: str, step: int):
         ship_package(df.sparkSession)
@@ -194,32 +212,26 @@ class SparkMLP:
         n_bn = 2 * sum(kcfg["hidden"]) if kcfg["batch_norm"] else 0
         n_par = sum(v.size for v in params.values())
 
-        def run(it):
-            # one vector per partition: [n, sse, gradient sums..., n * batch-norm stats...]
-            acc = np.zeros(2 + n_par + n_bn)
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                x = _to_matrix(pdf[feats])
-                y = np.asarray(pdf[label].to_list(), dtype=np.float64).reshape(len(pdf), -1)
-                rng = np.random.default_rng([seed, step, zlib.crc32(str(pdf.iloc[0, 0]).encode())])
-                out, h_last, cache = _forward(params, x, kcfg, True, rng=rng)
-                diff = out - y
-                g = _backward(params, kcfg, cache, h_last, 2.0 * diff / y.shape[1])
-                acc[0] += len(pdf)
-                acc[1] += float((diff ** 2).sum())
-                acc[2:2 + n_par] += _flatten(g, names)
-                if n_bn:
-                    stats = []
-                    for i in range(n_hidden):
-                        stats += [cache[i]["mu"], cache[i]["var"]]
-                    acc[2 + n_par:] += len(pdf) * np.concatenate(stats)
-            yield pd.DataFrame({"v": [acc.tolist()]})
-
-        vec = _reduce_vectors(df.select("_key", feats, label).mapInPandas(run, "v array<double>"))
+        def run(pdf):
+            # a slice's [n, sse, gradient sums..., n * mean..., n * mean of squares...]
+            pdf = pdf.sort_values("_key")
+            x = _to_matrix(pdf[feats])
+            y = np.asarray(pdf[label].to_list(), dtype=np.float64).reshape(len(pdf), -1)
+            rng = np.random.default_rng([seed, step, int(pdf["_slice"].iloc[0])])
+            out, h_last, cache = _forward(params, x, kcfg, True, rng=rng)
+            diff = out - y
+            g = _backward(params, kcfg, cache, h_last, 2.0 * diff / y.shape[1])
+            stats = [s for i in range(n_hidden if n_bn else 0)
+                     for s in (cache[i]["mu"], cache[i]["var"] + cache[i]["mu"] ** 2)]
+            sums = np.concatenate([[len(pdf), float((diff ** 2).sum())], _flatten(g, names),
+                                   *(len(pdf) * s for s in stats)])
+            return pd.DataFrame({"v": [sums.tolist()]})
+
+        vec = _reduce_vectors(df.groupBy("_slice").applyInPandas(run, "v array<double>"))
+        if not len(vec):
+            return 0, 0.0, np.zeros(n_par), None
         n = int(vec[0])
-        bn = vec[2 + n_par:] / max(n, 1) if n_bn else None
-        return n, float(vec[1]), vec[2:2 + n_par], bn
+        return n, float(vec[1]), vec[2:2 + n_par], vec[2 + n_par:] / n if n_bn else None
 
     def _unflatten(self, vec):
         out, pos = {}, 0
@@ -230,12 +242,16 @@ class SparkMLP:
         return out
 
     def _set_bn(self, bn):
+        """Running mean and variance from a step's mean and mean of squares over all rows."""
         if bn is None:
             return
-        pos = 0
+        pos, first = 0, not self.bn
         for i, h in enumerate(self.cfg.hidden_dims):
-            self.bn[f"mu{i}"] = bn[pos:pos + h]
-            self.bn[f"var{i}"] = bn[pos + h:pos + 2 * h]
+            mean, square = bn[pos:pos + h], bn[pos + h:pos + 2 * h]
+            for name, now in ((f"mu{i}", mean), (f"var{i}", np.maximum(square - mean ** 2, 0.0))):
+                # a step over all rows has their statistics; those of batches are averaged
+                w = 1.0 if first or self.cfg.batch_size <= 0 else self.cfg.momentum
+                self.bn[name] = now if first else (1.0 - w) * self.bn[name] + w * now
             pos += 2 * h
 
     def _loss(self, df, feats, label) -> float:
@@ -254,45 +270,54 @@ class SparkMLP:
             split = split.withColumnRenamed("row_id", "_key")
             val = split.where("is_val").drop("is_val").persist(StorageLevel.MEMORY_AND_DISK)
             data = split.where("not is_val").drop("is_val")
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        opt = _Optimizer("Adam", cfg.lr)
-        best, best_state, bad = float("inf"), None, 0
-        step = 0
+        # slices are kept together, so a step doesn't shuffle rows
+        n_slices = max(1, data.count() // cfg.slice_rows)
+        data = data.withColumn("_slice", F.floor(hash_fraction(cfg.seed * 7919, "_key") * n_slices).cast("long"))
+        data = data.repartition("_slice").persist(StorageLevel.MEMORY_AND_DISK)
+        n_batches = 1 if cfg.batch_size <= 0 else min(n_slices, max(1, n_slices * cfg.slice_rows // cfg.batch_size))
+        opt, losses, states, step = _Optimizer("Adam", cfg.lr), [], {}, 0
         for epoch in range(cfg.epochs):
-            if cfg.batch_size > 0:
-                n = data.count()
-                nb = max(1, n // cfg.batch_size)
-                bid = F.floor(hash_fraction(cfg.seed * 7919 + epoch, "_key") * nb)
-                batches = [data.where(bid == b) for b in range(nb)]
-            else:
-                batches = [data]
-            tot_n, tot_sse = 0, 0.0
-            for b in batches:
-                n, sse, g, bn = self._grad_job(b, feats, label, step)
+            seen, sse = 0, 0.0
+            for b in range(n_batches):
+                rows = data if n_batches == 1 else data.where(F.pmod(F.col("_slice"), F.lit(n_batches)) == b)
+                n, loss, g, bn = self._grad_job(rows, feats, label, step)
                 step += 1
-                if n == 0:
-                    continue
-                opt.step(self.params, self._unflatten(g / n))
-                self._set_bn(bn)
-                tot_n, tot_sse = tot_n + n, tot_sse + sse
-            train_loss = tot_sse / max(tot_n, 1)
-            monitor = self._loss(val, feats, label) if val is not None else train_loss
-            self.history.append((epoch + 1, train_loss, monitor))
-            if cfg.patience > 0:
-                if monitor < best - cfg.min_delta:
-                    best, bad = monitor, 0
-                    best_state = ({k: v.copy() for k, v in self.params.items()}, dict(self.bn))
-                else:
-                    bad += 1
-                    if bad >= cfg.patience:
-                        break
-        if best_state is not None:
-            self.params, self.bn = best_state
+                if n:
+                    opt.step(self.params, self._unflatten(g / n))
+                    self._set_bn(bn)
+                    seen, sse = seen + n, sse + loss
+            train_loss = sse / max(seen, 1)
+            losses.append(self._loss(val, feats, label) if val is not None else train_loss)
+            self.history.append((epoch + 1, train_loss, losses[-1]))
+            best = latest_best(losses, cfg.min_delta)
+            if best == epoch:
+                states = {epoch: ({k: v.copy() for k, v in self.params.items()}, dict(self.bn))}
+            if 0 < cfg.patience <= epoch - best:
+                break
+        if cfg.patience > 0 and states:
+            self.params, self.bn = states[max(states)]
         data.unpersist()
         if val is not None:
             val.unpersist()
         return self
 
+    def save(self, path: str, spark) -> None:
+        """Configuration, weights and running statistics as one row of JSON text."""
+        import json
+        from dataclasses import asdict
+        state = {"cfg": asdict(self.cfg), "params": {k: v.tolist() for k, v in self.params.items()},
+                 "bn": {k: v.tolist() for k, v in self.bn.items()}}
+        spark.createDataFrame([(json.dumps(state),)], "value string").write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, path: str, spark) -> "SparkMLP":
+        import json
+        state = json.loads(spark.read.text(path).first()[0])
+        net = cls(MLPConfig(**state["cfg"]))
+        net.params = {k: np.array(v) for k, v in state["params"].items()}
+        net.bn = {k: np.array(v) for k, v in state["bn"].items()}
+        return net
+
     def predict(self, df: DataFrame, feats: str = "features", out: str = "prediction") -> DataFrame:
         ship_package(df.sparkSession)
         params, bn, kcfg = self.params, dict(self.bn), self._kcfg()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import blend
+from foldwise.operators.lookup import bounded
 
 
 def blend_sufficient_stats(df: DataFrame, by, y: str = "y", a: str = "pred_a",
@@ -45,7 +46,7 @@ def optimize_weight(df: DataFrame, by, y: str = "y", a: str = "pred_a", b: str =
 
 def apply_blend(df: DataFrame, weights: DataFrame, by, a: str = "pred_a", b: str = "pred_b",
                 out: str = "pred") -> DataFrame:
-    """``w*a + (1-w)*b`` with the group's weight joined in (weights
-    table has one row per group; k rows when grouped by fold)."""
-    return df.join(F.broadcast(weights.select(*by, "best_w")), list(by)).withColumn(
+    """``w*a + (1-w)*b`` with the group's weight joined in (weights table: one
+    row per group, k rows when grouped by fold, a bounded lookup)."""
+    return df.join(bounded(weights.select(*by, "best_w")), list(by)).withColumn(
         out, blend(F.col("best_w"), a, b))

@@ -5,8 +5,8 @@ once from per-fold partials (one ``groupBy(fold, ...)`` pass over the data)
 and then combined over the other k-1 folds on tables of k x k (x categories)
 rows: no k copies of the data, no subtraction from totals (no cancellation);
 variances combine with the parallel (Chan) formula.  Tables of k rows are
-broadcast (size bounded by k); per-category tables are joined normally and
-AQE broadcasts them at run time when they are small.
+broadcast (size bounded by k); per-category tables are bounded lookups (see
+``lookup``): broadcast after a check of their rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.operators.lookup import bounded
+
+# fixed values of the study's protocol: columns by scaling, encoded columns, variants
 MINMAX_COLS = ("x", "y", "z", "condition", "age", "bedrooms", "bathrooms", "floors", "view")
 ZSCORE_COLS = ("sqft_living", "sqft_above", "sqft_basement", "log_sqft_lot", "city", "zipcode")
 TE_COLS = ("city", "zipcode")
@@ -214,7 +217,7 @@ def variant_columns(variant: str, base_features) -> list[str]:
         return [c for c in feats if c not in TE_COLS]
     if variant == "tgt_only":
         return [c for c in feats if c not in ("x", "y", "z")]
-    raise ValueError(f"Unknown variant: {variant} (expected one of {VARIANTS})")
+    raise ValueError(f"no location encoding named {variant!r}; known: {', '.join(VARIANTS)}")
 
 
 BASE_FEATURES = ("bedrooms", "bathrooms", "sqft_living", "floors", "waterfront", "view",
@@ -230,21 +233,25 @@ class FoldState:
     features: list
     encodings: dict = field(default_factory=dict)   # col -> (enc, gmean)
     scale: DataFrame | None = None                  # one row per heldout
-    target: DataFrame | None = None                 # heldout, target__min, target__max
+    target: DataFrame | None = None                 # heldout, <target>__min, <target>__max
     age_range: DataFrame | None = None
 
 
 class FoldPreprocessor:
     """Encode -> MinMax -> Z-score -> optional age bins -> variant drops,
-    every statistic fitted on the train rows of each held-out fold."""
+    every statistic fitted on the train rows of each held-out fold.
+
+    Location encodings average ``target``; ``targets`` are the columns to predict,
+    whose MinMax-scaled values become ``<t>__label`` (``label`` for the first)."""
 
-    def __init__(self, k: int = 5, variant: str = "tgt", target: str = "price",
+    def __init__(self, k: int = 5, variant: str = "tgt", target: str = "price", targets=None,
                  smoothing: float = 10.0, minmax_cols=MINMAX_COLS, zscore_cols=ZSCORE_COLS,
                  age_bins: bool = False, age_fit_on: str = "train", fold: str = "fold",
                  base_features=BASE_FEATURES):
         if variant not in VARIANTS:
-            raise ValueError(f"Unknown variant: {variant} (expected one of {VARIANTS})")
+            raise ValueError(f"no location encoding named {variant!r}; known: {', '.join(VARIANTS)}")
         self.k, self.variant, self.target, self.smoothing = k, variant, target, smoothing
+        self.targets = tuple(targets or (target,))
         self.minmax_cols, self.zscore_cols = tuple(minmax_cols), tuple(zscore_cols)
         self.age_bins, self.age_fit_on, self.fold = age_bins, age_fit_on, fold
         self.base_features = tuple(base_features)
@@ -262,8 +269,8 @@ class FoldPreprocessor:
         scaled = [c for c in (*self.minmax_cols, *self.zscore_cols) if c in feats]
         raw_cols = [c for c in scaled if c not in te_cols]
         # pass 2: moments of every raw scaled column and of the target
-        raw = fold_fit_stats(df, [*raw_cols, self.target], self.k, self.fold)
-        parts = [raw.where(F.col("column") != self.target)] if raw_cols else []
+        raw = fold_fit_stats(df, [*raw_cols, *self.targets], self.k, self.fold)
+        parts = [raw.where(~F.col("column").isin(*self.targets))] if raw_cols else []
         for c in te_cols:
             if c in scaled:
                 parts.append(encoded_fit_stats(part, c, st.encodings[c][0], self.k))
@@ -271,8 +278,9 @@ class FoldPreprocessor:
         for p in parts[1:]:
             stats_long = stats_long.unionByName(p)
         st.scale = wide_stats(stats_long, scaled)
-        st.target = raw.where(F.col("column") == self.target).select(
-            "heldout", F.col("min").alias("target__min"), F.col("max").alias("target__max"))
+        st.target = raw.groupBy("heldout").agg(*[
+            F.max(F.when(F.col("column") == t, F.col(s))).alias(f"{t}__{s}")
+            for t in self.targets for s in ("min", "max")])
         if self.age_bins and "age" in df.columns:
             st.age_range = fold_fit_stats(df, ["age"], self.k, self.fold).select(
                 "heldout", F.col("min").alias("age__lo"), F.col("max").alias("age__hi"))
@@ -282,7 +290,7 @@ class FoldPreprocessor:
     def _materialize(st: FoldState) -> FoldState:
         """Write the small fitted tables once (k rows, or k x categories), so
         every pass of a model fit reads them instead of re-aggregating the data."""
-        st.encodings = {c: (e.checkpoint(), g.checkpoint()) for c, (e, g) in st.encodings.items()}
+        st.encodings = {c: (bounded(e), bounded(g)) for c, (e, g) in st.encodings.items()}
         st.scale = st.scale.checkpoint()
         st.target = st.target.checkpoint()
         if st.age_range is not None:
@@ -290,8 +298,8 @@ class FoldPreprocessor:
         return st
 
     def transform(self, df: DataFrame, st: FoldState, heldout: int | None = None) -> DataFrame:
-        """Rows with ``heldout, split``, scaled features and ``label`` = the
-        MinMax-scaled target.  ``heldout=None`` expands all k folds (E0)."""
+        """Rows with ``heldout, split``, scaled features, and the MinMax-scaled targets
+        as labels.  ``heldout=None`` expands all k folds (E0)."""
         out = expand_folds(df, st.k, self.fold) if heldout is None else with_split(
             df, heldout, self.fold)
         for c, (enc, gmean) in st.encodings.items():
@@ -314,13 +322,13 @@ class FoldPreprocessor:
         for c in self.zscore_cols:
             if c in st.features:
                 repl[c] = zscore_expr(c)
-        span = F.col("target__max") - F.col("target__min")
-        repl["label"] = (F.col(self.target) - F.col("target__min")) / F.when(span == 0, F.lit(1.0)).otherwise(span)
-        out = out.withColumns(repl)
+        labels = {f"{t}__label": minmax_expr(t) for t in self.targets}
+        labels["label"] = minmax_expr(self.targets[0])
+        out = out.withColumns(repl | labels)
         feats = list(st.features) + (["age_bin"] if st.age_range is not None else [])
         keep = [c for c in df.columns if c not in self.base_features]
         return out.select(*keep, "heldout", "split", *[F.col(c).cast("double") for c in feats],
-                          "label", "target__min", "target__max")
+                          *labels, *[f"{t}__{s}" for t in self.targets for s in ("min", "max")])
 
     def feature_names(self, st: FoldState) -> list[str]:
         return list(st.features) + (["age_bin"] if st.age_range is not None else [])

@@ -16,15 +16,18 @@ HIGHER_IS_BETTER = {"RMSE": False, "MAE": False, "MAPE": False, "R2": True,
 
 
 def metric_aggs(y: str = "y", p: str = "pred") -> list[Column]:
-    """Sufficient statistics of one group, as aggregate columns."""
+    """Sufficient statistics of one group, as aggregate columns, over the rows that
+    have both a target and a prediction (``n`` counts these)."""
+    both = F.col(y).isNotNull() & F.col(p).isNotNull()
     err = F.col(y) - F.col(p)
+    y = F.when(both, F.col(y))
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count_if(both).alias("n"),
         F.sum(err * err).alias("_sse"),
         F.avg(F.abs(err)).alias("MAE"),
-        F.avg(F.abs(F.try_divide(err, F.col(y)))).alias("_ape"),
-        F.count_if(F.col(y) == 0).alias("n_zero_target"),
-        (F.var_pop(F.col(y)) * F.count(F.col(y))).alias("_sst"),
+        F.avg(F.abs(F.try_divide(err, y))).alias("_ape"),
+        F.count_if(y == 0).alias("n_zero_target"),
+        (F.var_pop(y) * F.count(y)).alias("_sst"),
     ]
 
 
@@ -34,7 +37,7 @@ def finish_metrics(df: DataFrame, n_features) -> DataFrame:
     r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))
     dof = F.col("n") - p - 1
     adj = F.when(dof > 0, F.lit(1.0) - (F.lit(1.0) - F.col("R2")) * (F.col("n") - 1) / dof)
-    return (df.withColumn("RMSE", F.sqrt(F.col("_sse") / F.col("n")))
+    return (df.withColumn("RMSE", F.sqrt(F.try_divide(F.col("_sse"), F.col("n"))))
               .withColumn("MAPE", F.col("_ape") * 100)
               .withColumn("R2", r2)
               .withColumn("Adjusted_R2", adj)
@@ -109,9 +112,13 @@ def array_loss(pred: str, target: str, loss: str = "mse") -> Column:
 def mean_loss(df: DataFrame, pred: str, target: str, loss: str = "mse", by=()) -> DataFrame:
     """Losses by name, sum / n over array predictions (MSE, L1: mean over
     every element; cross-entropy: mean over rows)."""
-    per_row = array_loss(pred, target, loss)
+    return df.groupBy(*by).agg(loss_value(pred, target, loss).alias("loss"))
+
+
+def loss_value(pred: str, target: str, loss: str = "mse") -> Column:
+    """The aggregate behind ``mean_loss``: several losses can share a pass."""
     denom = F.count(F.lit(1)) * (F.lit(1) if loss == "ce" else F.max(F.size(pred)))
-    return df.groupBy(*by).agg((F.sum(per_row) / denom).alias("loss"))
+    return F.try_divide(F.sum(array_loss(pred, target, loss)), denom)
 
 
 def loss_gradient(pred: str, target: str, loss: str = "mse") -> Column:

@@ -38,19 +38,15 @@ def top_k_with_baseline(adj: DataFrame, k: int = 7, value: str = "adjusted_r2_te
     """T3 + U1 + P18 + P19: the top k rows plus the baseline row when it is
     not among them, with a display label and a baseline flag.
 
-    The top k is a per-row rank over a metric table (one row per
-    configuration), so the rank window sees only configurations.
+    The top k is an ordered limit (k rows per task, merged), not a global window.
     """
-    w = Window.orderBy(F.col(value).desc(), "model", "variant")
-    ranked = adj.withColumn("_rank", F.row_number().over(w))
-    top = ranked.where(F.col("_rank") <= k)
-    base = ranked.where((F.col("model") == baseline[0]) & (F.col("variant") == baseline[1]))
+    top = adj.orderBy(F.col(value).desc(), "model", "variant").limit(k)
+    base = adj.where((F.col("model") == baseline[0]) & (F.col("variant") == baseline[1]))
     out = top.unionByName(base).dropDuplicates(["model", "variant"])
     is_base = (F.col("model") == baseline[0]) & (F.col("variant") == baseline[1])
     return (out.withColumn("is_baseline", is_base)
                .withColumn("label", display_label("model", "variant"))
-               .orderBy(F.col(value).desc(), "model", "variant")
-               .drop("_rank"))
+               .orderBy(F.col(value).desc(), "model", "variant"))
 
 
 def order_by_category(df: DataFrame, col: str, order, keys=()) -> DataFrame:

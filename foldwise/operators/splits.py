@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import hash_bucket, hash_fraction, hash_key
+from foldwise.operators.lookup import bounded
 from foldwise.operators.ordering import with_global_position
 
 
@@ -69,13 +70,14 @@ def holdout_split(df: DataFrame, val_split: float = 0.1, seed: int = 42,
     """
     by = list(by)
     placed = with_global_position(df.withColumn("_hk", hash_key(seed, key)),
-                                  [*[F.col(b).asc() for b in by], F.col("_hk").asc(),
+                                  [*[F.col(b).asc_nulls_first() for b in by], F.col("_hk").asc(),
                                    F.col(key).asc()], "_pos")
     if by:
-        per = placed.groupBy(*by).agg(F.min("_pos").alias("_start"),
-                                      F.count(F.lit(1)).alias("_n"))
-        # one row per group: joined plainly, AQE broadcasts it at run time when small
-        ranked = placed.join(per, by)
+        # one row per group; a NULL key is a group like any other
+        per = bounded(placed.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(
+            F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n")))
+        ranked = placed.join(per, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]).drop(
+            *[f"_by_{b}" for b in by])
     else:
         ranked = placed.crossJoin(F.broadcast(
             placed.agg(F.lit(0).cast("bigint").alias("_start"), F.count(F.lit(1)).alias("_n"))))
@@ -97,12 +99,10 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: in
     placed = with_global_position(df.withColumn("_hk", hk),
                                   [F.col(label).asc_nulls_first(), F.col("_hk").asc(),
                                    F.col(key).asc()], "_pos")
-    per_class = placed.groupBy(label).agg(F.min("_pos").alias("_start"),
-                                          F.count(F.lit(1)).alias("_n"))
-    # one row per class; the class count is not bounded in general, so no
-    # broadcast hint (AQE broadcasts at run time when small)
-    return (placed.join(per_class, placed[label].eqNullSafe(per_class[label]))
-                  .drop(per_class[label])
+    per_class = bounded(placed.groupBy(F.col(label).alias("_class")).agg(
+        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n")))   # one row per class
+    return (placed.join(per_class, F.col(label).eqNullSafe(F.col("_class")))
+                  .drop("_class")
                   .withColumn(out, F.when(F.col("_pos") - F.col("_start") <
                                           F.ceil(F.col("_n") * test_size), "test")
                               .otherwise("train"))

@@ -26,15 +26,30 @@ from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
 from foldwise.operators import metrics as ME
 from foldwise.operators import splits as SP
+from foldwise.operators.lookup import bounded
 from foldwise.sources import io as IO
 
 
+def base_variants(split: DataFrame, target: str = "price", smoothing: float = 10.0) -> dict:
+    """The two stored variants of a frame with a ``split`` column: ``cat`` without
+    coordinates, ``tgt`` with city and zip encoded by the train rows' target."""
+    coded = split.withColumn("_f", (F.col("split") == "test").cast("int")).withColumn("heldout", F.lit(1))
+    part = EN.category_partials(coded, FE.ADDRESS_COLS, target, "_f")
+    tgt = coded
+    for c in FE.ADDRESS_COLS:
+        enc, gmean = EN.encoding_tables(part, c, 2, smoothing)
+        tgt = EN.apply_encoding(tgt, c, bounded(enc.where("heldout = 1")), gmean.where("heldout = 1"))
+    return {"cat": FE.drop_coords(split), "tgt": tgt.drop("_f", "heldout")}
+
+
 def preprocess(raw: DataFrame, out_path: str | None = None, upper_quantile: float = 0.999):
-    """L1: engineered frame, the 80/20 split and the materialized base variants."""
+    """L1: the engineered frame and its 80/20 split; with ``out_path`` the engineered frame
+    and the base variants are written below it."""
     eng = FE.engineer(raw, upper_quantile).checkpoint()
+    split = SP.train_test_split(eng, 0.2, 42).checkpoint()
     if out_path:
         IO.write_table(eng, f"{out_path}/engineered")
-    split = SP.train_test_split(eng, 0.2, 42).checkpoint()
+        IO.write_variants(base_variants(split), f"{out_path}/variants")
     return eng, split
 
 
@@ -79,37 +94,54 @@ def fit_model(model: str, train: DataFrame, label: str = "label", params: dict |
     return _Fitted(_estimator(model, label, **params).fit(train))
 
 
-def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k: int = 5,
-                   target: str = "price", params: dict | None = None, parallel: int = 1,
-                   save_dir: str | None = None):
-    """L2 (+L5): k-fold CV of one model on one variant.
+def save_fitted(fitted: _Fitted, path: str, spark) -> None:
+    """Every kind of model that ``fit_model`` makes."""
+    m = fitted.model
+    if hasattr(m, "write"):
+        TR.save_model(m, path)
+    elif hasattr(m, "save"):
+        m.save(path, spark)
+    else:
+        raise TypeError(f"{type(m).__name__} can't be saved")
 
-    Returns ``(scored, fold_metrics, summary)``: predictions back in target
-    units for train and test rows of every fold, the per-fold metrics (with
-    fit and predict seconds) and the mean / population std over folds.
+
+def run_folds(folded: DataFrame, model: str, variant: str, k: int, targets=("price",), params: dict | None = None,
+              save_dir: str | None = None, parallel: int = 1, carry=()):
+    """Fit one model per held-out fold and target, all targets on the same features.
+
+    Location encodings are fitted on the price, whatever the target is.  A fold's
+    encoded rows are one narrow frame, kept once and read by every pass of every
+    learner; all predictions are added to that frame, so nothing is joined back.
+    Returns ``(scored, timing, n_features)``; ``scored`` has ``pred_<target>`` in the
+    target's units, ``y_<target>``, and the ``carry`` columns.
     """
-    fp = EN.FoldPreprocessor(k, variant, target=target)
+    spark = folded.sparkSession
+    fp = EN.FoldPreprocessor(k, variant, targets=targets)
     st = fp.fit(folded)
     feats = fp.feature_names(st)
     assembler = VectorAssembler(inputCols=feats, outputCol="features")
 
     def one_fold(h: int):
-        # no cache of the fold frame: it is a projection of the checkpointed
-        # folded frame joined to tiny fitted tables, and the learners persist
-        # their own binned / working input
-        fr = assembler.transform(fp.transform(folded, st, h))
-        train = fr.where(F.col("split") == "train")
-        t0 = time.perf_counter()
-        fitted = fit_model(model, train, "label", params)
-        fit_s = time.perf_counter() - t0
-        pred = fitted.predict(fr, "_pred_scaled")
-        pred = pred.select(
-            "row_id", "heldout", "split", F.col(target).alias("y"),
-            EN.invert_minmax(F.col("_pred_scaled"), F.col("target__min"), F.col("target__max")).alias("pred"))
-        pred = pred.checkpoint()   # narrow predictions, materialized once
-        if save_dir and hasattr(fitted.model, "write"):
-            TR.save_model(fitted.model, f"{save_dir}/{model}_{variant}_fold{h}")
-        return pred, fit_s
+        rows = folded.withColumns({f"y_{t}": F.col(t) for t in targets} | {f"c_{c}": F.col(c) for c in carry})
+        parts = [c for t in targets for c in (f"y_{t}", f"{t}__label", f"{t}__min", f"{t}__max")]
+        frame = assembler.transform(fp.transform(rows, st, h)).select(
+            "row_id", "heldout", "split", "features", *parts, *[f"c_{c}" for c in carry]).checkpoint()
+        train = frame.where(F.col("split") == "train")
+        out, seconds = frame, 0.0
+        for t in targets:
+            # a row without this target has no label to fit
+            known = train.where(F.col(f"{t}__label").isNotNull()).withColumnRenamed(f"{t}__label", "label")
+            begun = time.perf_counter()
+            fitted = fit_model(model, known, "label", params)
+            seconds += time.perf_counter() - begun
+            out = fitted.predict(out, f"_p_{t}")
+            if save_dir:
+                save_fitted(fitted, f"{save_dir}/{model}_{variant}_{t}_fold{h}", spark)
+        begun = time.perf_counter()
+        out = out.select("row_id", "heldout", "split", *[f"c_{c}" for c in carry], *[f"y_{t}" for t in targets], *[
+            EN.invert_minmax(F.col(f"_p_{t}"), F.col(f"{t}__min"), F.col(f"{t}__max")).alias(f"pred_{t}")
+            for t in targets]).checkpoint()
+        return out, (h, seconds, time.perf_counter() - begun)
 
     if parallel > 1:
         with ThreadPoolExecutor(parallel) as ex:
@@ -119,34 +151,37 @@ def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k
     scored = results[0][0]
     for p, _ in results[1:]:
         scored = scored.unionByName(p)
-    spark = folded.sparkSession
-    timing = spark.createDataFrame([(h, float(s)) for h, (_, s) in enumerate(results)],
-                                   "heldout int, fit_seconds double")
-    scored = scored.withColumn("n_features", F.lit(len(feats)))
+    timing = spark.createDataFrame([r for _, r in results], "heldout int, fit_seconds double, predict_seconds double")
+    return scored.withColumn("n_features", F.lit(len(feats))), timing, len(feats)
+
+
+def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k: int = 5,
+                   target: str = "price", params: dict | None = None, parallel: int = 1,
+                   save_dir: str | None = None, metrics_path: str | None = None):
+    """L2 (+L5): k-fold CV of one model on one variant.
+
+    Returns ``(scored, fold_metrics, summary)``: predictions back in target
+    units for train and test rows of every fold, the per-fold metrics (with
+    fit and predict seconds) and the mean / population std over folds.
+    ``metrics_path``: a metric table that the summary is appended to (S5).
+    """
+    scored, timing, n = run_folds(folded, model, variant, k, (target,), params, save_dir, parallel)
+    scored = scored.withColumnRenamed(f"y_{target}", "y").withColumnRenamed(f"pred_{target}", "pred")
     fm = ME.fold_split_metrics(scored, [])
-    fm = (fm.join(F.broadcast(timing), "heldout")
+    fm = (fm.join(F.broadcast(timing), "heldout")   # k rows
             .withColumn("model", F.lit(model)).withColumn("variant", F.lit(variant))
-            .withColumn("n_features", F.lit(len(feats))))
-    summary = ME.cv_summary(fm.drop("fit_seconds", "n_features", "n_zero_target"),
+            .withColumn("n_features", F.lit(n)))
+    summary = ME.cv_summary(fm.drop("fit_seconds", "predict_seconds", "n_features", "n_zero_target"),
                             ["model", "variant"], "pop")
+    if metrics_path:
+        IO.save_metrics(summary.withColumn("target", F.lit(target)), metrics_path)
     return scored, fm, summary
 
 
-def cross_validate_stack(folded: DataFrame, model: str = "dt", variant: str = "tgt", k: int = 5,
-                         params: dict | None = None, area: str = "sqft_living"):
-    """L3: a price model and a price-per-area model on the same features per
-    fold; the blend weight is searched on each fold's train predictions (in
-    dollars, pps predictions times the raw area), then both splits are blended."""
-    withpps = folded.withColumn("price_per_sqft", F.try_divide(F.col("price"), F.col(area))) \
-                    .withColumn("_area_raw", F.col(area))
-    sp, _, _ = cross_validate(withpps, model, variant, k, "price", params)
-    spp, _, _ = cross_validate(withpps, model, variant, k, "price_per_sqft", params)
-    area_tbl = withpps.select("row_id", "_area_raw")
-    both = (sp.withColumnRenamed("pred", "pred_a")
-              .join(spp.select("row_id", "heldout", "split", F.col("pred").alias("_pps")),
-                    ["row_id", "heldout", "split"])
-              .join(area_tbl, "row_id")
-              .withColumn("pred_b", F.col("_pps") * F.col("_area_raw")))
+def blend_members(both: DataFrame, model: str, variant: str):
+    """The stack's second half: ``both`` has y, pred_a (price member) and pred_b (price per
+    area x area) for each row, held-out fold and split.  The weight is searched on a
+    fold's train predictions and applied to both splits."""
     w = BL.optimize_weight(both.where(F.col("split") == "train"), ["heldout"], "y", "pred_a", "pred_b")
     blended = BL.apply_blend(both, w, ["heldout"])
     fm = ME.fold_split_metrics(blended, [])
@@ -155,7 +190,23 @@ def cross_validate_stack(folded: DataFrame, model: str = "dt", variant: str = "t
     return blended, fm, summary, w
 
 
-def grid(folded: DataFrame, models=("dt", "rf", "boost"), variants=EN.VARIANTS,
+def cross_validate_stack(folded: DataFrame, model: str = "dt", variant: str = "tgt", k: int = 5,
+                         params: dict | None = None, area: str = "sqft_living", metrics_path: str | None = None):
+    """L3: a price model and a price-per-area model on the same price-encoded features
+    per fold; the blend weight is searched on each fold's train predictions (in
+    dollars, pps predictions times the raw area), then both splits are blended."""
+    withpps = FE.price_per_area(folded, "price", area, "price_per_sqft")
+    scored, _, _ = run_folds(withpps, model, variant, k, ("price", "price_per_sqft"), params, carry=(area,))
+    both = scored.select("row_id", "heldout", "split", "n_features", F.col("y_price").alias("y"),
+                         F.col("pred_price").alias("pred_a"),
+                         (F.col("pred_price_per_sqft") * F.col(f"c_{area}")).alias("pred_b"))
+    out = blend_members(both, model, variant)
+    if metrics_path:
+        IO.save_metrics(out[2].withColumn("target", F.lit("price")), metrics_path)
+    return out
+
+
+def grid(folded: DataFrame, models=("dt", "rf", "boost", "mlp"), variants=EN.VARIANTS,
          modes=("single", "stack"), k: int = 5, params: dict | None = None) -> DataFrame:
     """L4: every (model, variant, mode); returns the long metric table."""
     out = None
@@ -175,20 +226,20 @@ def map_table(engineered: DataFrame, raw: DataFrame, model: str = "dt", variant:
     """L6 + J2: fit on all rows, predict, attach to raw coordinates by row key
     (positive price, actual <= quantile q, coordinates present), z-score
     against the actual (population std) and clip."""
-    df = engineered.withColumn("fold", F.lit(0))
     fp = EN.FoldPreprocessor(2, variant)
-    # fit on everything: a single fold id 1 never held out -> heldout 0 fits on all rows
-    st = fp.fit(df.withColumn("fold", F.lit(1)))
-    fr = fp.transform(df.withColumn("fold", F.lit(1)), st, 0)
-    feats = fp.feature_names(st)
-    fr = VectorAssembler(inputCols=feats, outputCol="features").transform(fr)
+    # fit on everything: with fold 1 only, held-out fold 0 is empty and fits on all rows
+    everything = engineered.withColumn("fold", F.lit(1))
+    st = fp.fit(everything)
+    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
+        fp.transform(everything, st, 0)).select(
+        "row_id", "features", F.col("price__label").alias("label"), "price__min", "price__max").checkpoint()
     fitted = fit_model(model, fr, "label", params)
     pred = fitted.predict(fr, "_ps").select(
-        "row_id", EN.invert_minmax(F.col("_ps"), F.col("target__min"), F.col("target__max")).alias("pred"))
+        "row_id", EN.invert_minmax(F.col("_ps"), F.col("price__min"), F.col("price__max")).alias("pred"))
     coords = FE.keep_positive(raw).select("row_id", F.col("price").alias("actual"), "lat", "long")
     cap = F.broadcast(FE.outlier_cap(coords, "actual", q))
     coords = FE.drop_missing_coords(coords.crossJoin(cap).where(F.col("actual") <= F.col("cap")).drop("cap"))
-    j = coords.join(pred, "row_id", "inner")
+    j = coords.join(pred, "row_id", "inner").checkpoint()   # counted, summed up and returned
     # Every coordinate row must find its prediction (row-count check)
     n_coords, n_joined = coords.count(), j.count()
     if n_coords != n_joined:

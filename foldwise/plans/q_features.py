@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions import scalar as S
+from foldwise.operators.lookup import bounded
 from foldwise.operators import features as FE
 from foldwise.operators import stats as ST
 from foldwise.operators.ordering import global_row_number
@@ -149,7 +150,7 @@ r AS (SELECT row_id, city, price, sqft_living, price / sqft_living AS pps,
 
 def _ranked(spark, sf_dir):
     df = sales(spark, sf_dir).select("row_id", "city", "price", "sqft_living",
-                                     (F.col("price") / F.col("sqft_living")).alias("pps"))
+                                     S.safe_ratio("price", "sqft_living").alias("pps"))
     df = global_row_number(df, [F.col("price").desc(), F.col("row_id").asc()], "price_rank")
     return global_row_number(df, [F.col("pps").desc(), F.col("row_id").asc()], "per_sqft_rank")
 
@@ -179,8 +180,8 @@ def w3_group_mean(spark, sf_dir):
     """Mean over the city group attached to every row (aggregate + join,
     not a window over a possibly hot key)."""
     df = sales(spark, sf_dir).select("row_id", "city", "price")
-    m = df.groupBy("city").agg(F.avg("price").alias("city_mean_price"))
-    return df.join(m, "city").select("row_id", "city", _r("city_mean_price").alias("city_mean_price"))
+    m = bounded(df.groupBy(F.col("city").alias("_city")).agg(F.avg("price").alias("city_mean_price")))
+    return df.join(m, F.col("city").eqNullSafe(F.col("_city"))).select("row_id", "city", _r("city_mean_price").alias("city_mean_price"))
 
 
 @register("j4_scalar_to_rows", f"""WITH {SALES},

@@ -73,12 +73,12 @@ def metrics_long(spark, sf_dir):
 _BASE = f"""WITH {SALES}, {SCORED},
 sf AS (SELECT *, {HASH_FOLD} AS fold FROM scored),
 h AS (SELECT CAST(range AS INTEGER) AS heldout FROM range(5)),
-ex AS (SELECT sf.*, heldout, CASE WHEN fold = heldout THEN 'test' ELSE 'train' END AS split FROM sf, h),
+ex AS MATERIALIZED (SELECT sf.*, heldout, CASE WHEN fold = heldout THEN 'test' ELSE 'train' END AS split FROM sf, h),
 nf AS (SELECT * FROM (VALUES ('cat', 14), ('tgt', 17), ('coord_only', 15), ('tgt_only', 14)) t(variant, n_features)),
 grid AS (SELECT range / 100 AS w FROM range(101)),
 wr AS (SELECT model, variant, heldout, w, sqrt(avg((y - (w * pred_a + (1 - w) * pred_b)) ^ 2)) AS rmse
        FROM ex, grid WHERE split = 'train' GROUP BY model, variant, heldout, w),
-bw AS (SELECT model, variant, heldout, first(w ORDER BY rmse, w) AS best_w, min(rmse) AS best_rmse
+bw AS MATERIALIZED (SELECT model, variant, heldout, first(w ORDER BY rmse, w) AS best_w, min(rmse) AS best_rmse
        FROM wr GROUP BY model, variant, heldout),
 preds AS (SELECT model, variant, heldout, split, y, pred_a AS pred FROM ex
           UNION ALL
@@ -324,14 +324,13 @@ def a23_improvement(spark, sf_dir):
 
 # ------------------------------------------------------------------ array metrics on embeddings
 
-_EMB = """e AS (SELECT vec_id, label, CAST(list_slice(embedding, 1, 10) AS DOUBLE[]) AS p FROM embeddings)"""
+_EMB = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS p FROM embeddings)"""
 
 
 def _emb(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    p = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
-    onehot = F.transform(F.sequence(F.lit(0), F.lit(9)),
-                         lambda i: F.when(i == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    p = F.col("embedding").cast("array<double>")
+    onehot = F.transform(p, lambda v, i: F.when(i == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0)))
     return e.select("vec_id", "label", p.alias("p"), onehot.alias("t"))
 
 
@@ -339,32 +338,28 @@ def _emb(spark, sf_dir):
 SELECT round(avg(CASE WHEN list_position(p, list_max(p)) - 1 = label THEN 1.0 ELSE 0.0 END), 8) AS accuracy,
        count(*) AS n FROM e""")
 def a19_argmax_accuracy(spark, sf_dir):
-    """Accuracy of the argmax over the first 10 embedding values against the label."""
+    """Accuracy of the argmax over the embedding values against the label."""
     acc = ME.argmax_accuracy(_emb(spark, sf_dir), "p", "label")
     return acc.select(_r("accuracy", 8).alias("accuracy"), "n")
 
 
 @register("a20_losses", f"""WITH {_EMB},
 l AS (SELECT p, label, list_max(p) AS mx,
-             list_sum(list_transform(range(1, 11), lambda i: (p[i] - CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END) ^ 2)) AS se,
-             list_sum(list_transform(range(1, 11), lambda i: abs(p[i] - CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END))) AS ae
+             list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END) ^ 2)) AS se,
+             list_sum(list_transform(range(1, len(p) + 1), lambda i: abs(p[i] - CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END))) AS ae
       FROM e)
-SELECT round(sum(se) / (count(*) * 10), 8) AS mse, round(sum(ae) / (count(*) * 10), 8) AS l1,
+SELECT round(sum(se) / sum(len(p)), 8) AS mse, round(sum(ae) / sum(len(p)), 8) AS l1,
        round(avg(mx + ln(list_sum(list_transform(p, lambda v: exp(v - mx)))) - p[label + 1]), 8) AS ce
 FROM l""")
 def a20_losses(spark, sf_dir):
     """MSE, L1 and cross-entropy over array predictions (sum / n)."""
     e = _emb(spark, sf_dir)
-    mse = ME.mean_loss(e, "p", "t", "mse").withColumnRenamed("loss", "mse")
-    l1 = ME.mean_loss(e, "p", "t", "l1").withColumnRenamed("loss", "l1")
-    ce = ME.mean_loss(e, "p", "t", "ce").withColumnRenamed("loss", "ce")
-    return mse.crossJoin(l1).crossJoin(ce).select(_r("mse", 8).alias("mse"), _r("l1", 8).alias("l1"),
-                                                  _r("ce", 8).alias("ce"))
+    return e.agg(*[F.round(ME.loss_value("p", "t", kind), 8).alias(kind) for kind in ("mse", "l1", "ce")])
 
 
 @register("m10_target_step", f"""WITH {_EMB}
 SELECT vec_id, i - 1 AS pos, round(p[i] - 0.5 * 2 * (p[i] - CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END), 8) AS target
-FROM e, range(1, 11) r(i)""")
+FROM e, unnest(range(1, len(p) + 1)) r(i)""")
 def m10_target_step(spark, sf_dir):
     """Next-layer target H - lr * dLoss/dH (summed MSE, lr 0.5) per output slot."""
     e = _emb(spark, sf_dir).withColumn("tgt", ME.target_step("p", "t", 0.5, "mse"))

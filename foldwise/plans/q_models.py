@@ -40,22 +40,12 @@ def m1_l2_tree_cv(spark, sf_dir):
     return _summary(s)
 
 
-@register("m2_forest_holdout")
-def m2_forest_holdout(spark, sf_dir):
-    """M2: 100-tree forest (all features per split, leaf >= 2, depth 12) fitted
-    on the train rows of held-out fold 0 of coord_only; metrics on both splits.
-    (5-fold CV of the forest: ``cv.cross_validate(..., "rf", ...)``.)"""
-    f = folded(spark, sf_dir)
-    fp = EN.FoldPreprocessor(5, "coord_only")
-    st = fp.fit(f)
-    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
-        fp.transform(f, st, 0)).checkpoint()
-    model = TR.random_forest(max_depth=12).fit(fr.where(F.col("split") == "train"))
-    pred = model.transform(fr).withColumn(
-        "pred", EN.invert_minmax(F.col("prediction"), F.col("target__min"), F.col("target__max")))
-    m = ME.regression_metrics(pred, ["split"], "price", "pred", 15)
-    return m.select("split", "n", _r("RMSE", 2).alias("RMSE"), _r("MAE", 2).alias("MAE"),
-                    _r("R2", 6).alias("R2"), _r("Adjusted_R2", 6).alias("Adjusted_R2"))
+@register("m2_l2_forest_cv")
+def m2_l2_forest_cv(spark, sf_dir):
+    """M2 + L2: 5-fold CV of the forest (100 trees, all features per split, leaf >= 2, no
+    depth limit but Spark's own of 30) on coord_only; mean and std per metric."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "rf", "coord_only", 5)
+    return _summary(s)
 
 
 @register("m3_l2_boost_cv")
@@ -74,57 +64,57 @@ def l3_stack_tree_cv(spark, sf_dir):
     return _summary(s)
 
 
-@register("m4_gbt_holdout")
-def m4_gbt_holdout(spark, sf_dir):
-    """M4: one-shot boosted trees (Spark GBT, 50 rounds, depth 5) fitted on
-    fold != 0 rows of the cat variant, metrics on both splits."""
+@register("m4_l2_gbt_cv")
+def m4_l2_gbt_cv(spark, sf_dir):
+    """M4 + L2: 5-fold CV of one-shot boosted trees (200 rounds, depth 5, step 0.1) on cat."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "gbt", "cat", 5)
+    return _summary(s)
+
+
+def _fold_frames(spark, sf_dir, variant):
+    """One kept, assembled frame per held-out fold."""
     f = folded(spark, sf_dir)
-    fp = EN.FoldPreprocessor(5, "cat")
+    fp = EN.FoldPreprocessor(5, variant)
     st = fp.fit(f)
-    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
-        fp.transform(f, st, 0))
-    model = TR.boosted_trees(rounds=50, step=0.1, max_depth=5).fit(fr.where(F.col("split") == "train"))
-    pred = model.transform(fr).withColumn(
-        "pred", EN.invert_minmax(F.col("prediction"), F.col("target__min"), F.col("target__max")))
-    m = ME.regression_metrics(pred, ["split"], "price", "pred", 14)
-    return m.select("split", "n", _r("RMSE", 2).alias("RMSE"), _r("R2", 6).alias("R2"))
+    assembler = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features")
+    for h in range(5):
+        yield h, assembler.transform(fp.transform(f, st, h)).select(
+            "row_id", "split", "price", "features", "label", "price__min", "price__max").checkpoint()
 
 
 @register("m12_boost_with_noise_init")
 def m12_boost_with_noise_init(spark, sf_dir):
-    """M12 + M3 continued: 1 initial round on N(0,1) noise, then 10 rounds toward
-    the label, then 5 more rounds added by a second call; train/test RMSE."""
-    f = folded(spark, sf_dir)
-    fp = EN.FoldPreprocessor(5, "tgt")
-    st = fp.fit(f)
-    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
-        fp.transform(f, st, 1)).checkpoint()
-    train = fr.where(F.col("split") == "train")
-    b = BoostedStages(step=0.3, max_depth=3).fit(train, "label", rounds=10, init_rounds=1)
-    b.fit_increment(train, "label", 5)
-    pred = b.predict(fr, "ps").withColumn(
-        "pred", EN.invert_minmax(F.col("ps"), F.col("target__min"), F.col("target__max")))
-    m = ME.regression_metrics(pred, ["split"], "price", "pred", 17)
-    return m.select("split", "n", _r("RMSE", 2).alias("RMSE"), F.lit(len(b.trees)).alias("n_trees"))
+    """M12 + M3 continued, on every fold of tgt: 1 initial round on N(0,1) noise, then 10
+    rounds toward the label, then 5 more rounds added by a second call; RMSE by split."""
+    out = None
+    for h, fr in _fold_frames(spark, sf_dir, "tgt"):
+        train = fr.where(F.col("split") == "train")
+        b = BoostedStages(step=0.3, max_depth=3).fit(train, "label", rounds=10, init_rounds=1)
+        b.fit_increment(train, "label", 5)
+        pred = b.predict(fr, "ps").withColumn(
+            "pred", EN.invert_minmax(F.col("ps"), F.col("price__min"), F.col("price__max")))
+        m = ME.regression_metrics(pred, ["split"], "price", "pred", 17).select(
+            F.lit(h).alias("heldout"), "split", "n", _r("RMSE", 2).alias("RMSE"), F.lit(len(b.trees)).alias("n_trees")).checkpoint()
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @register("s11_model_roundtrip")
 def s11_model_roundtrip(spark, sf_dir):
-    """Save a fitted tree per fold and load it back; rows where the loaded
-    model's prediction differs from the fitted one (expected: none)."""
-    f = folded(spark, sf_dir)
-    fp = EN.FoldPreprocessor(5, "tgt")
-    st = fp.fit(f)
-    fr = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features").transform(
-        fp.transform(f, st, 2))
-    model = TR.decision_tree().fit(fr.where(F.col("split") == "train"))
-    path = IO.scratch_path(spark, "model")
-    TR.save_model(model, path)
-    back = TR.load_model("DecisionTreeRegressionModel", path)
-    a = model.transform(fr).select("row_id", F.col("prediction").alias("p1"))
-    b = back.transform(fr).select("row_id", F.col("prediction").alias("p2"))
-    j = a.join(b, "row_id")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") != F.col("p2")).alias("n_diff"))
+    """Save a fitted tree per fold and load it back; per fold, rows and rows where the
+    loaded model's prediction differs from the fitted one (expected: none)."""
+    out = None
+    for h, fr in _fold_frames(spark, sf_dir, "tgt"):
+        model = TR.decision_tree().fit(fr.where(F.col("split") == "train"))
+        path = IO.scratch_path(spark, f"model-fold{h}")
+        TR.save_model(model, path)
+        back = TR.load_model("DecisionTreeRegressionModel", path)
+        back.setPredictionCol("_again")
+        both = back.transform(model.transform(fr))
+        m = both.agg(F.lit(h).alias("heldout"), F.count(F.lit(1)).alias("n"),
+                     F.count_if(F.col("prediction") != F.col("_again")).alias("n_diff")).checkpoint()
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @register("l6_map_table")
@@ -150,23 +140,26 @@ def m6_l2_mlp_cv(spark, sf_dir):
     return _summary(s)
 
 
-def _emb_xy(spark, sf_dir, n_in=16):
+WIDTH = 64   # slots of an embedding of the given tables
+
+
+def _emb_xy(spark, sf_dir):
     from foldwise.sources.tables import read_table
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     return e.select(F.col("vec_id").cast("string").alias("row_id"),
-                    F.slice(F.col("embedding").cast("array<double>"), 1, n_in).alias("x"),
+                    F.col("embedding").cast("array<double>").alias("x"),
                     F.array(F.col("label").cast("double")).alias("y"),
                     F.col("label").cast("int").alias("cls"))
 
 
 @register("m7_m9_linear_layer")
 def m7_m9_linear_layer(spark, sf_dir):
-    """M7 + M9: linear layer (16 -> 10 logits, cross-entropy, Adam) trained by
+    """M7 + M9: linear layer (64 -> 10 logits, cross-entropy, Adam) trained by
     one step per call for 15 calls; per-step loss, then the mean input-gradient
     norm of the fitted layer (back-propagation target)."""
     from foldwise.models.neural import LinearLayer
     df = _emb_xy(spark, sf_dir).withColumn("yc", F.array(F.col("cls").cast("double"))).cache()
-    layer = LinearLayer(16, 10, lr=0.05, loss="ce", optimizer="Adam")
+    layer = LinearLayer(WIDTH, 10, lr=0.05, loss="ce", optimizer="Adam")
     hist = []
     for step in range(1, 16):
         layer.fit(df, "x", "yc")
@@ -178,39 +171,50 @@ def m7_m9_linear_layer(spark, sf_dir):
     return h.crossJoin(gn)
 
 
+def _history(spark, net, names):
+    rows = [(r["epoch"], *(float(r[n]) for n in names)) for r in net.history]
+    return spark.createDataFrame(rows, "epoch int, " + ", ".join(f"{n} double" for n in names))
+
+
 @register("m11_layered_net")
 def m11_layered_net(spark, sf_dir):
-    """M8 + M11: two target-propagation layers (16 -> 3 -> 1), random-target
-    init, 2 epochs of inverse and forward fits; loss per epoch on train and test."""
-    from foldwise.models.layered import LayeredBoostedNet
+    """M8 + M11: two boosted stages (64 -> 3 -> 1), random-target start, 2 epochs of
+    inverse and forward fits; loss before and after each epoch on train and test."""
     from foldwise.functions.scalar import hash_fraction
+    from foldwise.models.layered import Boosted, StageNet
     df = _emb_xy(spark, sf_dir).withColumn("is_test", hash_fraction(42, "row_id") < 0.2)
     train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
-    net = LayeredBoostedNet("mse", target_lr=0.5, epsilon=0.1)
-    net.add_layer("tp_layer", 16, 3, rounds=2, step=0.3)
-    net.add_layer("tp_layer", 3, 1, rounds=2, step=0.3)
-    net.init(train, "x", rounds=1)
-    net.fit(train, "x", "y", epochs=2, eval_sets=[test])
-    return spark.createDataFrame([(r["epoch"], float(r["train_loss"]), float(r["eval0_loss"]))
-                                  for r in net.history], "epoch int, train_loss double, test_loss double")
+    net = StageNet([Boosted(WIDTH, 3, 2, 0.3), Boosted(3, 1, 2, 0.3)], "mse", target_lr=0.5, noise=0.1)
+    net.start(train, "x").train(train, "x", "y", epochs=2, watch={"test": test})
+    return _history(spark, net, ("train_loss", "test_loss"))
+
+
+@register("m9_m11_linear_top")
+def m9_m11_linear_top(spark, sf_dir):
+    """M9 + M11: a boosted stage (64 -> 3) under a linear one (3 -> 1) that hands down its
+    loss gradient; 2 epochs; loss before and after each epoch."""
+    from foldwise.models.layered import Boosted, Linear, StageNet
+    df = _emb_xy(spark, sf_dir)
+    net = StageNet([Boosted(WIDTH, 3, 2, 0.3), Linear(3, 1, 0.1)], "mse", target_lr=0.5, noise=0.1)
+    net.start(df, "x").train(df, "x", "y", epochs=2)
+    return _history(spark, net, ("train_loss",))
 
 
 @register("m13_autoencoder")
 def m13_autoencoder(spark, sf_dir):
-    """Boosted autoencoder 8 -> 3 -> 8 (target = the input), one epoch;
-    reconstruction MSE of an all-zero output (reference level), the
-    autoencoder's reconstruction MSE after the epoch, and the hidden codes' width."""
-    from foldwise.models.layered import autoencoder
+    """Boosted autoencoder 8 -> 3 -> 8 of the means of eight neighbouring embedding
+    values, with a learned inverse of the decoder; reconstruction MSE of an all-zero
+    output (reference level), and before and after one epoch."""
+    from foldwise.models.layered import Autoencoder
     from foldwise.operators.metrics import mean_loss
-    df = _emb_xy(spark, sf_dir, 8)
-    net = autoencoder(8, 3, rounds=2, target_lr=0.5, epsilon=0.1)
-    before = mean_loss(df.withColumn("z", F.array_repeat(F.lit(0.0), 8)), "z", "x").first()[0]
-    net.fit(df, "x", "x", epochs=1)
-    h = net.hiddens(df, "x")
-    after = mean_loss(h, "h2", "x").first()[0]
-    width = h.select(F.max(F.size("h1"))).first()[0]
-    return spark.createDataFrame([(float(before), float(after), int(width))],
-                                 "mse_zero double, mse_after double, hidden_width int")
+    step = WIDTH // 8
+    means = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(
+        F.slice("x", i * step + 1, step), F.lit(0.0), lambda a, v: a + v) / step)
+    df = _emb_xy(spark, sf_dir).select("row_id", means.alias("x")).checkpoint()
+    zero = mean_loss(df.withColumn("z", F.array_repeat(F.lit(0.0), 8)), "z", "x").first()[0]
+    net = Autoencoder(8, 3, rounds=2, step=0.3, target_lr=0.5, noise=0.01)
+    net.start(df, "x").train(df, "x", "x", epochs=1)
+    return _history(spark, net, ("train_loss",)).withColumn("mse_zero", F.lit(float(zero)))
 
 
 @register("e12_pca_2d")
@@ -229,78 +233,108 @@ def e12_pca_2d(spark, sf_dir):
 
 @register("l9_model_comparison")
 def l9_model_comparison(spark, sf_dir):
-    """L9 + U2 + A18: boosted trees (M4), a linear layer (M7) and a one-layer
-    boosted net (M11) on the same split; predictions stacked as (model, pred, y)
-    and MAE by model, ascending."""
+    """L9 + U2 + A18: boosted trees (M4), a linear layer (M7), a net of one boosted stage and
+    one of a boosted stage under a linear one (M11), on the same split; predictions
+    stacked as (model, pred, y) and MAE by model, ascending."""
     from pyspark.ml.functions import array_to_vector
+
     from foldwise.functions.scalar import hash_fraction
-    from foldwise.models.layered import LayeredBoostedNet
+    from foldwise.models.layered import Boosted, Linear, StageNet
     from foldwise.models.neural import LinearLayer
     df = _emb_xy(spark, sf_dir).withColumn("is_test", hash_fraction(7, "row_id") < 0.2) \
         .withColumn("features", array_to_vector("x")).withColumn("label", F.col("y")[0]).cache()
     train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
     gbt = TR.boosted_trees(rounds=20, step=0.1, max_depth=5).fit(train)
-    p1 = gbt.transform(test).select(F.lit("gbt").alias("model"), F.col("prediction").alias("pred"),
-                                    F.col("label").alias("y"))
-    lin = LinearLayer(16, 1, lr=0.05, loss="mse", optimizer="Adam")
+    stacked = gbt.transform(test).select(F.lit("gbt").alias("model"), F.col("prediction").alias("pred"),
+                                         F.col("label").alias("y"))
+    lin = LinearLayer(WIDTH, 1, lr=0.05, loss="mse", optimizer="Adam")
     for _ in range(20):
         lin.fit(train, "x", "y")
-    p2 = lin.predict(test, "x", "_o").select(F.lit("linear").alias("model"), F.col("_o")[0].alias("pred"),
-                                             F.col("label").alias("y"))
-    net = LayeredBoostedNet("mse", target_lr=0.5)
-    net.add_layer("tp_layer", 16, 1, rounds=3, step=0.3)
-    net.fit(train, "x", "y", epochs=2)
-    p3 = net.forward(test, "x", "_o").select(F.lit("layered_1").alias("model"), F.col("_o")[0].alias("pred"),
-                                             F.col("y")[0].alias("y"))
-    st = p1.unionByName(p2).unionByName(p3)
-    m = st.groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("MAE"))
+    nets = {"layered_1": StageNet([Boosted(WIDTH, 1, 3, 0.3)], "mse", target_lr=0.5),
+            "layered_linear_top": StageNet([Boosted(WIDTH, 3, 3, 0.3), Linear(3, 1, 0.1)], "mse", target_lr=0.5)}
+    for net in nets.values():
+        net.start(train, "x").train(train, "x", "y", epochs=2, every=0)
+    for name, model in {"linear": lin, **nets}.items():
+        stacked = stacked.unionByName(model.predict(test, "x", "_o").select(
+            F.lit(name).alias("model"), F.col("_o")[0].alias("pred"), F.col("label").alias("y")))
+    m = stacked.groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("MAE"))
     return m.select("model", _r("MAE", 6).alias("MAE")).orderBy("MAE")
 
 
 @register("l5_fold_evaluation")
 def l5_fold_evaluation(spark, sf_dir):
     """L5 + S6 + S11: fold-level evaluation of the tree model on cat: per fold and
-    split the five metrics, n_features and the fit seconds; models saved per fold."""
+    split the five metrics, n_features, fit and predict seconds; models saved per fold."""
     save = IO.scratch_path(spark, "fold-models")
     _, fm, _ = CV.cross_validate(folded(spark, sf_dir), "dt", "cat", 5, save_dir=save)
     return fm.select("model", "variant", "heldout", "split", "n", "n_features",
-                     F.col("fit_seconds").cast("double").alias("fit_seconds"),
+                     "fit_seconds", "predict_seconds",
                      _r("RMSE", 2).alias("RMSE"), _r("MAE", 2).alias("MAE"),
                      _r("MAPE", 4).alias("MAPE"), _r("R2", 6).alias("R2"),
                      _r("Adjusted_R2", 6).alias("Adjusted_R2"))
 
 
 @register("m7_sgd_step", """
-WITH e AS (SELECT CAST(list_slice(embedding, 1, 4) AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS y FROM embeddings)
-SELECT CAST(j AS INTEGER) AS j, round(0.1 * 2 * avg(y * x[j + 1]), 10) AS w FROM e, range(4) t(j) GROUP BY j
-UNION ALL SELECT 4, round(0.1 * 2 * avg(y), 10) FROM e""")
+WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS y FROM embeddings)
+SELECT CAST(j AS INTEGER) AS j, round(0.1 * 2 * avg(y * x[j + 1]), 10) AS w FROM e, range(64) t(j) GROUP BY j
+UNION ALL SELECT 64, round(0.1 * 2 * avg(y), 10) FROM e""")
 def m7_sgd_step(spark, sf_dir):
     """M7: one SGD step (lr 0.1, summed MSE / n) of a zero-initialized linear
-    layer 4 -> 1 on the embeddings; weights j = 0..3 and the bias as j = 4."""
+    layer 64 -> 1 on the embeddings; weights j = 0..63 and the bias as j = 64."""
     from foldwise.models.neural import LinearLayer
-    from foldwise.sources.tables import read_table
-    e = read_table(spark, sf_dir, "embeddings", ["embedding", "label"]).select(
-        F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("x"),
-        F.array(F.col("label").cast("double")).alias("y"))
-    layer = LinearLayer(4, 1, lr=0.1, loss="mse", optimizer="SGD", init="zeros").fit(e, "x", "y")
-    rows = [(j, float(layer.W[j, 0])) for j in range(4)] + [(4, float(layer.b[0]))]
+    layer = LinearLayer(WIDTH, 1, lr=0.1, loss="mse", optimizer="SGD", init="zeros").fit(_emb_xy(spark, sf_dir), "x", "y")
+    rows = [(j, float(layer.W[j, 0])) for j in range(WIDTH)] + [(WIDTH, float(layer.b[0]))]
     return spark.createDataFrame(rows, "j int, w double").select("j", _r("w", 10).alias("w"))
 
 
 @register("l1_preprocess", "WITH " + ENGINEERED + """,
 o AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id) - 1 AS pos,
-             count(*) OVER () AS n FROM engineered)
-SELECT CASE WHEN pos < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1""")
+             count(*) OVER () AS n FROM engineered),
+s AS (SELECT CASE WHEN pos < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1)
+SELECT variant, split, n, cols FROM s, (VALUES ('cat', 17), ('tgt', 20)) v(variant, cols)""")
 def l1_preprocess(spark, sf_dir):
-    """L1: raw records -> engineered frame (written) -> 80/20 split; rows per split."""
+    """L1: raw records -> engineered frame and base variants, written; rows and columns of
+    each variant and split as read back."""
     out = IO.scratch_path(spark, "l1")
-    _, split = CV.preprocess(sales(spark, sf_dir), out)
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    CV.preprocess(sales(spark, sf_dir), out)
+    counts = None
+    for variant in ("cat", "tgt"):
+        v = IO.load_variant(spark, f"{out}/variants", variant)
+        c = v.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(variant).alias("variant"), "split", "n", F.lit(len(v.columns)).alias("cols"))
+        counts = c if counts is None else counts.unionByName(c)
+    return counts
+
+
+def _study(parts: dict, only) -> "DataFrame":
+    """A study's reports one under the other: report, row as JSON text."""
+    out = None
+    for name in only:
+        part = parts[name].select(F.lit(name).alias("report"), F.to_json(F.struct(*parts[name].columns)).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("l7_price_study")
+def l7_price_study(spark, sf_dir):
+    """Every report of the price distribution study, as (report, row)."""
+    from foldwise.plans.studies import price_distribution_study
+    parts = price_distribution_study(sales(spark, sf_dir))
+    return _study(parts, parts)
+
+
+@register("l8_result_study")
+def l8_result_study(spark, sf_dir):
+    """Every report of the result study over the long metric table, as (report, row)."""
+    from foldwise.plans.q_metrics_reports import metrics_long
+    from foldwise.plans.studies import result_study
+    parts = result_study(metrics_long(spark, sf_dir).checkpoint())
+    return _study(parts, parts)
 
 
 @register("l4_grid_tree")
 def l4_grid_tree(spark, sf_dir):
-    """L4: the grid over the four location encodings for the tree model
-    (single mode); long metric table of every configuration."""
-    g = CV.grid(folded(spark, sf_dir), models=("dt",), modes=("single",))
+    """L4: the grid over the four location encodings and both modes for the tree model;
+    long metric table of every configuration."""
+    g = CV.grid(folded(spark, sf_dir), models=("dt",))
     return _summary(g)

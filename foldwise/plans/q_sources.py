@@ -50,16 +50,8 @@ def s3_engineered_parquet(spark, sf_dir):
 # ------------------------------------------------------------------ S2 / S4
 
 def _variant_frames(spark, sf_dir):
-    eng = SP.train_test_split(FE.engineer(sales(spark, sf_dir)), 0.2, 42).checkpoint()
-    fit = eng.withColumn("_f", (F.col("split") == "test").cast("int"))
-    tgt = fit.withColumn("heldout", F.lit(1))
-    for c in ("city", "zipcode"):
-        enc, gmean = EN.oof_target_encoding(fit, c, "price", 2, 10.0, fold="_f")
-        enc = enc.where(F.col("heldout") == 1)
-        tgt = EN.apply_encoding(tgt, c, enc, gmean.where(F.col("heldout") == 1))
-    tgt = tgt.drop("_f", "heldout")
-    cat = eng.drop("x", "y", "z")
-    return {"cat": cat, "tgt": tgt}
+    from foldwise.plans.cv import base_variants
+    return base_variants(SP.train_test_split(FE.engineer(sales(spark, sf_dir)), 0.2, 42).checkpoint())
 
 
 _SPLIT_SQL = f"""WITH {ENGINEERED},
@@ -99,10 +91,12 @@ def s2_load_variant(spark, sf_dir):
 @register("s5_s7_metric_table", METRIC_CTES + """
 SELECT model, variant, split, metric, round(value, 4) AS value, round(std, 4) AS std FROM ml
 UNION ALL
-SELECT model || '_single', variant, split, metric, round(value, 4), NULL FROM flong WHERE heldout = 0""")
+SELECT model || '_single', variant, split, metric, round(value, 4), NULL FROM flong WHERE heldout = 0
+UNION ALL
+SELECT model || '_old', variant, split, metric, round(value, 4), NULL FROM flong WHERE heldout = 1""")
 def s5_s7_metric_table(spark, sf_dir):
-    """S5 + S7: append CV rows (with std) and single-split rows (blank std) to
-    the metric table, read it back tolerating a missing std."""
+    """S5 + S7: append CV rows (with std) and single-split rows (blank std) to the metric
+    table, read it back, and read an older table, written without a std column."""
     from foldwise.operators.metrics import to_long
     path = IO.scratch_path(spark, "metrics")
     IO.save_metrics(metrics_long(spark, sf_dir), path)
@@ -111,7 +105,11 @@ def s5_s7_metric_table(spark, sf_dir):
     single = single.withColumn("model", F.concat("model", F.lit("_single"))).withColumn(
         "target", F.lit("price"))
     IO.save_metrics(single, path, with_std=False)
-    m = IO.read_metrics(spark, path)
+    old = IO.scratch_path(spark, "metrics-old")
+    folds = to_long(fold_metrics(spark, sf_dir).where(F.col("heldout") == 1), ["model", "variant", "heldout", "split"])
+    folds.select(F.concat("model", F.lit("_old")).alias("model"), F.lit("price").alias("target"), "variant", "split",
+                 "metric", "value").write.parquet(old)
+    m = IO.read_metrics(spark, path).unionByName(IO.read_metrics(spark, old), allowMissingColumns=True)
     return m.select("model", "variant", "split", "metric", _r("value", 4).alias("value"),
                     _r("std", 4).alias("std"))
 
@@ -215,8 +213,8 @@ def s9_j7_space_text(spark, sf_dir):
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS h,
                   CASE WHEN ('0x' || substr(md5(concat('42:', CAST(vec_id AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0 < 0.2
                        THEN 'test' ELSE 'train' END AS phase FROM embeddings)
-SELECT vec_id, phase, 1 AS layer, round(list_sum(list_transform(list_slice(h, 1, 8), lambda v: tanh(v))), 6) AS h_sum,
-       8 AS h_len FROM e""")
+SELECT vec_id, phase, 1 AS layer, round(list_sum(list_transform(h, lambda v: tanh(v))), 6) AS h_sum,
+       CAST(len(h) AS INTEGER) AS h_len FROM e""")
 def s10_hidden_outputs(spark, sf_dir):
     """Hidden outputs per phase and layer written partitioned by (phase, layer), one layer read back."""
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
@@ -224,7 +222,7 @@ def s10_hidden_outputs(spark, sf_dir):
     h0 = e.select(F.col("vec_id").alias("row_id"), phase.alias("phase"), F.lit(0).alias("layer"),
                   F.col("embedding").cast("array<double>").alias("h"))
     h1 = h0.select("row_id", "phase", F.lit(1).alias("layer"),
-                   F.transform(F.slice("h", 1, 8), lambda v: F.tanh(v)).alias("h"))
+                   F.transform("h", lambda v: F.tanh(v)).alias("h"))
     path = IO.scratch_path(spark, "hiddens")
     IO.save_hiddens(h0.unionByName(h1), path)
     back = IO.load_hiddens(spark, path, 1)

@@ -264,7 +264,7 @@ FROM fp JOIN ys ON fp.heldout = ys.heldout"""))
 def e5_target_scale(spark, sf_dir):
     """E5: target MinMax-scaled per fold on train rows, and its inverse."""
     df, _ = _fold_frame(spark, sf_dir, "coord_only")
-    back = EN.invert_minmax(F.col("label"), F.col("target__min"), F.col("target__max"))
+    back = EN.invert_minmax(F.col("label"), F.col("price__min"), F.col("price__max"))
     return df.select("row_id", "heldout", "split", _r("label", 8).alias("label"),
                      _r(back, 4).alias("price_back"))
 

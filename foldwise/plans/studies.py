@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions import scalar as S
 from foldwise.operators import features as FE
 from foldwise.operators import reports as RP
 from foldwise.operators import stats as ST
@@ -24,7 +25,7 @@ def price_distribution_study(raw: DataFrame, price: str = "price", area: str = "
     j = raw.crossJoin(F.broadcast(caps))
     trimmed = j.where((F.col(price) > 0) & (F.col(price) <= F.col("cap")))
     keys = ["row_id"] if "row_id" in raw.columns else []
-    ranked = raw.withColumn("price_per_sqft", F.col(price) / F.col(area))
+    ranked = raw.withColumn("price_per_sqft", S.safe_ratio(price, area))
     ranked = global_row_number(ranked, [F.col(price).desc(), *[F.col(k) for k in keys]], "price_rank")
     ranked = global_row_number(ranked, [F.col("price_per_sqft").desc(), *[F.col(k) for k in keys]],
                                "per_sqft_rank")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.operators.lookup import bounded
 from foldwise.session import ensure_checkpoint_dir
 
 METRICS_SCHEMA = T.StructType([
@@ -21,9 +22,13 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("split", T.StringType()), T.StructField("metric", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("std", T.DoubleType())])
 
-BASE_VARIANTS = ("cat", "tgt")
-# Derived variants: base files minus columns (name -> (base, dropped columns)).
-DERIVED_VARIANTS = {"coord_only": ("tgt", ("city", "zipcode")), "tgt_only": ("tgt", ("x", "y", "z"))}
+#: fixed values of the study: variant -> the files that hold it, columns of these that it leaves out
+VARIANT_FILES = {
+    "cat": ("cat", ()),
+    "tgt": ("tgt", ()),
+    "coord_only": ("tgt", ("city", "zipcode")),
+    "tgt_only": ("tgt", ("x", "y", "z")),
+}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,16 +74,15 @@ def write_variants(frames: dict, path: str) -> DataFrame:
 
 
 def load_variant(spark: SparkSession, path: str, variant: str) -> DataFrame:
-    """Read a materialized variant (both splits, ``split`` column kept);
-    derived variants are the base files minus columns; unknown -> ValueError."""
-    if variant in DERIVED_VARIANTS:
-        base, dropped = DERIVED_VARIANTS[variant]
-        return load_variant(spark, path, base).drop(*dropped)
-    if variant not in BASE_VARIANTS:
-        raise ValueError(f"Unknown variant: {variant} (expected one of "
-                         f"{BASE_VARIANTS + tuple(DERIVED_VARIANTS)})")
-    df = spark.read.option("basePath", path).parquet(f"{path}/variant={variant}")
-    return df.drop("variant")
+    """Read a materialized variant (both splits, ``split`` column kept), by its entry
+    in ``VARIANT_FILES``; a name without one -> ValueError."""
+    try:
+        files, left_out = VARIANT_FILES[variant]
+    except KeyError:
+        raise ValueError(f"no files are known for the variant {variant!r}; known: "
+                         f"{', '.join(VARIANT_FILES)}") from None
+    stored = spark.read.option("basePath", path).parquet(f"{path}/variant={files}")
+    return stored.select(*[c for c in stored.columns if c != "variant" and c not in left_out])
 
 
 # ---------------------------------------------------------------- S5 / S6 / S7
@@ -173,7 +177,8 @@ def read_comma_text(spark: SparkSession, path: str, desc: DataFrame, n_fields: i
 
 def read_space_text(spark: SparkSession, data_path: str, label_path: str, n_floats: int = 8) -> DataFrame:
     """S9 + J7: whitespace-delimited lines ``name f1..f8 class``; the class name
-    is looked up in the label file ``id name`` (lookup join, one row per class)."""
+    is looked up in the label file ``id name`` (lookup join, one row per class).
+    A class that the label file lacks fails the job."""
     lab = spark.read.text(label_path).select(F.split(F.trim("value"), " ").alias("c")).select(
         F.col("c")[0].cast("int").alias("label"), F.col("c")[1].alias("_cls"))
     rows = spark.read.text(data_path).where(F.length(F.trim("value")) > 0).select(
@@ -181,8 +186,10 @@ def read_space_text(spark: SparkSession, data_path: str, label_path: str, n_floa
     rows = rows.select(F.col("c")[0].alias("name"),
                        F.array(*[F.col("c")[i].cast("double") for i in range(1, n_floats + 1)]).alias("x"),
                        F.element_at("c", -1).alias("_cls"))
-    # one row per class: joined plainly, AQE broadcasts it at run time when small
-    return rows.join(lab, "_cls", "inner").drop("_cls")
+    known = rows.join(bounded(lab), "_cls", "left")
+    unknown = F.raise_error(F.concat(F.lit("class without a label: "), F.coalesce("_cls", F.lit("none"))))
+    return known.select("name", "x", F.when(F.col("label").isNull(), unknown.cast("int")).otherwise(
+        F.col("label")).alias("label"))
 
 
 # ---------------------------------------------------------------- S10
