@@ -112,8 +112,10 @@ class MemoEncoder:
         return np.frombuffer(ids, dtype="<u4")[1:]
 
 
-def encoder(path: str) -> MemoEncoder:
-    """The worker's encoder for a tokenizer file, made once per process."""
-    if path not in _READY:
-        _READY[path] = MemoEncoder(path)
-    return _READY[path]
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> MemoEncoder:
+    """The worker's encoder for a tokenizer file, made once per process.  A smaller memo
+    takes less of the worker's memory and more time."""
+    key = path, memo_words
+    if key not in _READY:
+        _READY[key] = MemoEncoder(path, memo_words)
+    return _READY[key]

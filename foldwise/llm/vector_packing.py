@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.bpe import encoder
+from foldwise.llm.bpe import MEMO_WORDS, encoder
 from foldwise.llm.common import workers_ready
 
 
@@ -35,8 +35,8 @@ class Limits:
     min_cut: int = 16
 
 
-#: pieces that a task holds while it packs
-POOL = 1024
+#: pieces that a task holds while it packs, and examples after which it gives out what it placed
+POOL, FLUSH = 1024, 256
 
 PLACEMENT = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
              "sequence_id long, offset long")
@@ -129,7 +129,8 @@ class Packer:
 
 
 def pack_texts(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(),
-               id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None,
+               memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pack the ids of every text, ``end_id`` after them, into sequences.
 
     ``prompt_col`` names a column with an example's prompt, whose ids come first
@@ -147,7 +148,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        enc, packer = encoder(tokenizer_path), Packer(limits)
+        enc, packer = encoder(tokenizer_path, memo_words), Packer(limits)
         first = TaskContext.get().partitionId() << 36
         names = [c.split()[0] for c in PLACEMENT.split(", ")]
 
@@ -160,11 +161,13 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits
 
         for batch in batches:
             placed = []
-            for key, text, lead in zip(*(batch.column(i) for i in range(3))):
+            for n, (key, text, lead) in enumerate(zip(*(batch.column(i) for i in range(3))), 1):
                 before = enc.encode(lead.as_py())
                 ids = np.concatenate([before, enc.encode(text.as_py()), np.array([end_id], "<u4")])
                 placed += packer.add((key.as_py(), len(ids)), ids, len(before))
-            yield from rows_of(placed)
+                if n % FLUSH == 0 or n == batch.num_rows:
+                    yield from rows_of(placed)
+                    placed = []
         yield from rows_of(packer.finish())
 
     return rows.mapInArrow(pack, PLACEMENT)
