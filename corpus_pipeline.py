@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2,048 tokens."""
-    return pack_texts(docs, tokenizer_path(), end_id=1)
+    """Pieces of sequences of at most 2,048 tokens.  The memo is small, for workers that
+    share an executor's memory with what the stages before have grown."""
+    return pack_texts(docs, tokenizer_path(), end_id=1, memo_words=150_000)
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_dedup), ("secret scans", secret_scan),
