@@ -15,7 +15,6 @@ from foldwise.models.boosting import BoostedStages
 from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
 from foldwise.operators import metrics as ME
-from foldwise.operators import splits as SP
 from foldwise.plans import cv as CV
 from foldwise.plans.q_splits_encoders import folded
 from foldwise.plans.registry import register
