@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldwise.llm import oracles
 from foldwise.llm.common import table, workers_ready
 from foldwise.llm.secret_forest import Forest
+from foldwise.llm.secret_labels import CONTEXT, label
 
 TOKENIZER, DICTIONARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -23,21 +24,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 # ------------------------------------------------------------------ secrets
 
-#: documents that the stand-in's findings come from, about
-LABELLED_DOCUMENTS = 20_000
-#: characters kept on each side of a labelled finding
-CONTEXT = 120
-#: fixed values: how a reviewer of the stand-in tells a secret, by published formats
+#: fixed values: formats that the tests look for, of those that ``label`` knows
 REVIEWED = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-fA-F]{40}"))
 REVIEWED_VALUE, REVIEWED_NAME = re.compile(r"(?=\S*\d)[0-9A-Za-z]{12,}"), re.compile(r"(?i)(password|passwd|secret)\W{1,4}$")
 
 
 def labelled_findings(docs: DataFrame) -> DataFrame:
     """A stand-in for a reviewed table of findings (text, start, end, path, secret): candidates
-    of some documents with the text around them, labelled by published formats."""
+    of all documents with the text around them, those that ``label`` can tell."""
     workers_ready(docs.sparkSession)
-    share = int(min(1.0, LABELLED_DOCUMENTS / max(1, docs.count())) * 1e6)
-    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
 
     def run(batches):
         import pyarrow as pa
@@ -47,16 +42,16 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
             rows = []
             for text, path in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 for s, e in candidates(text) if text else ():
-                    at, value = max(0, s - CONTEXT), text[s:e]
-                    secret = any(r.fullmatch(value) for r in REVIEWED) or bool(
-                        REVIEWED_VALUE.fullmatch(value) and REVIEWED_NAME.search(text[at:s]))
-                    rows.append((text[at:e + CONTEXT], s - at, e - at, path, int(secret)))
+                    secret = label(text, s, e, path)
+                    if secret is not None:
+                        at = max(0, s - CONTEXT)
+                        rows.append((text[at:e + CONTEXT], s - at, e - at, path, secret))
             if rows:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                  names=["text", "start", "end", "path", "secret"])
 
-    return some.select("text", "source").mapInArrow(run, "text string, start long, end long, path string, secret int")
+    return docs.select("text", "source").mapInArrow(run, "text string, start long, end long, path string, secret int")
 
 
 def secret_model(docs: DataFrame) -> Forest:
