@@ -1,11 +1,13 @@
 """URL filters: a list of rules, and link-graph propagation where no rule fits.
 
 Every host has a share of pages that the rules allow and a share that they block.
-These shares seed two personalised PageRanks over the edges between hosts: trust
-flows along links from hosts that are allowed, distrust against them, from
-blocked hosts to the hosts that link to them.  A host without edges to flow on
-keeps what it has, so the scores stay on the scale of the seeds.  A page without a
-rule is blocked if its host's distrust exceeds its trust by ``THRESHOLD``.
+These shares are its own word and stay, however it is linked.  For the rest of its
+pages the link graph speaks: trust is the mean trust of the hosts that link to it,
+distrust the mean distrust of the hosts that it links to, each by the number of
+links and damped.  Means don't depend on how many others link to or from a host, so
+a popular blocked host gives each host that links to it as much as an unknown one
+would.  A page without a rule is blocked if its host's distrust exceeds its trust by
+``THRESHOLD``.  Without edges a host keeps its shares.
 
 Pages are reduced to weighted host edges and to counts of a host before anything is
 shuffled (partial aggregation), so a host with a third of all pages is one row; an
@@ -66,8 +68,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """``seeds`` (host, trust, distrust), ``edges`` (src, dst, w) -> (host, trust, distrust)
-    after ``iterations`` steps, for every host of either table."""
+    """Two personalised PageRanks, of which ``judge`` no longer asks: masses, that get small where
+    many share them.  ``seeds`` (host, trust, distrust), ``edges`` (src, dst, w) -> (host, trust, distrust) after ``iterations`` steps, for every host of either table."""
     if edges.isEmpty():  # every host keeps what it has
         return seeds.select("host", F.round("trust", DECIMALS).alias("trust"), F.round("distrust", DECIMALS).alias("distrust"))
     flow = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(
@@ -93,6 +95,34 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     return rank.groupBy("host").agg(score["trust"], score["distrust"])
 
 
+def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    """``seeds`` (host, trust, distrust: shares of its pages), ``edges`` (src, dst, w) -> (host,
+    trust, distrust) from 0 to 1, after ``iterations`` steps, for every host of either table."""
+    if edges.isEmpty():
+        return seeds.select("host", F.round("trust", DECIMALS).alias("trust"), F.round("distrust", DECIMALS).alias("distrust"))
+    # asks: whose mean a host takes
+    asks = edges.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("of"), "w").unionByName(
+        edges.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("of"), "w"))
+    every = asks.groupBy("kind", "host").agg(F.sum("w").alias("all"))
+    asks = keep(asks.join(every, ["kind", "host"]).select("kind", "host", "of", (F.col("w") / F.col("all")).alias("w")))
+    hosts = seeds.select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(
+        edges.select(F.col("dst").alias("host"))).distinct()
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    seed = keep(hosts.join(seeds, "host", "left").select(
+        "host", F.greatest(F.lit(0.0), 1 - trust - distrust).alias("open"),
+        F.explode(F.create_map(F.lit("trust"), trust, F.lit("distrust"), distrust)).alias("kind", "seed")))
+    score = seed.select("kind", "host", F.col("seed").alias("r"))
+    for step in range(1, iterations + 1):
+        heard = asks.join(score.withColumnRenamed("host", "of"), ["kind", "of"]).groupBy("kind", "host").agg(
+            F.sum(F.col("w") * F.col("r")).alias("mean"))
+        score = seed.join(heard, ["kind", "host"], "left").select("kind", "host", (
+            F.col("seed") + damping * F.col("open") * F.coalesce("mean", F.lit(0.0))).alias("r"))
+        if step % STRIDE == 0:
+            score = keep(score)
+    out = {k: F.round(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)), DECIMALS).alias(k) for k in ("trust", "distrust")}
+    return score.groupBy("host").agg(out["trust"], out["distrust"])
+
+
 def judge(pages: DataFrame, rules, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
           html_col: str = "html") -> DataFrame:
     """A row per row of ``pages``: page_id, host, path, rule (or null), verdict.
@@ -111,7 +141,7 @@ def judge(pages: DataFrame, rules, threshold: float = THRESHOLD, id_col: str = "
         return F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
 
     seeds = ruled.where("host <> ''").groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
-    scores = propagate(keep(seeds), keep(host_edges(pages, url_col, html_col)))
+    scores = host_scores(keep(seeds), keep(host_edges(pages, url_col, html_col)))
     bad = scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("by_host"))
     return ruled.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce(
         "by_rule", "by_host", F.lit("allow")).alias("verdict"))
