@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import keep, workers_ready
+from foldwise.llm.common import free_names, keep, workers_ready
 from foldwise.llm.components import connected_components
 
 BITS = 64
@@ -57,18 +57,21 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row per row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text",
+                 carried: dict | None = None) -> DataFrame:
+    """(doc_id, fp) and the ``carried`` columns (name -> a long): a row per row of ``docs``."""
+    names = list(carried or {})
     workers_ready(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *(carried[n].alias(n) for n in names))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{n} long" for n in names)]))
 
 
 # ------------------------------------------------------------------ parts and thresholds
@@ -249,9 +252,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id.  Of rows that
-    repeat an id one stays.  Rows with a null id can't be named and stay."""
-    groups = near_duplicates(docs, shingle, distance, id_col, text_col)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component among the rows with an id, and one among those
+    without: the one with the smallest id, then the smallest hashes of its text and of the
+    whole row.  So no component loses its last row, also where rows of different components
+    share an id, and reruns agree.
+    """
+    if distance < 0:
+        raise ValueError("distance must not be negative")
+    key, by_text, by_row = free_names(docs, "dedup_id", "dedup_text", "dedup_row")
+    whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those that have a hash
+    hashes = {by_text: F.xxhash64(F.col(text_col).cast("string")), by_row: F.xxhash64(*whole)}
+    own = keep(fingerprints(docs, shingle, id_col, text_col, hashes))
+    first = F.min(F.struct("doc_id", by_text, by_row)).alias("first")
+    firsts = keep(own.groupBy("fp", F.col("doc_id").isNull().alias("unnamed")).agg(first))
+    roots = connected_components(links(firsts.select("fp").distinct(), distance))
+    grouped = firsts.join(roots, F.col("node") == F.col("fp"), "left").select(
+        F.coalesce("root", "fp").alias("component"), "unnamed", "first")
+    stay = keep(grouped.groupBy("component", "unnamed").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("a"), F.col(f"first.{by_text}").alias("b"), F.col(f"first.{by_row}").alias("c")))
+    rows = docs.withColumns({key: F.col(id_col).cast("long"), **hashes})
+    kept = rows.join(stay, rows[key].eqNullSafe(stay["a"]) & (rows[by_text] == stay["b"]) & (rows[by_row] == stay["c"]), "left_semi")
+    return kept.dropDuplicates([key, by_text, by_row]).select(*docs.columns)
