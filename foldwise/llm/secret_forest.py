@@ -1,8 +1,8 @@
 """Secret scans: a wide net of candidates, and a random forest that removes the
 false positives.
 
-A candidate is a long run of letters and digits, or a value that is assigned to a
-credential's name.  Its features are its length, its character transitions, how
+A candidate is a long run of ASCII letters and digits, a value that is assigned to a
+credential's name or stands after Bearer, or the password in a URL.  Its features are its length, its character transitions, how
 much of it a dictionary covers, the document's path and the words beside it.  The
 forest is fitted by Spark ML on labelled findings, a bounded sample of them, and
 carried to the tasks as arrays; scanning is one pass over the texts, row by row,
@@ -38,11 +38,16 @@ PLACEHOLDERS = ("example", "sample", "dummy", "fake", "placeholder", "changeme",
 MADE_UP_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 CONFIG_PATHS = (".env", "conf", ".yml", ".yaml", ".ini", ".properties", ".pem", "settings", "secret", "credential")
 
-RUN = re.compile(r"(?<!\w)[A-Za-z0-9_+/\-]{20,}={0,2}(?![\w=])")
-ASSIGNED = re.compile(r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
-                      r"[\"']?\s{0,2}[:=]{1,2}\s{0,2}[\"']?([^\s\"'`,;<>(){}\[\]]{8,}))")
+RUN = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/\-]{20,}={0,2}(?![A-Za-z0-9_=])")
+ASSIGNED = re.compile(r"(?i:(?:password|passwd|pass[_-]?phrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
+                      r"[\"']?\s{0,2}[:=]{1,2}\s{0,2}[\"']?([^\s\"'`,;<>(){}\[\]]{7,}))")
+#: a value of an Authorization header, and one with a digit after Bearer anywhere
+HEADER = re.compile(r"(?i:authorization[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?:bearer|basic|token)\s{1,2}([A-Za-z0-9_+/.~\-]{4,}={0,2}))")
+BEARER = re.compile(r"(?i:(?<![A-Za-z0-9_])bearer\s{1,2}(?=[A-Za-z_+/.~\-]{0,200}[0-9])([A-Za-z0-9_+/.~\-]{6,}={0,2}))")
+#: the password of a URL's user
+IN_URL = re.compile(r"://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,256})@")
 #: one of these is in every text with an assigned value
-NAMES = ("passw", "pwd", "secret", "token", "api", "access", "auth", "credential")
+NAMES = ("passw", "passp", "pass_", "pass-", "pwd", "secret", "token", "api", "access", "auth", "credential")
 #: characters beside a candidate that are read for neighbouring words
 BESIDE = 80
 
@@ -57,6 +62,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if any(n in low for n in NAMES):
         spans += [m.span(1) for m in ASSIGNED.finditer(text)]
+    if "bearer" in low or "authorization" in low:
+        spans += [m.span(1) for p in (HEADER, BEARER) for m in p.finditer(text)]
+    if "://" in text and "@" in text:
+        spans += [m.span(1) for m in IN_URL.finditer(text)]
     out, last = [], 0
     for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
         if start >= last:

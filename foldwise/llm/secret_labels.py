@@ -17,10 +17,10 @@ FORMATS = tuple(map(re.compile, (
 DIGEST = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 #: the two parts of a JSON web token before its third
 SIGNED = re.compile(r"eyJ[0-9A-Za-z_\-]{8,}\.eyJ[0-9A-Za-z_\-]{8,}\.$")
-NAME = (r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth(?:orization)?"
+NAME = (r"(?:passw(?:or)?d|pass[_\-]?phrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth(?:orization)?"
         r"|credentials?|bearer)")
-#: assigned to a credential's name, or after Bearer or Basic
-ASSIGNED = re.compile(rf"(?i){NAME}[0-9a-z_\-]{{0,20}}[\"']?\]?\s{{0,2}}(?::=|={{1,2}}>?|:)\s{{0,2}}[\"'`]?$|\b(?:bearer|basic)\s{{1,2}}$")
+#: assigned to a credential's name, after Bearer or Basic, or after a URL's user
+ASSIGNED = re.compile(rf"(?i){NAME}[0-9a-z_\-]{{0,20}}[\"']?\]?\s{{0,2}}(?::=|={{1,2}}>?|:)\s{{0,2}}[\"'`]?$|\b(?:bearer|basic)\s{{1,2}}$|://[^\s/:@]{{0,64}}:$")
 #: the name of a credential a little before
 NAMED = re.compile(rf"(?i){NAME}\W{{0,3}}(?:\w+\W{{1,3}}){{0,2}}$")
 #: made-up values, and what code stands for a value that is elsewhere
