@@ -13,7 +13,7 @@ from foldwise.llm.common import table, workers_ready
 from foldwise.llm.secret_forest import Forest
 from foldwise.llm.secret_labels import CONTEXT, label
 
-TOKENIZER, DICTIONARY = "byte_bpe_50k.json", "word_bpe_49k.json"
+TOKENIZER, DICTIONARY, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -140,9 +140,33 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+# ------------------------------------------------------------------ language model, tokenizers, whitening
+
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a modified Kneser-Ney model that learns outside one fifth."""
+    from foldwise.llm.kneser_ney import fit, fold_of, score
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(F.coalesce(fold_of() != 1, F.lit(True))))
+    return score(docs, model).withColumn("held_out", F.coalesce(fold_of() == 1, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's tokens by two tokenizers, with corpus-wide counts of linked ids."""
+    from foldwise.llm.token_links import link_report
+    return link_report(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector of ``embeddings``."""
+    from foldwise.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_topk_blocks, op3_quality_rules, op4_simhash_dedup, op5_pareto_mix, op6_token_stream,
-    op7_vector_packing, op8_language_id, op9_license_scan, op10_url_trust)}
+    op7_vector_packing, op8_language_id, op9_license_scan, op10_url_trust, op11_kneser_ney, op12_token_links,
+    op13_whitening)}
 
 ORACLES = {"op2_topk_blocks": oracles.top_k(NEIGHBOURS, EVERY), "op3_quality_rules": oracles.quality(),
            "op5_pareto_mix": oracles.pareto(), "op10_url_trust": oracles.url_filter(URL_RULES)}
