@@ -111,11 +111,15 @@ def url_filter(rule_table) -> str:
     rule = "CASE " + " ".join(f"WHEN {f} THEN {quoted(r)}" for f, r, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN {quoted(v)}" for f, _, v in fits) + " END"
     parts, link = quoted(trust.PARTS), quoted(trust.LINK)
+    keep, move = f"{1 - trust.DAMPING!r}::DOUBLE", f"{trust.DAMPING!r}::DOUBLE"
     steps = "".join(f""",
-r{k + 1} AS MATERIALIZED (
-  SELECT s.kind, s.host, {1 - trust.DAMPING!r}::DOUBLE * s.seed + {trust.DAMPING!r}::DOUBLE * coalesce(got, 0) AS r
-  FROM seed s LEFT JOIN (SELECT e.kind, dst, sum(w * r) AS got FROM share e JOIN r{k} ON r{k}.kind = e.kind AND r{k}.host = e.src
-    GROUP BY ALL) g ON g.kind = s.kind AND g.dst = s.host)""" for k in range(trust.ITERATIONS))
+g{k + 1} AS MATERIALIZED (
+  SELECT e.kind, dst AS host, sum(w * r) AS got, sum(w * u) AS of FROM share e JOIN r{k} ON r{k}.kind = e.kind AND r{k}.host = e.src
+  GROUP BY ALL),
+r{k + 1} AS (
+  SELECT s.kind, s.host, s.seed * ({keep} + {move} * coalesce(of, 0)) + {move} * s.open * coalesce(got, 0) AS r,
+    {keep} + {move} * coalesce(of, 0) AS u
+  FROM seed s LEFT JOIN g{k + 1} g ON g.kind = s.kind AND g.host = s.host)""" for k in range(trust.ITERATIONS))
     return f"""
 WITH p AS (
   SELECT page_id, {ascii_lower(f"regexp_extract(coalesce(url, ''), {parts}, 1)")} AS host,
@@ -133,15 +137,16 @@ seeds AS (
   FROM ruled WHERE host <> '' GROUP BY host),
 hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
 seed AS MATERIALIZED (
-  SELECT kind, host, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0) AS seed
+  SELECT kind, host, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0) AS seed,
+    greatest(0, 1 - coalesce(trust, 0) - coalesce(distrust, 0)) AS open
   FROM (SELECT unnest(['trust', 'distrust']) AS kind, host FROM hosts) LEFT JOIN seeds USING (host)),
-share AS MATERIALIZED (
-  SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS w FROM flow
-  UNION ALL SELECT kind, host, host, 1 FROM seed s WHERE NOT EXISTS (SELECT 1 FROM flow f WHERE f.kind = s.kind AND f.src = s.host)),
-r0 AS (SELECT kind, host, seed AS r FROM seed){steps},
+share AS MATERIALIZED (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS w FROM flow),
+r0 AS (SELECT kind, host, seed AS r, 1.0::DOUBLE AS u FROM seed){steps},
+score AS (
+  SELECT s.kind, s.host, round(s.seed + s.open * coalesce(got / of, 0), {trust.DECIMALS}) AS x
+  FROM seed s LEFT JOIN g{trust.ITERATIONS} g ON g.kind = s.kind AND g.host = s.host),
 bad AS (
-  SELECT host FROM r{trust.ITERATIONS} GROUP BY host
-  HAVING round(sum(CASE WHEN kind = 'distrust' THEN r ELSE 0 END), {trust.DECIMALS})
-    - round(sum(CASE WHEN kind = 'trust' THEN r ELSE 0 END), {trust.DECIMALS}) >= {trust.THRESHOLD})
+  SELECT host FROM score GROUP BY host
+  HAVING sum(CASE WHEN kind = 'distrust' THEN x ELSE 0 END) - sum(CASE WHEN kind = 'trust' THEN x ELSE 0 END) >= {trust.THRESHOLD})
 SELECT page_id, host, path, rule,
   coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM ruled"""

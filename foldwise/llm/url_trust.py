@@ -1,13 +1,14 @@
 """URL filters: a list of rules, and link-graph propagation where no rule fits.
 
 Every host has a share of pages that the rules allow and a share that they block.
-These shares are its own word and stay, however it is linked.  For the rest of its
-pages the link graph speaks: trust is the mean trust of the hosts that link to it,
-distrust the mean distrust of the hosts that it links to, each by the number of
-links and damped.  Means don't depend on how many others link to or from a host, so
-a popular blocked host gives each host that links to it as much as an unknown one
-would.  A page without a rule is blocked if its host's distrust exceeds its trust by
-``THRESHOLD``.  Without edges a host keeps its shares.
+These are the seeds of two personalised PageRanks over host edges: trust flows along
+the links, distrust against them, to those that link to blocked hosts.  Masses get
+small where many share them, so a host's score is the share of the mass it receives
+that is the seeds': a host that links to blocked hosts only is one of them, however
+many others link there too.  A host's own shares stay its own word, however it is
+linked; for the rest of its pages the received share speaks.  A page without a rule is
+blocked if its host's distrust exceeds its trust by ``THRESHOLD``.  Without edges a
+host keeps its shares.
 
 Pages are reduced to weighted host edges and to counts of a host before anything is
 shuffled (partial aggregation), so a host with a third of all pages is one row; an
@@ -68,59 +69,54 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """Two personalised PageRanks, of which ``judge`` no longer asks: masses, that get small where
-    many share them.  ``seeds`` (host, trust, distrust), ``edges`` (src, dst, w) -> (host, trust, distrust) after ``iterations`` steps, for every host of either table."""
-    if edges.isEmpty():  # every host keeps what it has
-        return seeds.select("host", F.round("trust", DECIMALS).alias("trust"), F.round("distrust", DECIMALS).alias("distrust"))
+    """Personalised PageRanks on the host graph.  ``seeds`` (host, trust, distrust: shares of its
+    pages), ``edges`` (src, dst, w) -> kind (trust: along the links, distrust: against them),
+    host, got, of: what a host receives in the last step of the seeds' mass, and of all mass.
+    Hosts that receive none have no row.
+
+    All mass u is a PageRank that starts at all hosts alike.  Of the mass at a seed, its share is
+    the seed's, and the rest keeps what it brings: r = share * u + damping * open * got, with
+    ``open`` the share of pages that no rule speaks of.  Mass is split among a host's edges by
+    weight; that of a host without edges stays unused, as only ratios of got to of count.
+    """
     flow = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     out = flow.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    share = flow.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("w"))
+    share = keep(flow.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("w")))
     hosts = seeds.select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(
         edges.select(F.col("dst").alias("host"))).distinct()
-    seed = hosts.join(seeds, "host", "left").select("host", F.explode(F.create_map(
-        F.lit("trust"), F.coalesce("trust", F.lit(0.0)), F.lit("distrust"), F.coalesce("distrust", F.lit(0.0)))).alias("kind", "seed"))
-    ends = seed.select("kind", F.col("host").alias("src")).join(out.select("kind", "src"), ["kind", "src"], "left_anti")
-    share = keep(share.unionByName(ends.select("kind", "src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))))
-    seed = keep(seed)
-    rank = seed.select("kind", "host", F.col("seed").alias("r"))
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    seed = keep(hosts.join(seeds, "host", "left").select(
+        "host", F.greatest(F.lit(0.0), 1 - trust - distrust).alias("open"),
+        F.explode(F.create_map(F.lit("trust"), trust, F.lit("distrust"), distrust)).alias("kind", "seed")))
+    rank = seed.select("kind", F.col("host").alias("src"), F.col("seed").alias("r"), F.lit(1.0).alias("u"))
     for step in range(1, iterations + 1):
-        moved = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy(
-            "kind", F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("r")).alias("got"))
-        rank = seed.join(moved, ["kind", "host"], "left").select("kind", "host", (
-            (1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("r"))
+        moved = share.join(rank, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(
+            F.sum(F.col("w") * F.col("r")).alias("got"), F.sum(F.col("w") * F.col("u")).alias("of"))
+        if step == iterations:
+            return moved
+        u = 1 - damping + damping * F.coalesce("of", F.lit(0.0))
+        rank = seed.join(moved, ["kind", "host"], "left").select("kind", F.col("host").alias("src"), (
+            F.col("seed") * u + damping * F.col("open") * F.coalesce("got", F.lit(0.0))).alias("r"), u.alias("u"))
         if step % STRIDE == 0:
             rank = keep(rank)
-    score = {k: F.round(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)), DECIMALS).alias(k) for k in ("trust", "distrust")}
-    return rank.groupBy("host").agg(score["trust"], score["distrust"])
+    raise ValueError("propagation needs a step at least")
 
 
 def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """``seeds`` (host, trust, distrust: shares of its pages), ``edges`` (src, dst, w) -> (host,
-    trust, distrust) from 0 to 1, after ``iterations`` steps, for every host of either table."""
+    trust, distrust) from 0 to 1, for every host of either table: its own shares, and for the
+    rest of its pages the share of the PageRank mass it receives that is the seeds'."""
+    def known(c):
+        return F.coalesce(c, F.lit(0.0))
+
     if edges.isEmpty():
         return seeds.select("host", F.round("trust", DECIMALS).alias("trust"), F.round("distrust", DECIMALS).alias("distrust"))
-    # asks: whose mean a host takes
-    asks = edges.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("of"), "w").unionByName(
-        edges.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("of"), "w"))
-    every = asks.groupBy("kind", "host").agg(F.sum("w").alias("all"))
-    asks = keep(asks.join(every, ["kind", "host"]).select("kind", "host", "of", (F.col("w") / F.col("all")).alias("w")))
-    hosts = seeds.select("host").unionByName(edges.select(F.col("src").alias("host"))).unionByName(
-        edges.select(F.col("dst").alias("host"))).distinct()
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    seed = keep(hosts.join(seeds, "host", "left").select(
-        "host", F.greatest(F.lit(0.0), 1 - trust - distrust).alias("open"),
-        F.explode(F.create_map(F.lit("trust"), trust, F.lit("distrust"), distrust)).alias("kind", "seed")))
-    score = seed.select("kind", "host", F.col("seed").alias("r"))
-    for step in range(1, iterations + 1):
-        heard = asks.join(score.withColumnRenamed("host", "of"), ["kind", "of"]).groupBy("kind", "host").agg(
-            F.sum(F.col("w") * F.col("r")).alias("mean"))
-        score = seed.join(heard, ["kind", "host"], "left").select("kind", "host", (
-            F.col("seed") + damping * F.col("open") * F.coalesce("mean", F.lit(0.0))).alias("r"))
-        if step % STRIDE == 0:
-            score = keep(score)
-    out = {k: F.round(F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)), DECIMALS).alias(k) for k in ("trust", "distrust")}
-    return score.groupBy("host").agg(out["trust"], out["distrust"])
+    got = propagate(seeds, edges, damping, iterations).groupBy("host").agg(*(
+        F.max(F.when(F.col("kind") == k, F.col("got") / F.col("of"))).alias(f"{k}_got") for k in ("trust", "distrust")))
+    both = seeds.join(keep(got), "host", "full")
+    rest = F.greatest(F.lit(0.0), 1 - known("trust") - known("distrust"))
+    return both.select("host", *(F.round(known(k) + rest * known(f"{k}_got"), DECIMALS).alias(k) for k in ("trust", "distrust")))
 
 
 def judge(pages: DataFrame, rules, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
