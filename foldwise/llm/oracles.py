@@ -64,9 +64,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def pareto() -> str:
     weights = "[" + ", ".join(f"{w}::DOUBLE" for w in mix.WEIGHTS) + "]"
     top = f"{float(16 ** mix.DIGITS)!r}::DOUBLE"
+    fills = "".join(f""",
+gap{k + 1} AS MATERIALIZED (
+  SELECT source, any_value(cut) AS cut, any_value(gap0.gap) - coalesce(sum(more{k}.size), 0) AS gap
+  FROM gap0 LEFT JOIN (SELECT size, source AS s FROM more{k}) more{k} ON s IS NOT DISTINCT FROM source GROUP BY source),
+pick{k + 1} AS MATERIALIZED (
+  SELECT x.row, x.size, x.source FROM summed x JOIN gap{k + 1} g ON g.source IS NOT DISTINCT FROM x.source
+  WHERE z >= cut AND size > 0 AND {fits} AND x.row NOT IN (SELECT row FROM more{k})
+  QUALIFY row_number() OVER (PARTITION BY x.source ORDER BY x.size {way}, z, key DESC, nth DESC) = 1),
+more{k + 1} AS MATERIALIZED (SELECT * FROM more{k} UNION ALL SELECT * FROM pick{k + 1})""" for k, fits, way in (
+        (k, *(("size <= gap", "DESC") if k < mix.FILL else ("size > gap AND size < 2 * gap", "")))
+        for k in range(mix.FILL + 1)))
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}+'))::BIGINT AS size
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}+'))::BIGINT AS size,
+    md5(coalesce(text, '')) AS key, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS nth
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -90,16 +102,21 @@ plan AS (
   FROM targets),
 drawn AS (
   SELECT d.*, plan.source_size, target, whole, p, rest,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {mix.DIGITS}))::BIGINT::DOUBLE + 0.5::DOUBLE) / {top} AS u,
+    (('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), key, nth)), 1, {mix.DIGITS}))::BIGINT::DOUBLE + 0.5::DOUBLE) / {top} AS u,
     (u / (1 - u)) / (1.0::DOUBLE * (p / (1 - p))) AS odds, odds / (1 + odds) AS z
   FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
-summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY z, doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    sum(size) OVER (PARTITION BY source, z, doc_id) AS own
-  FROM drawn)
+summed AS MATERIALIZED (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY z RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY source, z) AS own
+  FROM drawn),
+gap0 AS (
+  SELECT source, min(z) AS cut, any_value(rest) - coalesce((SELECT max(s.upto) FROM summed s
+    WHERE s.source IS NOT DISTINCT FROM x.source AND s.z < min(x.z)), 0) AS gap
+  FROM summed x WHERE p > 0 AND rest > 0 AND upto > rest GROUP BY source),
+more0 AS (SELECT -1::BIGINT AS row, 0::BIGINT AS size, NULL::VARCHAR AS source WHERE false){fills}
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN p > 0 AND (upto < rest OR (upto - own < rest AND upto - rest <= rest - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM summed"""
+  (size * (whole + CASE WHEN p > 0 AND (g.cut IS NULL OR z < g.cut OR row IN (SELECT row FROM more{mix.FILL + 1})) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed LEFT JOIN gap0 g ON g.source IS NOT DISTINCT FROM summed.source"""
 
 
 def url_filter(rule_table) -> str:
