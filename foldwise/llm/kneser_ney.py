@@ -210,7 +210,7 @@ def count_texts(order: int, buckets: int, buffer: int = BUFFER):
 
 
 def write_level(folder: str, level: int, buckets: int, buffer: int = BUFFER):
-    """For mapInArrow over packed rows sorted by bucket: writes this level's files, hands down the
+    """For mapInArrow over the packed rows of one bucket: writes this level's files, hands down the
     level below, lets pass what belongs to others."""
     def close(bucket, merger):
         merger.merge()
@@ -301,9 +301,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, bucket_byt
     folder = shared_folder(spark, "kneser-ney")
     rows = column.mapInArrow(count_texts(order, buckets, buffer), ROW)
     for level in range(order, 0, -1):
-        # twice the buckets, as the hash puts some together; a bucket's rows follow each other
-        rows = rows.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-            write_level(folder, level, buckets, buffer), ROW)
+        rows = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(write_level(folder, level, buckets, buffer), ROW)
     model = Model(order, buckets, [Order() for _ in range(order)])
     for r in rows.select("level", "bucket", "path", "facts").collect():
         held = model.orders[r["level"] - 1]

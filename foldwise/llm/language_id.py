@@ -11,8 +11,10 @@ out once per worker and remembered, and the weighted sum decides.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,15 +31,23 @@ LONGEST = 5
 #: few rows differs from the others by what it has, not by what it lacks
 PRIOR = 1_000.0
 UNKNOWN = "und"
+#: languages that are learned, those with the most labelled rows; with ``WORDS`` and ``GRAMS`` it
+#: bounds what the driver gets
+LANGUAGES = 100
 #: unseen words that a worker remembers
 REMEMBERED = 200_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+@cache
+def letters() -> re.Pattern:
+    """Runs of Unicode letters: word characters without digits, underscores and other numerals."""
+    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{numerals}]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters of a whole text, in lower case."""
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -104,13 +114,15 @@ class Scorer:
 def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """``labelled`` rows -> a model.  Of each language about ``sample`` rows, drawn by a hash
-    of the id, are counted whole; rows with a null text or language are left out.
+    of the id, are counted whole; rows with a null text or language are left out, and so are
+    those of languages beyond the ``LANGUAGES`` with the most rows (ties: by name).
     No such row: a model without languages, which answers ``und``."""
     spark = labelled.sparkSession
     workers_ready(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0)))

@@ -29,8 +29,12 @@ FROM s QUALIFY rank <= {k}"""
 
 
 def quality() -> str:
-    passed = " AND ".join(f"{r.top}::DOUBLE >= {r.low!r}::DOUBLE * n AND {r.top}::DOUBLE <= {r.high!r}::DOUBLE * n".replace(
-        "* n", f"* {r.bottom}::DOUBLE") for r in rules.RULES)
+    def test(r):
+        ratio = f"{r.top}::DOUBLE >= {r.low!r}::DOUBLE * {r.bottom}::DOUBLE AND {r.top}::DOUBLE <= {r.high!r}::DOUBLE * {r.bottom}::DOUBLE"
+        beyond = f" OR {r.beyond}::DOUBLE > {r.limit!r}::DOUBLE * word_chars::DOUBLE" if r.beyond else ""
+        return f"({r.bottom} < {r.least} OR ({ratio}){beyond})"
+
+    passed = " AND ".join(map(test, rules.RULES))
     stop = ", ".join(map(quoted, rules.STOP_WORDS))
     window = rules.WINDOW
     return f"""
@@ -52,6 +56,7 @@ m AS (
     len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({stop}))) AS n_stop_words,
     len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_same_words,
     len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_capital_words,
+    length(regexp_replace(t, '[A-Za-z{rules.ACCENTED}\\P{{L}}]+', '', 'g')) AS n_other_letters,
     len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.][.][.]{SPACE}*$'))) AS n_dotted_lines,
     len(list_filter(l, lambda x: regexp_matches(x, '^{SPACE}*[-*•]'))) AS n_bullet_lines
   FROM d LEFT JOIN again USING (row)),

@@ -26,26 +26,36 @@ STOP_WORDS = (
     "el", "los", "las", "del", "y", "no", "se", "para", "con", "una", "por")
 
 
+#: fixed values: letters of these four languages besides A to Z; a text with others is in a language
+#: whose stop words the table doesn't have
+ACCENTED = "ÄÖÜäöüßẞÀÂÆÇÈÉÊËÎÏÔŒÙÛŸàâæçèéêëîïôœùûÿÁÍÑÓÚáíñóúªº"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``low <= top / bottom <= high`` over measures; a text without ``bottom`` passes."""
+    """``low <= top / bottom <= high`` over measures; a text with less than ``least`` of
+    ``bottom`` passes, and so does one where another measure, ``beyond``, exceeds the
+    share ``limit`` of the characters of its words."""
     name: str
     top: str
     bottom: str
     low: float
     high: float
+    least: int = 1
+    beyond: str | None = None
+    limit: float = 0.0
 
 
 #: the table of thresholds
 RULES = (
     Rule("mean word length", "word_chars", "n_words", 2.0, 12.0),
     Rule("symbols to words", "n_symbols", "n_words", 0.0, 0.1),
-    Rule("stop words", "n_stop_words", "n_words", 0.02, 1.0),
+    Rule("stop words", "n_stop_words", "n_words", 0.02, 1.0, beyond="n_other_letters", limit=0.01),
     Rule("words in capitals", "n_capital_words", "n_words", 0.0, 0.5),
     Rule("words equal to the one before", "n_same_words", "n_words", 0.0, 0.2),
     Rule("repeated lines", "n_dup_lines", "n_lines", 0.0, 0.5),
-    Rule("lines that end in dots", "n_dotted_lines", "n_lines", 0.0, 0.3),
-    Rule("lines that start with a bullet", "n_bullet_lines", "n_lines", 0.0, 0.9),
+    Rule("lines that end in dots", "n_dotted_lines", "n_lines", 0.0, 0.3, least=4),
+    Rule("lines that start with a bullet", "n_bullet_lines", "n_lines", 0.0, 0.9, least=4),
 )
 
 
@@ -104,6 +114,7 @@ def measures(text: Column) -> Column:
     return let(F.struct(let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l")), lambda m: F.struct(
         *(m["w"][c].alias(c) for c in ("n_words", "n_repeat_words", "n_stop_words", "n_same_words", "n_capital_words")),
         *(m["l"][c].alias(c) for c in ("n_lines", "n_dup_lines", "n_dotted_lines", "n_bullet_lines")),
+        F.length(F.regexp_replace(text, rf"[A-Za-z{ACCENTED}\P{{L}}]+", "")).cast("long").alias("n_other_letters"),
         without(SPACES).alias("word_chars"), (F.length(text) - without(SYMBOLS)).alias("n_symbols")))
 
 
@@ -113,7 +124,10 @@ def verdicts(m: Column, rules=RULES) -> tuple[Column, Column]:
     kept = ~base
     for r in rules:
         top, bottom = m[r.top].cast("double"), m[r.bottom].cast("double")
-        kept &= (top >= r.low * bottom) & (top <= r.high * bottom)
+        passed = (bottom < r.least) | (top >= r.low * bottom) & (top <= r.high * bottom)
+        if r.beyond:
+            passed |= m[r.beyond].cast("double") > r.limit * m["word_chars"].cast("double")
+        kept &= passed
     return base, kept
 
 
@@ -131,6 +145,8 @@ def quality(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str
 
 
 def keep_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, all their columns as they were."""
+    """The rows of ``docs`` whose text the rules keep, all their columns as they were.  Null and
+    empty texts have too few words and go; repeated rows stay or go alike; an empty table
+    stays empty."""
     # one lambda binds the measures: a filter on an alias of them would compute them for every rule
     return docs.where(let(measures(F.col(text_col)), lambda m: verdicts(m, rules)[1]))

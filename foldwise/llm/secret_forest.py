@@ -2,8 +2,9 @@
 false positives.
 
 A candidate is a long run of ASCII letters and digits, a value that is assigned to a
-credential's name or stands after Bearer, or the password in a URL.  Its features are its length, its character transitions, how
-much of it a dictionary covers, the document's path and the words beside it.  The
+credential's name or stands after Bearer, or the password in a URL.  Its features are
+its length, its character transitions, how much of it a dictionary covers, the
+document's path and the words beside it.  The
 forest is fitted by Spark ML on labelled findings, a bounded sample of them, and
 carried to the tasks as arrays; scanning is one pass over the texts, row by row,
 without a shuffle.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import keep, workers_ready
 
-#: labelled findings of each label that the forest is fitted on at most, about
+#: different labelled findings of each label that the forest is fitted on at most
 SAMPLE = 10_000
 TREES, DEPTH, SEED = 24, 7, 11
 #: share of the trees' votes from which a candidate is a secret
@@ -152,13 +153,15 @@ def features(text: str, start: int, end: int, path: str | None, words: Dictionar
 
 @dataclass
 class Forest:
-    """Trees as arrays: for each tree feature (-1: a leaf), threshold, left, right, vote."""
+    """Trees as arrays: for each tree feature (-1: a leaf), threshold, left, right, vote.
+    ``alone``: the share of votes where there are no trees."""
     trees: list = field(default_factory=list)
+    alone: float = 0.0
 
     def votes(self, x: np.ndarray) -> np.ndarray:
-        """Share of the trees that vote for a secret; 1 without trees."""
+        """Share of the trees that vote for a secret."""
         if not self.trees or not len(x):
-            return np.ones(len(x))
+            return np.full(len(x), self.alone)
         total = np.zeros(len(x))
         for feature, threshold, left, right, vote in self.trees:
             at = np.zeros(len(x), dtype=np.int64)
@@ -196,18 +199,22 @@ def _arrays(root) -> tuple:
 def fit_forest(labelled: DataFrame, dictionary_path: str, sample: int = SAMPLE) -> Forest:
     """``labelled`` (text, start, end, path, secret 0/1) -> a forest.
 
-    At most about ``sample`` findings of each label are used, drawn by a hash of the
-    row.  Rows with a null text, span or label, or an empty span, are left out.
-    Without findings of both labels there is nothing to tell apart: the forest has
-    no trees, and every candidate counts as a secret.
+    At most ``sample`` different findings of each label are used, those with the smallest
+    hashes of the row; a finding that many rows repeat counts once.  Rows with a null
+    text, span or label, or an empty span, are left out.
+    Findings of one label only leave nothing to tell apart: the forest has no trees,
+    and calls no candidate a secret if no finding was one (or there is no finding, so
+    that nothing is redacted unseen), every candidate if each finding was.
+    The labelled rows are read once.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = labelled.sparkSession
     workers_ready(spark)
-    rows = labelled.select("text", "start", "end", "path", "secret").where(
-        "text is not null and start >= 0 and end > start and end <= length(text) and secret in (0, 1)")
+    columns = ["text", "start", "end", "path", "secret"]
+    rows = keep(labelled.select(*columns).where(
+        "text is not null and start >= 0 and end > start and end <= length(text) and secret in (0, 1)").distinct())
 
     def run(batches):
         import pyarrow as pa
@@ -217,14 +224,11 @@ def fit_forest(labelled: DataFrame, dictionary_path: str, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.list_(pa.float64())), batch.column(4).cast(pa.float64())], names=["x", "secret"])
 
-    counts = {r["secret"]: r["n"] for r in rows.groupBy("secret").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return Forest()
-    share = {k: min(1.0, sample / n) for k, n in counts.items()}
-    drawn = F.pmod(F.xxhash64("text", "start"), F.lit(1_000_000)) < F.when(F.col("secret") == 1, share[1] * 1e6).otherwise(share[0] * 1e6)
-    x = keep(rows.where(drawn).mapInArrow(run, "x array<double>, secret double"))
-    if x.select("secret").distinct().count() < 2:
-        return Forest()
+    labels = {r["secret"] for r in rows.select("secret").distinct().collect()}
+    if len(labels) < 2:
+        return Forest(alone=float(max(labels, default=0)))
+    drawn = [rows.where(F.col("secret") == k).orderBy(F.xxhash64(*columns), *columns).limit(sample) for k in (0, 1)]
+    x = keep(drawn[0].unionByName(drawn[1]).mapInArrow(run, "x array<double>, secret double"))
     learner = RandomForestClassifier(featuresCol="f", labelCol="secret", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
                                      minInstancesPerNode=2)
     model = learner.fit(x.coalesce(4).select(array_to_vector("x").alias("f"), "secret"))
@@ -250,7 +254,8 @@ def _secrets(texts, paths, forest: Forest, known: Dictionary, votes: float):
 
 def scan(docs: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "doc_id", text_col: str = "text",
          path_col: str | None = None, votes: float = VOTES) -> DataFrame:
-    """A row per secret: doc_id, start, end (characters), masked (its first four), score.
+    """A row per secret: doc_id, start, end (characters), masked (a quarter of it, four characters
+    at most, and dots), score.
 
     Null and empty texts hold none; a null path is an unknown one; repeated rows have
     their findings each; other columns are not read; an empty table has no rows.
@@ -265,7 +270,7 @@ def scan(docs: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "d
         for batch in batches:
             ids, texts, paths = (batch.column(i).to_pylist() for i in range(3))
             found = _secrets(texts, paths, forest, known, votes)
-            flat = [(d, s, e, t[s:s + 4] + "...", v) for d, t, f in zip(ids, texts, found) for s, e, v in f]
+            flat = [(d, s, e, t[s:s + min(4, (e - s) // 4)] + "...", v) for d, t, f in zip(ids, texts, found) for s, e, v in f]
             if flat:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), kinds)],
@@ -277,7 +282,8 @@ def scan(docs: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "d
 def redact(docs: DataFrame, forest: Forest, dictionary_path: str, text_col: str = "text", path_col: str | None = None,
            votes: float = VOTES, mark: str = MARK) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``; all rows and all other
-    columns stay as they were."""
+    columns stay as they were.  Null and empty texts, and texts without secrets, stay too; a
+    null path is an unknown one; an empty table stays empty."""
     workers_ready(docs.sparkSession)
     at = docs.columns.index(text_col)
     path_at = docs.columns.index(path_col) if path_col else None

@@ -252,10 +252,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component among the rows with an id, and one among those
-    without: the one with the smallest id, then the smallest hashes of its text and of the
-    whole row.  So no component loses its last row, also where rows of different components
-    share an id, and reruns agree.
+    """``docs`` with one row of each component: the one with the smallest id, null ids last,
+    then the smallest hashes of its text and of the whole row.  So no component loses its
+    last row, also where rows of different components share an id, and reruns agree.
+
+    Null, empty and blank texts are one component; repeated rows are copies; an empty table
+    stays empty; all columns stay as they were.
     """
     if distance < 0:
         raise ValueError("distance must not be negative")
@@ -263,12 +265,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3, i
     whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those that have a hash
     hashes = {by_text: F.xxhash64(F.col(text_col).cast("string")), by_row: F.xxhash64(*whole)}
     own = keep(fingerprints(docs, shingle, id_col, text_col, hashes))
-    first = F.min(F.struct("doc_id", by_text, by_row)).alias("first")
-    firsts = keep(own.groupBy("fp", F.col("doc_id").isNull().alias("unnamed")).agg(first))
-    roots = connected_components(links(firsts.select("fp").distinct(), distance))
-    grouped = firsts.join(roots, F.col("node") == F.col("fp"), "left").select(
-        F.coalesce("root", "fp").alias("component"), "unnamed", "first")
-    stay = keep(grouped.groupBy("component", "unnamed").agg(F.min("first").alias("first")).select(
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", by_text, by_row)).alias("first")
+    firsts = keep(own.groupBy("fp").agg(first))
+    roots = connected_components(links(firsts.select("fp"), distance))
+    grouped = firsts.join(roots, F.col("node") == F.col("fp"), "left").select(F.coalesce("root", "fp").alias("component"), "first")
+    stay = keep(grouped.groupBy("component").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("a"), F.col(f"first.{by_text}").alias("b"), F.col(f"first.{by_row}").alias("c")))
     rows = docs.withColumns({key: F.col(id_col).cast("long"), **hashes})
     kept = rows.join(stay, rows[key].eqNullSafe(stay["a"]) & (rows[by_text] == stay["b"]) & (rows[by_row] == stay["c"]), "left_semi")

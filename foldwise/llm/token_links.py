@@ -367,7 +367,7 @@ def count_pairs(pairs: DataFrame, n_a: int, n_b: int, buckets: int, buffer: int
             yield close(bucket, keys, counts)
 
     sent = pairs.select("pairs").mapInArrow(count, "bucket int, packed binary")
-    files = sent.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write, "bucket int, path string")
+    files = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(write, "bucket int, path string")
     return SortedTable({r["bucket"]: r["path"] for r in files.collect()}, buckets)
 
 

@@ -9,7 +9,8 @@ piece fits is closed by cutting one.
 
 Each Spark task packs the examples of its own partition as they stream by and
 holds a bounded pool of pieces; there is no shuffle, and no group to be large.
-The sequences left at the end of a partition are cut at powers of two, which
+The sequences left at the end of a partition, and those that their segments or
+loss-bearing tokens fill long before their tokens do, are cut at powers of two, which
 need no padding.
 """
 
@@ -35,6 +36,9 @@ class Limits:
     min_cut: int = 16
 
 
+#: a sequence that other limits than the tokens' close is cut at a power of two if more than this part
+#: of it would be padding
+MOST_PADDING = 16
 #: pieces that a task holds while it packs, and examples after which it gives out what it placed
 POOL, FLUSH = 1024, 256
 
@@ -118,9 +122,22 @@ class Packer:
             offset += len(ids)
             left -= (len(ids), loss)
             segments -= 1
+        if offset < room - room // MOST_PADDING:  # another limit closed it: end at a power of two, without padding
+            self._trim(placed, offset - (1 << (offset.bit_length() - 1)))
         self.sequence += 1
         return placed
 
+    def _trim(self, placed: list, over: int) -> None:
+        """Take the last ``over`` tokens of a sequence's pieces back."""
+        while over:
+            example, start, ids, loss, sequence, offset = placed.pop()
+            n = max(0, len(ids) - over)
+            prompt = len(ids) - loss
+            self._wait(example, start + n, ids[n:], max(0, prompt - n))
+            over -= len(ids) - n
+            if n:
+                placed.append((example, start, ids[:n], max(0, n - prompt), sequence, offset))
+
     def _leave(self, slot: int) -> None:
         self.total -= int(self.size[slot, 0])
         self.size[slot] = 0
