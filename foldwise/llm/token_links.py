@@ -32,14 +32,14 @@ from foldwise.llm.common import shared_folder, workers_ready
 from foldwise.llm.shared_arrays import SortedTable, bucket_of, mixed, pack, unpack, write_arrays
 
 #: A tokens of a lane
-LANE = 512
+LANE = 256
 #: lanes that run at a time
-LANES = 2_048
+LANES = 8_192
 #: bytes of text that are aligned at a time
 CHUNK = 3 << 20
-#: words in the memo of a worker
-MEMO_WORDS = 150_000
-LONGEST_KEPT = 64
+#: words that a worker remembers before it starts anew, at about 150 bytes a word, and new ones that
+#: are encoded in one text
+MEMO_WORDS, WORDS_AT_A_TIME = 400_000, 20_000
 #: links of a group that are listed one by one; larger groups are counted by distinct ids
 LISTED = 1 << 12
 #: id pairs that a task holds while it counts
@@ -55,13 +55,13 @@ _READY: dict = {}
 # ------------------------------------------------------------------ tokens and their bytes
 
 class Tokenizers:
-    """Ids of space + text by both, as little-endian uint32, and the bytes of each id.
+    """Ids of space + text by both, and the bytes of each id.
 
     ``a_path`` is a byte-level BPE of the ``tokenizers`` library, ``b_path`` a model of
     ``sentencepiece`` that adds the space itself.  Neither joins a word to the one before
     it, so the ids of a plain text (single spaces and line ends between visible Latin
-    characters) are those of its words, which are remembered; other texts go through the
-    libraries whole.
+    characters) are those of its words.  Words are encoded together, in one text of those
+    that are new, and remembered; other texts go through the libraries whole.
     """
 
     def __init__(self, a_path: str, b_path: str, memo_words: int = MEMO_WORDS):
@@ -80,49 +80,90 @@ class Tokenizers:
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         self.memoizes = self.a.memoizes and not any(re.search("[^▁]▁|\n", p) for p in pieces)
-        self.memo, self.memo_words = {}, memo_words
-
-    def _joined(self, table: list, ids) -> bytes:
-        return b"".join([table[i] for i in ids])
-
-    def _word(self, key: str) -> tuple[bytes, bytes] | None:
-        """A plain word, after a space or, as a key with one, after a \\n; None if it isn't plain."""
-        if not PLAIN.fullmatch(key):
-            return None
-        if key[0] == "\n":
-            body, b = key, self.b.encode(key)[1:]  # the added space stays alone before a \n
-        else:
-            body, b = " " + key, self.b.encode(key)
-        a = self.a.tok.encode(body, add_special_tokens=False).ids
-        raw = body.encode()
-        if self._joined(self.a_bytes, a) != raw or self._joined(self.b_bytes, b) != raw:
+        self.memo_words = memo_words
+        self._forget()
+
+    def _forget(self) -> None:
+        """``memo``: word -> its row of the ragged arrays of ids."""
+        self.memo: dict = {}
+        self.n_rows = 0
+        self.ids = [[np.empty(0, np.int32)] for _ in range(2)]
+        self.counts = [[np.empty(0, np.int32)] for _ in range(2)]
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """By the libraries; None where the text isn't what its tokens join to."""
+        a, b = self.a.tok.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        raw = (" " + text).encode()
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        found = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
-        if len(key) <= LONGEST_KEPT:
-            if len(self.memo) >= self.memo_words:
-                self.memo.clear()
-            self.memo[key] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Both empty where a text has no tokens: null, empty, or not what its tokens join to."""
-        if not text:
-            return b"", b""
-        if self.memoizes:
-            memo, parts = self.memo, []
-            for key in text.replace("\n", " \n").split(" "):
-                found = memo.get(key) or self._word(key)
-                if found is None:
-                    break
-                parts.append(found)
-            else:
-                return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-        body = " " + text
-        a, b = self.a.tok.encode(body, add_special_tokens=False).ids, self.b.encode(text)
-        raw = body.encode()
-        if self._joined(self.a_bytes, a) != raw or self._joined(self.b_bytes, b) != raw:
-            return b"", b""
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        return np.array(a, np.int32), np.array(b, np.int32)
+
+    def _learn(self, words: list) -> bool:
+        """Remember new plain words (one after a \n has it as its first character); the text of all
+        of them is cut into their ids at the words' ends.  False if the libraries don't cut there."""
+        words = sorted(words, key=lambda w: w[0] == "\n")  # the first follows a space
+        if words[0][0] == "\n":
+            words.insert(0, "a")
+        text = "".join([w if w[0] == "\n" else " " + w for w in words])
+        found = self.whole(text[1:])
+        if found is None:
+            return False
+        ends = np.cumsum([len(w.encode()) + (w[0] != "\n") for w in words])
+        for ids, size, kept, counts in zip(found, (self.a_size, self.b_size), self.ids, self.counts):
+            token_ends = np.cumsum(size[ids])
+            at = np.searchsorted(token_ends, ends)
+            if (token_ends[at] != ends).any():
+                return False
+            kept.append(ids)
+            counts.append(np.diff(np.r_[-1, at]).astype(np.int32))
+        for row, w in enumerate(words, self.n_rows):
+            self.memo.setdefault(w, row)
+        self.n_rows += len(words)
+        return True
+
+    def _rows(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these rows, one after another, and the numbers of ids."""
+        self.ids[k], self.counts[k] = [np.concatenate(self.ids[k])], [np.concatenate(self.counts[k])]
+        counts, ids = self.counts[k][0], self.ids[k][0]
+        starts = np.cumsum(counts) - counts
+        n = counts[rows].astype(np.int64)
+        at = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return ids[at], n
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, B ids, A tokens of each text, B tokens of each text); a text that is null, empty,
+        or not what its tokens join to has none."""
+        keys = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        plain = [bool(k) and self.memoizes for k in keys]
+        if self.n_rows > self.memo_words:
+            self._forget()
+        new = {w for k, p in zip(keys, plain) if p for w in k if w not in self.memo}
+        odd = {w for w in new if not PLAIN.fullmatch(w)}
+        if odd:
+            plain = [p and odd.isdisjoint(k) for k, p in zip(keys, plain)]
+            new = {w for k, p in zip(keys, plain) if p for w in k if w not in self.memo}
+        new = sorted(new)
+        for at in range(0, len(new), WORDS_AT_A_TIME):
+            if not self._learn(new[at:at + WORDS_AT_A_TIME]):
+                self._forget()
+                plain = [False] * len(texts)
+                break
+        rows = np.fromiter((self.memo[w] for k, p in zip(keys, plain) if p for w in k), np.int64)
+        per_text = np.array([len(k) if p else 0 for k, p in zip(keys, plain)], np.int64)
+        out = []
+        others = {i: self.whole(t) for i, (t, p) in enumerate(zip(texts, plain)) if t and not p}
+        for k in (0, 1):
+            ids, n = self._rows(k, rows)
+            upto = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(per_text)]]
+            per = np.diff(upto)
+            if others:
+                parts, last = [], 0
+                for i, found in others.items():
+                    parts += [ids[last:upto[i]]] + ([found[k]] if found else [])
+                    last, per[i] = upto[i], len(found[k]) if found else 0
+                ids = np.concatenate(parts + [ids[last:]])
+            out.append((ids.astype(np.int64), per))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
 def tokenizers(a_path: str, b_path: str, memo_words: int = MEMO_WORDS) -> Tokenizers:
@@ -235,11 +276,14 @@ class GroupText:
     """The text ``a1,a2|b1;a3|b2,b3`` of groups, by a table of each id with what may follow it."""
 
     def __init__(self, n_a: int, n_b: int):
+        import pyarrow as pa
         self.b_from = 2 * n_a
-        self.table = [x for i in range(n_a) for x in (b"%d," % i, b"%d|" % i)] + [x for i in range(n_b) for x in (b"%d," % i, b"%d;" % i)]
+        self.table = pa.array([x for n, ends in ((n_a, b",|"), (n_b, b",;")) for i in range(n) for x in (b"%d%c" % (i, ends[0]), b"%d%c" % (i, ends[1]))],
+                              pa.large_binary())
 
-    def of(self, a_ids, b_ids, groups, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
-        """Of each document; empty for one without tokens."""
+    def of(self, a_ids, b_ids, groups, n_a: np.ndarray, n_b: np.ndarray) -> list:
+        """Of each document, as memory views; empty for one without tokens."""
+        import pyarrow as pa
         fa, la, fb, lb = groups
         items = np.empty(len(a_ids) + len(b_ids), np.int64)
         sizes_a, sizes_b = la - fa + 1, lb - fb + 1
@@ -248,17 +292,32 @@ class GroupText:
         b_code[lb] += 1
         items[np.arange(len(a_ids)) + np.repeat(fb, sizes_a)] = a_code
         items[np.arange(len(b_ids)) + np.repeat(la + 1, sizes_b)] = b_code
-        ends = np.cumsum(n_a + n_b).tolist()
-        table, items, out, at = self.table, items.tolist(), [], 0
-        for end in ends:
-            out.append(b"".join([table[i] for i in items[at:end]])[:-1])
-            at = end
-        return out
+        written = self.table.take(pa.array(items))
+        _, offsets, data = written.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[:len(items) + 1]
+        edges = offsets[np.r_[0, np.cumsum(n_a + n_b)]].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [view[s:max(s, e - 1)] for s, e in zip(edges[:-1], edges[1:])]
+
+
+def packed_lists(values: np.ndarray, edges: np.ndarray, kind: str):
+    """An Arrow array of binary: the values between each two edges, little-endian."""
+    import pyarrow as pa
+    raw = values.astype(kind).tobytes()
+    offsets = (edges * np.dtype(kind).itemsize).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def unpacked(column, kind: str) -> np.ndarray:
+    """All values of such an array, one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 # ------------------------------------------------------------------ over the corpus
 
-ALIGNED = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, size long, pairs binary")
+ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, size long, pairs binary, links binary"
+#: of a packed pair and of its links
+PAIR, LINKS = "<i8", "<u4"
 
 
 def _align_rows(a_path: str, b_path: str, spans: bool):
@@ -271,22 +330,19 @@ def _align_rows(a_path: str, b_path: str, spans: bool):
         for batch in batches:
             texts = batch.column(1)
             for lo, hi in chunks(texts, CHUNK):
-                raw = [both.encode(t.as_py()) for t in texts.slice(lo, hi - lo)]
-                a_ids, b_ids = (np.frombuffer(b"".join([r[i] for r in raw]), "<u4").astype(np.int64) for i in (0, 1))
-                n_a, n_b = (np.array([len(r[i]) // 4 for r in raw], np.int64) for i in (0, 1))
+                a_ids, b_ids, n_a, n_b = both.encode(texts.slice(lo, hi - lo).to_pylist())
                 groups, doc, pair, count = align(a_ids, b_ids, both.a_size, both.b_size, n_a, n_b)
                 written = text_of.of(a_ids, b_ids, groups, n_a, n_b)
-                edges = np.searchsorted(doc, np.arange(len(raw) + 1))
+                edges = np.searchsorted(doc, np.arange(hi - lo + 1))
                 links = np.r_[0, np.cumsum(count)]
                 of = np.searchsorted(groups[0], np.r_[0, np.cumsum(n_a)])
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(n_a), pa.array(n_b), pa.array(np.diff(of)),
                            pa.array(links[edges[1:]] - links[edges[:-1]]),
                            pa.array([hashlib.sha256(w).hexdigest() if w else "" for w in written]),
-                           pa.array(np.diff(edges)),
-                           pa.array([pack([pair[s:e], count[s:e]]) for s, e in zip(edges[:-1], edges[1:])], pa.binary())]
-                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "size", "pairs"]
+                           pa.array(np.diff(edges)), packed_lists(pair, edges, PAIR), packed_lists(count, edges, LINKS)]
+                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "size", "pairs", "links"]
                 if spans:
-                    columns.append(pa.array([w.decode() for w in written]))
+                    columns.append(pa.array([bytes(w).decode() for w in written]))
                     names.append("groups")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -296,8 +352,8 @@ def _align_rows(a_path: str, b_path: str, spans: bool):
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
             spans: bool = True) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, size (distinct
-    id pairs), pairs (packed: A id * B's ids + B id, and links), and with ``spans`` the groups
-    as text.  Texts that are null, empty, or not the bytes of their tokens have zeros and ''."""
+    id pairs), pairs and links (little-endian numbers: A id * B's ids + B id, 8 bytes, rising,
+    and how often it is linked, 4 bytes), and with ``spans`` the groups as text.  Texts that are null, empty, or not the bytes of their tokens have zeros and ''."""
     workers_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -323,7 +379,7 @@ def count_pairs(pairs: DataFrame, n_a: int, n_b: int, buckets: int, buffer: int
         keys, counts, held = [], [], 0
         for batch in batches:
             for raw in batch.column(0):
-                keys.append(unpack(raw.as_py())[0])
+                keys.append(np.frombuffer(raw.as_py(), PAIR).astype(np.uint64))
                 counts.append(np.ones(len(keys[-1]), np.uint64))
                 held += len(keys[-1])
                 if held >= buffer:
@@ -398,9 +454,8 @@ def link_report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
             part = np.cumsum(whole.column("size").to_numpy()) // LOOKED_UP
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
             for batch in (whole.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:])):
-                columns = [unpack(raw.as_py()) for raw in batch.column("pairs")]
                 n = batch.column("size").to_numpy()
-                keys, links = (np.concatenate([np.empty(0, np.uint64)] + [c[i] for c in columns]) for i in (0, 1))
+                keys, links = unpacked(batch.column("pairs"), PAIR).astype(np.uint64), unpacked(batch.column("links"), LINKS).astype(np.uint64)
                 unique, back = np.unique(keys, return_inverse=True)
                 count, best = (v[back] for v in table.lookup(unique, mixed(unique // width), ["count", "best"]))
                 sums = [np.r_[np.uint64(0), np.cumsum(links * v)] for v in (best, count)]
