@@ -23,8 +23,8 @@ from foldwise.llm.feast import greatest
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
 #: entries beyond are taken as this much, so that they stay exact
 LARGEST = 1 << 52
-#: rows of a block in a task
-BLOCK = 4_096
+#: rows of a block in a task, and tasks that add up what the others found
+BLOCK, MERGERS = 4_096, 16
 LONGEST_LONG = (1 << 63) - 1
 
 
@@ -48,16 +48,31 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
-def _exact(rows: list) -> DataFrame:
+EXACT, ROUNDED = "values array<decimal(38,0)>", "values array<double>"
+
+
+def _row(values: list, kind: str):
+    """A task's sums, as one row."""
     import pyarrow as pa
-    cells, values = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(values, pa.decimal128(38, 0))], names=["cell", "value"])
+    item = pa.decimal128(38, 0) if kind == EXACT else pa.float64()
+    return pa.RecordBatch.from_arrays([pa.array([list(values)], pa.list_(item))], names=["values"])
 
 
-def _totals(parts: DataFrame) -> dict:
-    """Exact sums by cell; as many as the matrix has cells."""
-    from decimal import Decimal  # noqa: F401  values of the rows below
-    return {r["cell"]: int(r["value"]) for r in parts.groupBy("cell").agg(F.sum("value").alias("value")).collect()}
+def _totals(rows: DataFrame, run, kind: str) -> list | None:
+    """``run`` over ``rows``, its tasks' sums added up by ``MERGERS`` tasks and then here; None
+    if no task had a row."""
+    def merge(batches):
+        total = None
+        for batch in batches:
+            for values in batch.column(0):
+                one = [int(v) if kind == EXACT else v for v in values.as_py()]
+                total = one if total is None else [a + b for a, b in zip(total, one)]
+        if total is not None:
+            yield _row(total, kind)
+
+    merged = rows.mapInArrow(run, kind).repartition(MERGERS).mapInArrow(merge, kind).collect()
+    parts = [[int(v) if kind == EXACT else v for v in r["values"]] for r in merged]
+    return [sum(c) for c in zip(*parts)] if parts else None
 
 
 def _sums(fit: DataFrame, width: int) -> tuple[int, list[int]]:
@@ -70,10 +85,10 @@ def _sums(fit: DataFrame, width: int) -> tuple[int, list[int]]:
             for lo in range(0, len(x), 512):  # entries up to 2^53: sums of 512 fit in 63 bits
                 total = [t + int(s) for t, s in zip(total, x[lo:lo + 512].sum(axis=0))]
         if n:
-            yield _exact([(-1, n), *enumerate(total)])
+            yield _row([n, *total], EXACT)
 
-    t = _totals(fit.mapInArrow(run, "cell int, value decimal(38,0)"))
-    return t.get(-1, 0), [t.get(i, 0) for i in range(width)]
+    n, *sums = _totals(fit, run, EXACT) or [0] * (width + 1)
+    return n, sums
 
 
 def _products(fit: DataFrame, width: int, centre: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -97,12 +112,12 @@ def _products(fit: DataFrame, width: int, centre: np.ndarray) -> tuple[list[int]
                 first = [a + int(b) for a, b in zip(first, part.astype(object).sum(axis=0))]
                 second = [a + int(b) for a, b in zip(second, found)]
         if seen:
-            yield _exact([*enumerate(first), *((width + i, v) for i, v in enumerate(second))])
+            yield _row([*first, *second], EXACT)
 
-    t = _totals(fit.mapInArrow(run, "cell int, value decimal(38,0)"))
+    sums = _totals(fit, run, EXACT)
     second = np.zeros((width, width), dtype=object)
-    second[upper] = [t.get(width + i, 0) for i in range(len(upper[0]))]
-    return [t.get(i, 0) for i in range(width)], second
+    second[upper] = sums[width:]
+    return sums[:width], second
 
 
 class Whitening:
@@ -148,18 +163,13 @@ def identity_error(fit: DataFrame, model: Whitening) -> float:
     upper = np.triu_indices(k)
 
     def run(batches):
-        import pyarrow as pa
         first, second = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             w = model.whiten(_matrix(batch.column(0), width))
             first, second = first + w.sum(axis=0), second + w.T @ w
-        values = np.r_[first, second[upper]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["cell", "value"])
+        yield _row(np.r_[first, second[upper]].tolist(), ROUNDED)
 
-    rows = fit.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    sums = np.zeros(k + len(upper[0]))
-    for r in rows:
-        sums[r["cell"]] = r["value"]
+    sums = np.array(_totals(fit, run, ROUNDED))
     mean = sums[:k] / model.n
     error = sums[k:] / model.n - np.outer(mean, mean)[upper] - (upper[0] == upper[1])
     return float(np.abs(error).max())
