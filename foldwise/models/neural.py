@@ -10,8 +10,14 @@ partitions nor on the size of Arrow batches; running statistics follow the mean
 and variance of the whole step.  Prediction is an Arrow-batched ``mapInPandas``
 with the weights shipped once per task.
 
-``batch_size = 0`` uses every row per step (one pass per step); otherwise a step
-reads the slices of one batch, whose ids are drawn once.
+``batch_size = 0`` uses every row per step (one pass per step); batches of a slice's
+size or more are steps over the slices of one batch, whose ids are drawn once.
+
+Smaller batches are steps inside the tasks: rows are dealt by a hash of their key into
+shards of about ``shard_rows``; an epoch is one job, in which every shard goes through its
+rows in an order of its own, batch by batch, from the same weights and optimizer state,
+and Spark averages what the shards end with, weighted by their rows.  Up to
+``shard_rows`` rows there is one shard, which is plain mini-batch descent.
 """
 
 from __future__ import annotations
@@ -159,6 +165,7 @@ class MLPConfig:
     activation: str = "ReLU"
     slice_rows: int = 1024      # rows, about, that batch norm and dropout see together
     momentum: float = 0.1       # weight of a step in the running statistics
+    shard_rows: int = 65_536    # rows, about, that one task takes through batches under a slice's size
 
 
 def latest_best(losses, min_delta: float = 0.0) -> int:
@@ -175,6 +182,54 @@ def _to_matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 0))
 
 
+class _LocalNet:
+    """Weights, Adam's moments and running statistics as one flat vector, trained batch by batch
+    in a task.  ``params`` are views of the vector, so a step works on it as a whole."""
+
+    def __init__(self, flat: np.ndarray, names, shapes, kcfg, lr: float, momentum: float):
+        sizes = [int(np.prod(s)) for s in shapes]
+        self.n = sum(sizes)
+        self.w, self.m, self.v = (flat[i * self.n:(i + 1) * self.n].copy() for i in range(3))
+        self.t, self.bn = float(flat[3 * self.n]), flat[3 * self.n + 1:].copy()
+        at = np.cumsum([0, *sizes])
+        self.params = {k: self.w[a:a + z].reshape(s) for k, a, z, s in zip(names, at, sizes, shapes)}
+        self.names, self.kcfg, self.lr, self.momentum = names, kcfg, lr, momentum
+
+    def bn_state(self) -> dict:
+        out, at = {}, 0
+        for i, h in enumerate(self.kcfg["hidden"] if self.kcfg["batch_norm"] else ()):
+            out[f"mu{i}"], out[f"var{i}"] = self.bn[at:at + h], self.bn[at + h:at + 2 * h]
+            at += 2 * h
+        return out
+
+    def step(self, x: np.ndarray, y: np.ndarray, rng) -> float:
+        """One Adam step on a batch; its summed squared error before."""
+        out, h_last, cache = _forward(self.params, x, self.kcfg, True, rng=rng)
+        diff = out - y
+        grads = _backward(self.params, self.kcfg, cache, h_last, 2.0 * diff / diff.size)
+        g = _flatten(grads, self.names)
+        first, self.t = self.t == 0, self.t + 1
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.001 * (g * g - self.v)
+        self.w -= self.lr * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
+        if len(self.bn):
+            wide = len(x) / max(1, len(x) - 1)
+            now = np.concatenate([s for c in cache for s in (c["mu"], c["var"] * wide)])
+            self.bn += (1.0 if first else self.momentum) * (now - self.bn)
+        return float((diff ** 2).sum())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w, self.m, self.v, [self.t], self.bn])
+
+
+def batches_of(n: int, size: int, order: np.ndarray) -> list[np.ndarray]:
+    """``order`` cut into batches of ``size``; a single row at the end joins the batch before."""
+    cuts = list(range(size, n, size))
+    if cuts and n - cuts[-1] == 1:
+        cuts.pop()
+    return np.split(order, cuts)
+
+
 class SparkMLP:
     """M6: linear -> batch norm -> activation -> dropout blocks and a linear output,
     MSE loss, Adam, early stopping with best-weights restore (patience > 0)."""
@@ -270,6 +325,8 @@ class SparkMLP:
             split = split.withColumnRenamed("row_id", "_key")
             val = split.where("is_val").drop("is_val").persist(StorageLevel.MEMORY_AND_DISK)
             data = split.where("not is_val").drop("is_val")
+        if 0 < cfg.batch_size < cfg.slice_rows:
+            return self._fit_shards(data, val, feats, label)
         # slices are kept together, so a step doesn't shuffle rows
         n_slices = max(1, data.count() // cfg.slice_rows)
         data = data.withColumn("_slice", F.floor(hash_fraction(cfg.seed * 7919, "_key") * n_slices).cast("long"))
@@ -301,6 +358,75 @@ class SparkMLP:
             val.unpersist()
         return self
 
+    def _shard_job(self, rows: DataFrame, state: np.ndarray, feats: str, label: str, epoch: int, learn: bool):
+        """One job: (training loss, loss of the held-out rows under ``state``, state after the epoch)."""
+        cfg, kcfg, names = self.cfg, self._kcfg(), self.names
+        shapes = [self.params[k].shape for k in names]
+
+        def run(pdf):
+            # a shard's [rows, their loss, held-out rows, their loss, rows * state...]
+            pdf = pdf.sort_values("_key", kind="stable")
+            x = _to_matrix(pdf[feats])
+            y = np.asarray(pdf[label].to_list(), dtype=np.float64).reshape(len(pdf), -1)
+            held = pdf["_val"].to_numpy()
+            net, sums = _LocalNet(state, names, shapes, kcfg, cfg.lr, cfg.momentum), np.zeros(4)
+            if held.any() and net.t:
+                out = _forward(net.params, x[held], kcfg, False, bn_state=net.bn_state())[0]
+                sums[2:] = held.sum(), float(((out - y[held]) ** 2).sum())
+            x, y = x[~held], y[~held]
+            if learn and len(x):
+                rng = np.random.default_rng([cfg.seed, epoch, int(pdf["_slice"].iloc[0])])
+                sums[0] = len(x)
+                for batch in batches_of(len(x), cfg.batch_size, rng.permutation(len(x))):
+                    sums[1] += net.step(x[batch], y[batch], rng)
+            return pd.DataFrame({"v": [np.concatenate([sums, sums[0] * net.flat()]).tolist()]})
+
+        vec = _reduce_vectors(rows.groupBy("_slice").applyInPandas(run, "v array<double>"))
+        if not len(vec):
+            return 0.0, None, state
+        n, sse, n_val, sse_val = vec[:4]
+        return sse / max(n, 1), sse_val / n_val if n_val else None, vec[4:] / n if n else state
+
+    def _take_state(self, state: np.ndarray) -> None:
+        net = _LocalNet(state, self.names, [self.params[k].shape for k in self.names], self._kcfg(), self.cfg.lr, self.cfg.momentum)
+        self.params, self.bn = {k: v.copy() for k, v in net.params.items()}, {k: v.copy() for k, v in net.bn_state().items()}
+
+    def _fit_shards(self, data: DataFrame, val: DataFrame | None, feats: str, label: str) -> "SparkMLP":
+        """Batches under a slice's size: one job an epoch, which also gives the held-out loss of the
+        epoch before (and one more job for that of the last)."""
+        cfg = self.cfg
+        ship_package(data.sparkSession)
+        rows = data.withColumn("_val", F.lit(False))
+        n_shards = max(1, round(data.count() / cfg.shard_rows))
+        if val is not None:
+            rows = rows.unionByName(val.withColumn("_val", F.lit(True)))
+        rows = rows.withColumn("_slice", F.floor(hash_fraction(cfg.seed * 7919, "_key") * n_shards).cast("long"))
+        rows = rows.repartition(n_shards, "_slice").persist(StorageLevel.MEMORY_AND_DISK)
+        n = sum(v.size for v in self.params.values())
+        n_bn = 2 * sum(cfg.hidden_dims) if cfg.use_batch_norm else 0
+        state = np.concatenate([_flatten(self.params, self.names), np.zeros(2 * n + 1 + n_bn)])
+        losses, best_state, train_loss = [], state, 0.0
+        for epoch in range(cfg.epochs + 1):
+            learn = epoch < cfg.epochs
+            if not learn and val is None:
+                now, held, after = 0.0, None, state
+            else:
+                now, held, after = self._shard_job(rows, state, feats, label, epoch, learn)
+            if epoch:  # what the epoch before has come to
+                losses.append(train_loss if held is None else held)
+                self.history.append((epoch, train_loss, losses[-1]))
+                best = latest_best(losses, cfg.min_delta)
+                if best == epoch - 1:
+                    best_state = state
+                if 0 < cfg.patience <= epoch - 1 - best:
+                    break
+            state, train_loss = after, now
+        self._take_state(best_state if cfg.patience > 0 and losses else state)
+        rows.unpersist()
+        if val is not None:
+            val.unpersist()
+        return self
+
     def save(self, path: str, spark) -> None:
         """Configuration, weights and running statistics as one row of JSON text."""
         import json
