@@ -88,3 +88,11 @@ def hash_normal(seed: int, key, salt: str = "") -> Column:
     u1 = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") + F.lit(1)) / F.lit(float((1 << 32) + 1))
     u2 = F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
+
+
+def round_half(c, digits: int) -> Column:
+    """``c`` rounded to ``digits``, halves away from zero, in double arithmetic (``round`` on
+    doubles goes through a decimal for every value); beyond 2^53 steps a double is left as it is."""
+    v, step = _c(c).cast("double"), float(10 ** digits)
+    near = F.signum(v) * F.floor(F.abs(v) * F.lit(step) + F.lit(0.5)).cast("double") / F.lit(step)
+    return F.when(F.abs(v) < F.lit(2.0 ** 53 / step), near + F.lit(0.0)).otherwise(v)  # no -0

@@ -21,7 +21,8 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.session import ensure_checkpoint_dir
+from foldwise.models.trees import added, pack_trees
+from foldwise.session import InheritableThreads, ensure_checkpoint_dir, ship_package
 
 
 def squared_error_gradient(pred: Column, label: Column) -> Column:
@@ -42,19 +43,13 @@ class BoostedStages:
         self.trees: list = []
 
     # -- prediction -------------------------------------------------------
-    def _add_tree_output(self, df: DataFrame, tree, out: str) -> DataFrame:
-        t = tree.copy()
-        t.setFeaturesCol(self.features).setPredictionCol("_tree_out")
-        return t.transform(df).withColumn(out, F.col(out) + F.lit(self.step) * F.col("_tree_out")).drop(
-            "_tree_out")
-
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """base + step * sum of tree outputs (base score before any fit)."""
+        """base + step * sum of tree outputs (base score before any fit), in one projection."""
         base = 0.5 if self.base_score is None else self.base_score
-        res = df.withColumn(out, F.lit(float(base)))
-        for tree in self.trees:
-            res = self._add_tree_output(res, tree, out)
-        return res
+        if not self.trees:
+            return df.withColumn(out, F.lit(float(base)))
+        ship_package(df.sparkSession)
+        return df.withColumn(out, added(pack_trees(self.trees, [0] * len(self.trees)), F.array(F.lit(float(base))), self.features, self.step)[0])
 
     # -- training ---------------------------------------------------------
     def fit_increment(self, df: DataFrame, label: str = "label", rounds: int = 1) -> "BoostedStages":
@@ -62,28 +57,9 @@ class BoostedStages:
         ensure_checkpoint_dir(df.sparkSession)
         if self.base_score is None:
             self.base_score = float(df.agg(F.avg(label)).first()[0])
-        work = self.predict(df.select(self.features, label), "_cur")
-        prev = None
-        for r in range(rounds):
-            target = -self.gradient(F.col("_cur"), F.col(label))
-            # the tree fit reads its input several times: keep this round's frame
-            # cached so earlier trees are not re-applied on every pass
-            work = work.withColumn("_neg_grad", target).persist(StorageLevel.MEMORY_AND_DISK)
-            dt = DecisionTreeRegressor(featuresCol=self.features, labelCol="_neg_grad",
-                                       maxDepth=self.max_depth, minInstancesPerNode=self.min_leaf,
-                                       maxBins=self.max_bins, seed=self.seed + len(self.trees))
-            tree = dt.fit(work)
-            self.trees.append(tree)
-            if prev is not None:
-                prev.unpersist()
-            prev = work
-            work = self._add_tree_output(work.drop("_neg_grad"), tree, "_cur")
-            if (r + 1) % self.checkpoint_every == 0 and r + 1 < rounds:
-                work = work.checkpoint()   # reliable: cuts lineage, survives executor loss
-                prev.unpersist()
-                prev = None
-        if prev is not None:
-            prev.unpersist()
+        one = MultiOutputBoosting.__new__(MultiOutputBoosting)
+        one.models, one.features = [self], self.features
+        one.fit_increment(df.select(self.features, F.array(F.col(label).cast("double")).alias("_labels")), "_labels", rounds)
         return self
 
     def fit(self, df: DataFrame, label: str = "label", rounds: int = 10,
@@ -122,20 +98,64 @@ class BoostedStages:
 
 
 class MultiOutputBoosting:
-    """M5: one ``BoostedStages`` per output slot of an array label; outputs as an array."""
+    """M5: one ``BoostedStages`` per output slot of an array label; outputs as an array.
+
+    The slots of a round are fitted side by side on one kept frame (``parallel`` of them at
+    a time), and a prediction is one projection over the packed trees of all slots."""
 
-    def __init__(self, n_outputs: int, **kwargs):
+    def __init__(self, n_outputs: int, parallel: int = 8, **kwargs):
         self.models = [BoostedStages(**kwargs) for _ in range(n_outputs)]
         self.features = kwargs.get("features", "features")
+        self.parallel = parallel
+
+    parallel = 8
 
     def fit_increment(self, df: DataFrame, label: str = "label", rounds: int = 1):
-        for i, m in enumerate(self.models):
-            m.fit_increment(df.withColumn("_y", F.col(label)[i]), "_y", rounds)
+        """Add ``rounds`` trees a slot, each fitted to its slot's negative gradient."""
+        ensure_checkpoint_dir(df.sparkSession)
+        ship_package(df.sparkSession)
+        first, slots = self.models[0], range(len(self.models))
+        new = [i for i in slots if self.models[i].base_score is None]
+        if new:
+            means = df.agg(*[F.avg(F.col(label)[i]).alias(f"m{i}") for i in new]).first()
+            for i in new:
+                self.models[i].base_score = float(means[f"m{i}"])
+        work, prev = self.predict(df.select(self.features, F.col(label).alias("_y")), "_cur"), None
+        with InheritableThreads(df.sparkSession, max(1, min(self.parallel, len(self.models)))) as pool:
+            for r in range(rounds):
+                grads = [-m.gradient(F.col("_cur")[i], F.col("_y")[i]) for i, m in enumerate(self.models)]
+                # every tree reads the frame several times
+                work = work.withColumn("_neg", F.array(*grads)).persist(StorageLevel.MEMORY_AND_DISK)
+                frame = work
+
+                def fit_slot(i, frame=frame):
+                    m = self.models[i]
+                    learner = DecisionTreeRegressor(featuresCol=self.features, labelCol="_neg_grad", maxDepth=m.max_depth,
+                                                    minInstancesPerNode=m.min_leaf, maxBins=m.max_bins, seed=m.seed + len(m.trees))
+                    return learner.fit(frame.select(self.features, F.col("_neg")[i].alias("_neg_grad")))
+
+                if r == 0 and len(self.models) > 1:
+                    frame.count()  # kept before the slots read it side by side
+                trees = pool.map(fit_slot, slots)
+                for m, tree in zip(self.models, trees):
+                    m.trees.append(tree)
+                if prev is not None:
+                    prev.unpersist()
+                prev = work
+                if r + 1 < rounds:
+                    work = work.drop("_neg").withColumn("_cur", added(pack_trees(trees, slots), F.col("_cur"), self.features, first.step))
+                    if (r + 1) % first.checkpoint_every == 0:
+                        work = work.checkpoint()   # reliable: cuts lineage, survives executor loss
+                        prev.unpersist()
+                        prev = None
+        if prev is not None:
+            prev.unpersist()
         return self
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        res = df
-        for i, m in enumerate(self.models):
-            res = m.predict(res, f"_o{i}")
-        cols = [F.col(f"_o{i}") for i in range(len(self.models))]
-        return res.withColumn(out, F.array(*cols)).drop(*[f"_o{i}" for i in range(len(self.models))])
+        base = F.array(*[F.lit(0.5 if m.base_score is None else float(m.base_score)) for m in self.models])
+        trees = [(t, i) for i, m in enumerate(self.models) for t in m.trees]
+        if not trees:
+            return df.withColumn(out, base)
+        ship_package(df.sparkSession)
+        return df.withColumn(out, added(pack_trees(*zip(*trees)), base, self.features, self.models[0].step))

@@ -6,9 +6,18 @@ exactly, and caps depth at 30; scores are near, not equal.
 
 from __future__ import annotations
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor,
                                    GBTRegressionModel, GBTRegressor,
                                    RandomForestRegressionModel, RandomForestRegressor)
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def decision_tree(max_depth: int = 6, min_leaf: int = 2, max_bins: int = 256, seed: int = 42,
@@ -56,3 +65,64 @@ def save_model(model, path: str) -> str:
 def load_model(kind: str, path: str):
     """Load a model saved by ``save_model`` (kind = model class name)."""
     return _LOADERS[kind].load(path)
+
+
+# ---------------------------------------------------------------- trees as arrays
+
+@dataclass
+class PackedTrees:
+    """Regression trees one after another as arrays: ``feature`` (-1: a leaf), ``threshold``,
+    ``left`` and ``right`` (places in the arrays), ``value``; ``root`` and ``slot`` of each
+    tree, trees of a slot in the order in which they are added."""
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    root: np.ndarray
+    slot: np.ndarray
+    depth: int
+
+    def add_to(self, out: np.ndarray, x: np.ndarray, step: float) -> np.ndarray:
+        """``out`` (rows x slots) plus ``step`` times each tree of ``x`` (rows x features)."""
+        for root, slot in zip(self.root, self.slot):
+            at = np.full(len(x), root)
+            for _ in range(self.depth):
+                f = self.feature[at]
+                goes_left = x[np.arange(len(x)), np.maximum(f, 0)] <= self.threshold[at]
+                at = np.where(f < 0, at, np.where(goes_left, self.left[at], self.right[at]))
+            out[:, slot] += step * self.value[at]
+        return out
+
+
+def pack_trees(models, slots) -> PackedTrees:
+    """Fitted Spark trees with continuous splits, and the slot of each."""
+    nodes, roots, depth = [], [], 0
+
+    def walk(node, level: int) -> int:
+        nonlocal depth
+        at, depth = len(nodes), max(depth, level)
+        nodes.append((-1, 0.0, 0, 0, node.prediction()))
+        if node.subtreeDepth():
+            split = node.split()
+            nodes[at] = (split.featureIndex(), split.threshold(), walk(node.leftChild(), level + 1), walk(node.rightChild(), level + 1), 0.0)
+        return at
+
+    for m in models:
+        roots.append(walk(m._java_obj.rootNode(), 0))
+    f, t, l, r, v = zip(*nodes) if nodes else [()] * 5
+    return PackedTrees(np.array(f, np.int64), np.array(t, float), np.array(l, np.int64), np.array(r, np.int64), np.array(v, float),
+                       np.array(roots, np.int64), np.array(list(slots), np.int64), depth)
+
+
+def added(packed: PackedTrees, start: Column, features: str, step: float) -> Column:
+    """``start`` (an array column, a number a slot) plus ``step`` times the trees of the vector
+    column ``features``: one projection, evaluated by Arrow batches."""
+    @F.pandas_udf("array<double>")
+    def run(cur: pd.Series, x: pd.Series) -> pd.Series:
+        if not len(cur):
+            return pd.Series([], dtype=object)
+        out = packed.add_to(np.stack(cur.to_numpy()).astype(float), np.stack(x.to_numpy()).astype(float), step)
+        return pd.Series(list(out))
+
+    return run(start, vector_to_array(F.col(features)))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.lookup import bounded
+from foldwise.operators.lookup import bounded, small, tiny
 
 # fixed values of the study's protocol: columns by scaling, encoded columns, variants
 MINMAX_COLS = ("x", "y", "z", "condition", "age", "bedrooms", "bathrooms", "floors", "view")
@@ -26,7 +26,7 @@ VARIANTS = ("cat", "tgt", "coord_only", "tgt_only")
 
 
 def heldouts(spark, k: int) -> DataFrame:
-    return spark.range(k).select(F.col("id").cast("int").alias("heldout"))
+    return spark.createDataFrame([(h,) for h in range(k)], "heldout int").coalesce(1)
 
 
 # ---------------------------------------------------------------- E0
@@ -66,9 +66,8 @@ def category_partials(df: DataFrame, cols, target: str, fold: str = "fold") -> D
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("_cat"))
                                 for c in cols]))
     long = df.select(F.col(fold).alias("_f"), F.col(target).alias("_y"), cells.alias("_c"))
-    return (long.groupBy("_f", F.col("_c.column").alias("column"), F.col("_c._cat").alias("_cat"))
-                .agg(F.sum("_y").alias("_s"), F.count(F.lit(1)).alias("_n"))
-                .checkpoint())
+    return small(long.groupBy("_f", F.col("_c.column").alias("column"), F.col("_c._cat").alias("_cat"))
+                     .agg(F.sum("_y").alias("_s"), F.count(F.lit(1)).alias("_n")))
 
 
 def encoding_tables(part: DataFrame, col: str, k: int, smoothing: float = 10.0):
@@ -136,10 +135,10 @@ def fold_fit_stats(df: DataFrame, cols, k: int, fold: str = "fold") -> DataFrame
     long = df.select(F.col(fold).alias("_f"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("_cv")).select("_f", "_cv.column", "_cv.v")
-    part = long.groupBy("_f", "column").agg(
+    part = tiny(long.groupBy("_f", "column").agg(  # k x columns rows, read twice below
         F.count("v").alias("_n"), F.avg("v").alias("_mean"),
         (F.var_pop("v") * F.count("v")).alias("_m2"), F.min("v").alias("_min"),
-        F.max("v").alias("_max")).checkpoint()   # k x columns rows, read twice below
+        F.max("v").alias("_max")))
     return _moments_by_heldout(part, k, ["column"])
 
 
@@ -290,11 +289,11 @@ class FoldPreprocessor:
     def _materialize(st: FoldState) -> FoldState:
         """Write the small fitted tables once (k rows, or k x categories), so
         every pass of a model fit reads them instead of re-aggregating the data."""
-        st.encodings = {c: (bounded(e), bounded(g)) for c, (e, g) in st.encodings.items()}
-        st.scale = st.scale.checkpoint()
-        st.target = st.target.checkpoint()
+        st.encodings = {c: (bounded(e), tiny(g)) for c, (e, g) in st.encodings.items()}
+        st.scale = tiny(st.scale)
+        st.target = tiny(st.target)
         if st.age_range is not None:
-            st.age_range = st.age_range.checkpoint()
+            st.age_range = tiny(st.age_range)
         return st
 
     def transform(self, df: DataFrame, st: FoldState, heldout: int | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.session import ensure_checkpoint_dir
+
 #: rows of a lookup table that is broadcast; at some tens of bytes a row, a few MB
 LOOKUP_ROWS = 100_000
 
@@ -20,3 +22,33 @@ def bounded(table: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     """``table``, computed and kept once, with a broadcast hint if it has at most ``rows`` rows."""
     kept = table.checkpoint()
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+#: rows of a table that ``tiny`` brings to the driver: k folds x columns, or one row
+TINY_ROWS = 10_000
+
+
+def tiny(table: DataFrame) -> DataFrame:
+    """A table whose rows are bounded by folds and columns, computed once and held by the plan
+    itself, in one partition: what is derived from it needs no shuffle and no second job.
+    More than ``TINY_ROWS`` rows raise an error."""
+    rows = table.limit(TINY_ROWS + 1).collect()
+    if len(rows) > TINY_ROWS:
+        raise ValueError(f"a table of statistics has more than {TINY_ROWS} rows")
+    return table.sparkSession.createDataFrame(rows, table.schema).coalesce(1)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` computed and kept once; held by the plan (see ``tiny``) if it has few rows."""
+    kept = table.checkpoint()
+    rows = kept.limit(TINY_ROWS + 1).collect()
+    return table.sparkSession.createDataFrame(rows, kept.schema).coalesce(1) if len(rows) <= TINY_ROWS else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept once, in two partitions a core at least: a small file or a
+    coalesced shuffle leaves a few, and what expands them would run in as few tasks."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return kept if kept.rdd.getNumPartitions() >= cores else kept.repartition(2 * cores).checkpoint()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.functions.scalar import round_half
 from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
 from foldwise.operators import splits as SP
@@ -16,7 +17,7 @@ K = 5
 
 
 def _r(c, d=6):
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
+    return round_half(c, d)
 
 
 def positive_sales(spark, sf_dir):

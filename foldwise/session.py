@@ -85,3 +85,23 @@ def ship_package(spark: SparkSession) -> None:
         fh.write(buf.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+class InheritableThreads:
+    """A pool of threads whose Spark jobs belong to the caller's job group; ``map`` keeps the order."""
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n = spark, n
+
+    def __enter__(self):
+        from concurrent.futures import ThreadPoolExecutor
+        self.pool = ThreadPoolExecutor(self.n)
+        return self
+
+    def __exit__(self, *error):
+        self.pool.shutdown()
+
+    def map(self, fn, items) -> list:
+        from pyspark import inheritable_thread_target
+        here = inheritable_thread_target(self.spark)
+        return [f.result() for f in [self.pool.submit(here(fn), i) for i in items]]
