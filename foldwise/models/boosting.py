@@ -1,8 +1,7 @@
 """Boosted trees with continued training (M3), multi-output boosting (M5) and
 the single-layer special case with noise-fitted initial trees (M12).
 
-``BoostedStages`` keeps a constant base score and a list of Spark ML
-regression trees; each ``fit_increment`` adds rounds, every round fitting a
+``BoostedStages`` keeps a constant base score and a list of trees; each ``fit_increment`` adds rounds, every round fitting a
 ``DecisionTreeRegressor`` to the negative gradient of the loss at the current
 prediction (squared error by default; a custom objective is a Column function
 ``gradient(pred, label)``).  Prediction = base + step * sum(tree).  The
@@ -13,15 +12,15 @@ Not reproduced from XGBoost: second-order leaf weights and the L2 leaf term.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.models.trees import added, pack_trees
+from foldwise.models import store
+from foldwise.models.trees import added, pack_trees, tree_nodes
 from foldwise.session import InheritableThreads, ensure_checkpoint_dir, ship_package
 
 
@@ -78,23 +77,14 @@ class BoostedStages:
             self.fit_increment(noisy, "_noise", init_rounds)
         return self.fit_increment(df, label, rounds)
 
-
     def save(self, path: str, spark) -> None:
-        """Settings as one row of JSON text and every tree beside it.  A custom
-        gradient is code and isn't saved; a loaded model predicts."""
-        meta = {"step": self.step, "max_depth": self.max_depth, "min_leaf": self.min_leaf, "max_bins": self.max_bins,
-                "base_score": self.base_score, "features": self.features, "n_trees": len(self.trees)}
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i:05d}")
-        spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/settings")
+        """S11 (see ``store``).  A custom gradient is code and isn't saved: a loaded model
+        predicts, and goes on with squared errors."""
+        store.save(self, path, spark)
 
     @classmethod
     def load(cls, path: str, spark) -> "BoostedStages":
-        meta = json.loads(spark.read.text(f"{path}/settings").first()[0])
-        n = meta.pop("n_trees")
-        model = cls(**meta)
-        model.trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i:05d}") for i in range(n)]
-        return model
+        return store.load(path, spark, cls)
 
 
 class MultiOutputBoosting:
@@ -132,7 +122,7 @@ class MultiOutputBoosting:
                     m = self.models[i]
                     learner = DecisionTreeRegressor(featuresCol=self.features, labelCol="_neg_grad", maxDepth=m.max_depth,
                                                     minInstancesPerNode=m.min_leaf, maxBins=m.max_bins, seed=m.seed + len(m.trees))
-                    return learner.fit(frame.select(self.features, F.col("_neg")[i].alias("_neg_grad")))
+                    return tree_nodes(learner.fit(frame.select(self.features, F.col("_neg")[i].alias("_neg_grad"))))
 
                 if r == 0 and len(self.models) > 1:
                     frame.count()  # kept before the slots read it side by side
@@ -152,7 +142,16 @@ class MultiOutputBoosting:
             prev.unpersist()
         return self
 
+    def save(self, path: str, spark) -> None:
+        """S11 (see ``store``)."""
+        store.save(self, path, spark)
+
+    @classmethod
+    def load(cls, path: str, spark) -> "MultiOutputBoosting":
+        return store.load(path, spark, cls)
+
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Base and trees of every slot, as an array."""
         base = F.array(*[F.lit(0.5 if m.base_score is None else float(m.base_score)) for m in self.models])
         trees = [(t, i) for i, m in enumerate(self.models) for t in m.trees]
         if not trees:

@@ -480,6 +480,16 @@ class LinearLayer:
         self.opt = _Optimizer(optimizer, lr)
         self.input_size, self.output_size = input_size, output_size
 
+    def save(self, path: str, spark) -> None:
+        """Weights, settings and the optimizer's state (see ``store``)."""
+        from foldwise.models import store
+        store.save(self, path, spark)
+
+    @classmethod
+    def load(cls, path: str, spark) -> "LinearLayer":
+        from foldwise.models import store
+        return store.load(path, spark, cls)
+
     @staticmethod
     def _act(z, kind):
         if kind is None:

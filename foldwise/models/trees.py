@@ -95,9 +95,20 @@ class PackedTrees:
         return out
 
 
-def pack_trees(models, slots) -> PackedTrees:
-    """Fitted Spark trees with continuous splits, and the slot of each."""
-    nodes, roots, depth = [], [], 0
+@dataclass
+class Nodes:
+    """One regression tree, its root first: arrays as in ``PackedTrees``."""
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
+
+
+def tree_nodes(model) -> Nodes:
+    """Of a fitted Spark tree with continuous splits."""
+    nodes, depth = [], 0
 
     def walk(node, level: int) -> int:
         nonlocal depth
@@ -108,11 +119,19 @@ def pack_trees(models, slots) -> PackedTrees:
             nodes[at] = (split.featureIndex(), split.threshold(), walk(node.leftChild(), level + 1), walk(node.rightChild(), level + 1), 0.0)
         return at
 
-    for m in models:
-        roots.append(walk(m._java_obj.rootNode(), 0))
-    f, t, l, r, v = zip(*nodes) if nodes else [()] * 5
-    return PackedTrees(np.array(f, np.int64), np.array(t, float), np.array(l, np.int64), np.array(r, np.int64), np.array(v, float),
-                       np.array(roots, np.int64), np.array(list(slots), np.int64), depth)
+    walk(model._java_obj.rootNode(), 0)
+    f, t, l, r, v = zip(*nodes)
+    return Nodes(np.array(f, np.int64), np.array(t, float), np.array(l, np.int64), np.array(r, np.int64), np.array(v, float), depth)
+
+
+def pack_trees(trees, slots) -> PackedTrees:
+    """Trees (``Nodes``), and the slot of each."""
+    trees = list(trees)
+    root = np.cumsum([0] + [len(t.value) for t in trees])[:-1].astype(np.int64)
+    def joined(name, shift=False):
+        return np.concatenate([getattr(t, name) + (at if shift else 0) for t, at in zip(trees, root)]) if trees else np.empty(0)
+    return PackedTrees(joined("feature"), joined("threshold"), joined("left", True), joined("right", True), joined("value"),
+                       root, np.array(list(slots), np.int64), max((t.depth for t in trees), default=0))
 
 
 def added(packed: PackedTrees, start: Column, features: str, step: float) -> Column:

@@ -47,6 +47,9 @@ def optimize_weight(df: DataFrame, by, y: str = "y", a: str = "pred_a", b: str =
 def apply_blend(df: DataFrame, weights: DataFrame, by, a: str = "pred_a", b: str = "pred_b",
                 out: str = "pred") -> DataFrame:
     """``w*a + (1-w)*b`` with the group's weight joined in (weights table: one
-    row per group, k rows when grouped by fold, a bounded lookup)."""
-    return df.join(bounded(weights.select(*by, "best_w")), list(by)).withColumn(
-        out, blend(F.col("best_w"), a, b))
+    row per group, k rows when grouped by fold, a bounded lookup).  A NULL key is a
+    group like any other; rows of a group without a weight are left out."""
+    by = list(by)
+    w = bounded(weights.select(*[F.col(c).alias(f"_w_{c}") for c in by], "best_w"))
+    same = [df[c].eqNullSafe(w[f"_w_{c}"]) for c in by]
+    return df.join(w, same).drop(*[f"_w_{c}" for c in by]).withColumn(out, blend(F.col("best_w"), a, b))

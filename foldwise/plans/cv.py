@@ -174,7 +174,8 @@ def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k
     summary = ME.cv_summary(fm.drop("fit_seconds", "predict_seconds", "n_features", "n_zero_target"),
                             ["model", "variant"], "pop")
     if metrics_path:
-        IO.save_metrics(summary.withColumn("target", F.lit(target)), metrics_path)
+        IO.save_metrics(summary.withColumn("target", F.lit(target)), metrics_path, run=IO.run_key(
+            mode="single", model=model, variant=variant, k=k, target=target, params=params))
     return scored, fm, summary
 
 
@@ -202,7 +203,8 @@ def cross_validate_stack(folded: DataFrame, model: str = "dt", variant: str = "t
                          (F.col("pred_price_per_sqft") * F.col(f"c_{area}")).alias("pred_b"))
     out = blend_members(both, model, variant)
     if metrics_path:
-        IO.save_metrics(out[2].withColumn("target", F.lit("price")), metrics_path)
+        IO.save_metrics(out[2].withColumn("target", F.lit("price")), metrics_path, run=IO.run_key(
+            mode="stack", model=model, variant=variant, k=k, area=area, params=params))
     return out
 
 

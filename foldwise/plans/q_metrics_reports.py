@@ -10,6 +10,7 @@ from foldwise.operators import encoders as EN
 from foldwise.operators import metrics as ME
 from foldwise.operators import reports as RP
 from foldwise.operators import splits as SP
+from foldwise.operators.lookup import spread, tiny
 from foldwise.plans.registry import register
 from foldwise.plans.sqltext import HASH_FOLD, SALES, SCORED
 from foldwise.sources.tables import read_table, scored
@@ -31,13 +32,13 @@ def _rmet(df, cols=MET, d=6):
 def scored_folds(spark, sf_dir):
     """Scored rows with their fold, materialized once: the weight fit and the
     fold-expanded metric pass both read it (one scan of the inputs)."""
-    return SP.assign_folds(scored(spark, sf_dir), K, 42).checkpoint()
+    return spread(SP.assign_folds(scored(spark, sf_dir), K, 42))
 
 
 def blend_weights(sf):
     """A12 per (model, variant, heldout): grid weight fitted on the train rows
     of each held-out fold, from per-fold sufficient statistics."""
-    st = BL.blend_sufficient_stats(sf, ["model", "variant", "fold"]).checkpoint()
+    st = tiny(BL.blend_sufficient_stats(sf, ["model", "variant", "fold"]))  # configurations x folds
     h = EN.heldouts(sf.sparkSession, K)
     others = st.crossJoin(F.broadcast(h)).where(F.col("fold") != F.col("heldout"))
     comb = others.groupBy("model", "variant", "heldout").agg(
@@ -131,10 +132,20 @@ def j6_weight_grid(spark, sf_dir):
     return g.select("model", "w", _r("rmse", 4).alias("rmse"))
 
 
-@register("p13_blend_apply", _BASE + """
-SELECT ex.row_id, ex.model, ex.heldout, round(best_w * pred_a + (1 - best_w) * pred_b, 4) AS pred
-FROM ex JOIN bw ON ex.model = bw.model AND ex.variant = bw.variant AND ex.heldout = bw.heldout
-WHERE split = 'test'""")
+# the sums of a fold's train rows hold all that the search of a weight needs
+@register("p13_blend_apply", f"""WITH {SALES}, {SCORED},
+sf AS MATERIALIZED (SELECT row_id, model, variant, y, pred_a, pred_b, {HASH_FOLD} AS fold FROM scored),
+st AS MATERIALIZED (
+  SELECT model, variant, fold, count(*) AS n, sum((y - pred_b) ^ 2) AS dd, sum((y - pred_b) * (pred_a - pred_b)) AS de,
+         sum((pred_a - pred_b) ^ 2) AS ee FROM sf GROUP BY ALL),
+tr AS MATERIALIZED (
+  SELECT model, variant, CAST(range AS INTEGER) AS heldout, sum(n) AS n, sum(dd) AS dd, sum(de) AS de, sum(ee) AS ee
+  FROM st, range(5) WHERE fold <> range GROUP BY ALL),
+bw AS MATERIALIZED (
+  SELECT model, variant, heldout, first(range / 100 ORDER BY sqrt(greatest(dd - 2 * (range / 100) * de + (range / 100) ^ 2 * ee, 0) / n), range) AS best_w
+  FROM tr, range(101) GROUP BY ALL)
+SELECT row_id, sf.model, heldout, round(best_w * pred_a + (1 - best_w) * pred_b, 4) AS pred
+FROM sf JOIN bw ON sf.model = bw.model AND sf.variant = bw.variant AND sf.fold = bw.heldout""")
 def p13_blend_apply(spark, sf_dir):
     """Blended out-of-fold prediction w*a + (1-w)*b with the fold's weight joined in."""
     sf = scored_folds(spark, sf_dir)

@@ -8,6 +8,7 @@ metric step is the same code as the oracle-checked A11/A13 queries.
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from foldwise.models import trees as TR
@@ -110,7 +111,8 @@ def m12_boost_with_noise_init(spark, sf_dir):
     return out
 
 
-@register("s11_model_roundtrip")
+@register("s11_model_roundtrip", "WITH " + ENGINEERED + """
+SELECT CAST(range AS INTEGER) AS heldout, (SELECT count(*) FROM engineered) AS n, 0 AS n_diff FROM range(5)""")
 def s11_model_roundtrip(spark, sf_dir):
     """Save a fitted tree per fold and load it back; per fold, rows and rows where the
     loaded model's prediction differs from the fitted one (expected: none)."""
@@ -144,10 +146,10 @@ def l6_map_table(spark, sf_dir):
 
 @register("m6_l2_mlp_cv")
 def m6_l2_mlp_cv(spark, sf_dir):
-    """M6 + L2: 5-fold CV of the [32, 32] batch-norm MLP (Adam, lr 0.01, 20 full-batch
-    epochs, early stopping on a 10 % hold-out with patience 5) on tgt_only."""
-    _, _, s = CV.cross_validate(folded(spark, sf_dir), "mlp", "tgt_only", 5,
-                                params={"epochs": 20, "lr": 0.01, "patience": 5})
+    """M6 + L2: 5-fold CV of the [32, 32] batch-norm MLP on tgt_only: Adam, lr 0.01, 50 epochs of
+    batches of 16, early stopping on a 10 % hold-out with patience 10; folds side by side."""
+    _, _, s = CV.cross_validate(folded(spark, sf_dir), "mlp", "tgt_only", 5, parallel=5,
+                                params={"epochs": 50, "batch_size": 16, "lr": 0.01, "patience": 10})
     return _summary(s)
 
 
@@ -169,7 +171,7 @@ def m7_m9_linear_layer(spark, sf_dir):
     one step per call for 15 calls; per-step loss, then the mean input-gradient
     norm of the fitted layer (back-propagation target)."""
     from foldwise.models.neural import LinearLayer
-    df = _emb_xy(spark, sf_dir).withColumn("yc", F.array(F.col("cls").cast("double"))).cache()
+    df = _emb_xy(spark, sf_dir).withColumn("yc", F.array(F.col("cls").cast("double"))).checkpoint()
     layer = LinearLayer(WIDTH, 10, lr=0.05, loss="ce", optimizer="Adam")
     hist = []
     for step in range(1, 16):
@@ -213,17 +215,14 @@ def m9_m11_linear_top(spark, sf_dir):
 
 @register("m13_autoencoder")
 def m13_autoencoder(spark, sf_dir):
-    """Boosted autoencoder 8 -> 3 -> 8 of the means of eight neighbouring embedding
-    values, with a learned inverse of the decoder; reconstruction MSE of an all-zero
-    output (reference level), and before and after one epoch."""
+    """Boosted autoencoder 64 -> 8 -> 64 of whole embeddings, with a learned inverse of the
+    decoder; reconstruction MSE of an all-zero output (reference level), and before and after one
+    epoch."""
     from foldwise.models.layered import Autoencoder
     from foldwise.operators.metrics import mean_loss
-    step = WIDTH // 8
-    means = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(
-        F.slice("x", i * step + 1, step), F.lit(0.0), lambda a, v: a + v) / step)
-    df = _emb_xy(spark, sf_dir).select("row_id", means.alias("x")).checkpoint()
-    zero = mean_loss(df.withColumn("z", F.array_repeat(F.lit(0.0), 8)), "z", "x").first()[0]
-    net = Autoencoder(8, 3, rounds=2, step=0.3, target_lr=0.5, noise=0.01)
+    df = _emb_xy(spark, sf_dir).select("row_id", "x").checkpoint()
+    zero = mean_loss(df.withColumn("z", F.array_repeat(F.lit(0.0), WIDTH)), "z", "x").first()[0]
+    net = Autoencoder(WIDTH, 8, rounds=2, step=0.3, target_lr=0.5, noise=0.01)
     net.start(df, "x").train(df, "x", "x", epochs=1)
     return _history(spark, net, ("train_loss",)).withColumn("mse_zero", F.lit(float(zero)))
 
@@ -242,6 +241,91 @@ def e12_pca_2d(spark, sf_dir):
     return p.select("vec_id", a[0].alias("pc1"), a[1].alias("pc2"))
 
 
+@register("e12_pca_sampled", """
+SELECT count(*) AS n, true AS centred, true AS orthogonal, true AS unit, true AS falling FROM embeddings""")
+def e12_pca_sampled(spark, sf_dir):
+    """Two components of all embeddings, fitted on 200 rows after a reduction to 16: rows
+    projected; whether the sample's projections are centred, uncorrelated, of falling variance, and
+    the directions of unit length."""
+    from foldwise.operators.projection import Projection, bounded_sample
+    from foldwise.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    fitted = Projection(2, sample=200, before=16).fit(e, "embedding", "vec_id")
+    done = fitted.transform(e, "embedding")
+    part = bounded_sample(done, 200, "vec_id").select(F.col("pc")[0].alias("a"), F.col("pc")[1].alias("b"))
+    unit = bool(abs((fitted.matrix ** 2).sum(axis=0) - 1).max() < 1e-9)
+    checks = part.agg((F.abs(F.avg("a")) + F.abs(F.avg("b")) < 1e-9).alias("centred"), (F.abs(F.corr("a", "b")) < 1e-9).alias("orthogonal"),
+                      F.lit(unit).alias("unit"), (F.var_pop("a") >= F.var_pop("b")).alias("falling"))
+    return done.agg(F.count("pc").alias("n")).crossJoin(F.broadcast(checks))
+
+
+@register("s10_net_outputs", """
+WITH e AS (SELECT CASE WHEN ('0x' || substr(md5(concat('42:', CAST(vec_id AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0 < 0.2
+                       THEN 'test' ELSE 'train' END AS phase, label FROM embeddings)
+SELECT phase, CAST(range AS INTEGER) AS layer, count(*) AS n, sum(label)::DOUBLE AS labels,
+       CAST([64, 3, 1][range + 1] AS INTEGER) AS width, 0 AS n_diff
+FROM e, range(3) GROUP BY phase, range""")
+def s10_net_outputs(spark, sf_dir):
+    """Outputs of every layer of a trained net, with labels, for both phases, from one pass;
+    written by phase and layer and read back: rows, sum of labels, width, and rows that differ."""
+    from foldwise.functions.scalar import hash_fraction
+    from foldwise.models.layered import Boosted, StageNet
+    df = _emb_xy(spark, sf_dir).withColumn("phase", F.when(hash_fraction(42, "row_id") < 0.2, "test").otherwise("train")).checkpoint()
+    net = StageNet([Boosted(WIDTH, 3, 1, 0.3), Boosted(3, 1, 1, 0.3)], "mse", target_lr=0.5, noise=0.1)
+    train = df.where("phase = 'train'")
+    net.start(train, "x").train(train, "x", "y", epochs=1, every=0)
+    path = IO.scratch_path(spark, "net-hiddens")
+    IO.save_hiddens(net.hidden_rows(df, "x", "y", "phase"), path)
+    own = net.outputs(df, "x")
+    out = None
+    for layer in range(3):
+        back = IO.load_hiddens(spark, path, layer).select("row_id", "phase", "label", F.col("h").alias("stored"))
+        both = back.join(own.select(F.col("row_id"), F.col(f"h{layer}").alias("h")), "row_id")
+        m = both.groupBy("phase").agg(F.lit(layer).alias("layer"), F.count(F.lit(1)).alias("n"), F.sum(F.col("label")[0]).alias("labels"),
+                                      F.max(F.size("stored")).alias("width"), F.count_if(F.col("h") != F.col("stored")).cast("int").alias("n_diff"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("s11_net_roundtrip", """
+SELECT m AS model, (SELECT count(*) FROM embeddings) AS n, 0 AS n_diff
+FROM (VALUES ('net'), ('autoencoder'), ('linear'), ('multi')) t(m)""")
+def s11_net_roundtrip(spark, sf_dir):
+    """A net with a linear top, an autoencoder, a linear layer and multi-output boosting, each
+    trained, saved, loaded; rows, and rows whose prediction by the loaded model differs."""
+    from foldwise.models import store
+    from foldwise.models.boosting import MultiOutputBoosting
+    from foldwise.models.layered import Autoencoder, Boosted, Linear, StageNet
+    from foldwise.models.neural import LinearLayer
+    df = _emb_xy(spark, sf_dir).withColumn("v", array_to_vector("x")).withColumn("near", F.slice("x", 1, 3)).checkpoint()
+    net = StageNet([Boosted(WIDTH, 2, 1, 0.3), Linear(2, 1, 0.1)], "mse", target_lr=0.5, noise=0.1)
+    net.start(df, "x").train(df, "x", "y", epochs=1, every=0)
+    auto = Autoencoder(3, 2, rounds=1, step=0.3).start(df, "near").train(df, "near", "near", epochs=1, every=0)
+    linear = LinearLayer(WIDTH, 1, lr=0.05, optimizer="Adam").fit(df, "x", "y")
+    multi = MultiOutputBoosting(3, step=0.3, max_depth=2, features="v").fit_increment(df, "near", 2)
+    out = None
+    for name, model, x in (("net", net, "x"), ("autoencoder", auto, "near"), ("linear", linear, "x"), ("multi", multi, None)):
+        back = store.load(store.save(model, IO.scratch_path(spark, f"model-{name}"), spark), spark, type(model))
+        both = back.predict(model.predict(df, x, "_a"), x, "_b") if x else back.predict(model.predict(df, "_a"), "_b")
+        m = both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_a") != F.col("_b")).cast("int").alias("n_diff"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("s5_l2_runs", """SELECT 'dt' AS model, 'tgt' AS variant, split, metric, 1 AS n, true AS same
+FROM (VALUES ('train'), ('test')) s(split), (VALUES ('RMSE'), ('MAE'), ('MAPE'), ('R2'), ('Adjusted_R2')) m(metric)""")
+def s5_l2_runs(spark, sf_dir):
+    """S5 + L2: the same cross-validation twice, both times appended to one metric table, which then
+    has its rows once; and whether they are what the run returned."""
+    path, f = IO.scratch_path(spark, "runs"), folded(spark, sf_dir)
+    for _ in range(2):
+        _, _, s = CV.cross_validate(f, "dt", "tgt", 5, params={"max_depth": 3}, metrics_path=path, parallel=5)
+    stored = IO.read_metrics(spark, path).groupBy("model", "variant", "split", "metric").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.max("value").alias("value"))
+    both = stored.join(s.select("split", "metric", F.col("value").alias("own")), ["split", "metric"])
+    return both.select("model", "variant", "split", "metric", "n", (F.abs(F.col("value") - F.col("own")) <= 1e-9 * F.abs("own")).alias("same"))
+
+
 @register("l9_model_comparison")
 def l9_model_comparison(spark, sf_dir):
     """L9 + U2 + A18: boosted trees (M4), a linear layer (M7), a net of one boosted stage and
@@ -253,7 +337,7 @@ def l9_model_comparison(spark, sf_dir):
     from foldwise.models.layered import Boosted, Linear, StageNet
     from foldwise.models.neural import LinearLayer
     df = _emb_xy(spark, sf_dir).withColumn("is_test", hash_fraction(7, "row_id") < 0.2) \
-        .withColumn("features", array_to_vector("x")).withColumn("label", F.col("y")[0]).cache()
+        .withColumn("features", array_to_vector("x")).withColumn("label", F.col("y")[0]).checkpoint()
     train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
     gbt = TR.boosted_trees(rounds=20, step=0.1, max_depth=5).fit(train)
     stacked = gbt.transform(test).select(F.lit("gbt").alias("model"), F.col("prediction").alias("pred"),
