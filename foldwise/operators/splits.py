@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import hash_bucket, hash_fraction, hash_key
-from foldwise.operators.lookup import bounded
 from foldwise.operators.ordering import with_global_position
+from foldwise.operators.selection import mark_first
 
 
 def _block_of(pos, n, k: int):
@@ -50,13 +50,8 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
     if mode == "hash":
         return df.withColumn(out, F.when(hash_fraction(seed, key) < test_size, "test")
                              .otherwise("train"))
-    placed = with_global_position(df.withColumn("_hk", hash_key(seed, key)),
-                                  [F.col("_hk").asc(), F.col(key).asc()], "_pos")
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
-    return (placed.crossJoin(F.broadcast(n))
-                  .withColumn(out, F.when(F.col("_pos") < F.ceil(F.col("_n") * test_size), "test")
-                              .otherwise("train"))
-                  .drop("_hk", "_pos", "_n"))
+    marked = mark_first(df, lambda n: F.ceil(n * test_size), seed, key, (), "_first")
+    return marked.withColumn(out, F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def holdout_split(df: DataFrame, val_split: float = 0.1, seed: int = 42,
@@ -64,26 +59,10 @@ def holdout_split(df: DataFrame, val_split: float = 0.1, seed: int = 42,
     """K3: inside each group of ``by`` (e.g. held-out fold) the first
     ``int(n * val_split)`` rows in md5 order are the early-stopping hold-out.
 
-    Groups can be huge (a held-out fold's train part is 80 % of the rows), so
-    positions come from the distributed order over (group, md5, key) and a
-    per-group offset table, never from a window partitioned by the group.
+    Groups can be huge (a held-out fold's train part is 80 % of the rows): the cut of each
+    is found by histograms of the hash (see ``selection``), without a sort.
     """
-    by = list(by)
-    placed = with_global_position(df.withColumn("_hk", hash_key(seed, key)),
-                                  [*[F.col(b).asc_nulls_first() for b in by], F.col("_hk").asc(),
-                                   F.col(key).asc()], "_pos")
-    if by:
-        # one row per group; a NULL key is a group like any other
-        per = bounded(placed.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(
-            F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n")))
-        ranked = placed.join(per, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]).drop(
-            *[f"_by_{b}" for b in by])
-    else:
-        ranked = placed.crossJoin(F.broadcast(
-            placed.agg(F.lit(0).cast("bigint").alias("_start"), F.count(F.lit(1)).alias("_n"))))
-    return ranked.withColumn(
-        out, (F.col("_pos") - F.col("_start")) < F.floor(F.col("_n") * val_split)
-    ).drop("_hk", "_pos", "_start", "_n")
+    return mark_first(df, lambda n: F.floor(n * val_split), seed, key, by, out)
 
 
 def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42,
@@ -91,22 +70,11 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: in
     """K4: per class, the first ``ceil(test_size * n_class)`` rows in md5
     order are ``test`` (class shares kept).
 
-    Positions come from the distributed order over (class, md5, key) and a
-    per-class offset table (one row per class), so a hot class is spread over
-    many tasks instead of one window partition.
+    The cut of each class is found by histograms of the hash (see ``selection``), without a
+    sort, and a hot class is spread over all tasks.
     """
-    hk = hash_key(seed, key)
-    placed = with_global_position(df.withColumn("_hk", hk),
-                                  [F.col(label).asc_nulls_first(), F.col("_hk").asc(),
-                                   F.col(key).asc()], "_pos")
-    per_class = bounded(placed.groupBy(F.col(label).alias("_class")).agg(
-        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n")))   # one row per class
-    return (placed.join(per_class, F.col(label).eqNullSafe(F.col("_class")))
-                  .drop("_class")
-                  .withColumn(out, F.when(F.col("_pos") - F.col("_start") <
-                                          F.ceil(F.col("_n") * test_size), "test")
-                              .otherwise("train"))
-                  .drop("_hk", "_pos", "_start", "_n"))
+    marked = mark_first(df, lambda n: F.ceil(n * test_size), seed, key, [label], "_first")
+    return marked.withColumn(out, F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def batch_plan(df: DataFrame, batch_size: int, epoch: int = 0, seed: int = 42,

@@ -433,3 +433,56 @@ def l4_grid_tree(spark, sf_dir):
     (single mode); long metric table of every configuration."""
     g = CV.grid(folded(spark, sf_dir), models=("dt",), modes=("single",))
     return _summary(g)
+
+
+#: learners of the registered grid: production settings for the tree, smaller ones for the others
+GRID_PARAMS = {"rf": {"num_trees": 10, "max_depth": 6}, "boost": {"rounds": 5, "max_depth": 3}, "mlp": {"epochs": 2, "batch_size": 64}}
+
+_GRID_SQL = "WITH " + ENGINEERED + """,
+c AS (SELECT count(*) AS n FROM engineered)
+SELECT model, variant, mode, split, CASE split WHEN 'test' THEN n ELSE 4 * n END AS n,
+       CAST(n_features AS INTEGER) AS n_features, 5 AS folds, 0 AS n_off
+FROM c, (VALUES ('dt'), ('rf'), ('boost'), ('mlp')) m(model),
+     (VALUES ('cat', 14), ('tgt', 17), ('coord_only', 15), ('tgt_only', 14)) v(variant, n_features),
+     (VALUES ('single'), ('stack')) o(mode), (VALUES ('train'), ('test')) s(split)"""
+
+#: the metrics of stored predictions once more, as plain SQL
+_STORED_SQL = """
+WITH sums AS (
+  SELECT model, variant, heldout, count(*) AS n, sum((y - pred_b) * (y - pred_b)) AS dd, sum((y - pred_b) * (pred_a - pred_b)) AS de,
+         sum((pred_a - pred_b) * (pred_a - pred_b)) AS ee FROM {p} WHERE split = 'train' GROUP BY ALL),
+best AS (
+  SELECT model, variant, heldout, min_by(w, struct(sqrt(greatest(dd - 2 * w * de + w * w * ee, 0) / n), w)) AS w
+  FROM sums, (SELECT id / 100 AS w FROM range(101)) GROUP BY ALL),
+rows AS (
+  SELECT 'single' AS mode, model, variant, heldout, split, y, pred_a AS pred FROM {p}
+  UNION ALL
+  SELECT 'stack', p.model, p.variant, p.heldout, split, y, w * pred_a + (1 - w) * pred_b FROM {p} p JOIN best USING (model, variant, heldout))
+SELECT mode, model, variant, heldout, split, count(*) AS m_n, sqrt(avg((y - pred) * (y - pred))) AS m_rmse, avg(abs(y - pred)) AS m_mae,
+       1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS m_r2 FROM rows GROUP BY ALL"""
+
+
+def grid_report(run) -> "DataFrame":
+    """Of a finished grid: configuration and split, rows over all folds, features, folds, and how many
+    folds' metrics differ from what SQL makes of the stored predictions."""
+    run.predictions().createOrReplaceTempView("grid_predictions")
+    again = run.spark.sql(_STORED_SQL.format(p="grid_predictions"))
+    features = run.predictions().groupBy("variant").agg(F.max("n_features").alias("n_features"))
+    both = run.fold_metrics().join(again, ["mode", "model", "variant", "heldout", "split"]).join(F.broadcast(features), "variant")
+
+    def off(a, b):
+        return F.abs(F.col(a) - F.col(b)) > 1e-6 * F.greatest(F.abs(F.col(a)), F.lit(1e-3))
+
+    wrong = (F.col("n") != F.col("m_n")) | off("RMSE", "m_rmse") | off("MAE", "m_mae") | off("R2", "m_r2")
+    return both.groupBy("model", "variant", "mode", "split").agg(
+        F.sum("n").alias("n"), F.max("n_features").cast("int").alias("n_features"), F.count(F.lit(1)).cast("int").alias("folds"),
+        F.count_if(F.coalesce(wrong, F.lit(True))).cast("int").alias("n_off"))
+
+
+@register("l4_grid", _GRID_SQL)
+def l4_grid(spark, sf_dir):
+    """L4: all 32 configurations (4 models x 4 location encodings x single and stack) over 5 folds on one
+    kept frame, fits side by side; rows, features and folds of each, and its metrics against SQL over
+    the stored predictions."""
+    from foldwise.plans.grid import GridRun
+    return grid_report(GridRun(folded(spark, sf_dir), IO.scratch_path(spark, "grid"), params=GRID_PARAMS).run())
