@@ -209,7 +209,12 @@ def count_texts(order: int, buckets: int, buffer: int = BUFFER):
     return run
 
 
-def write_level(folder: str, level: int, buckets: int, buffer: int = BUFFER):
+def looked_up(level: int, order: int) -> tuple:
+    """What scoring asks of a level's n-grams: plain counts of words, sums of contexts."""
+    return (STATS if level == 1 else STATS[1:]) if level < order else STATS[:2] if level == 1 else STATS[1:2]
+
+
+def write_level(folder: str, level: int, order: int, buckets: int, buffer: int = BUFFER):
     """For mapInArrow over the packed rows of one bucket: writes this level's files, hands down the
     level below, lets pass what belongs to others."""
     def close(bucket, merger):
@@ -218,7 +223,8 @@ def write_level(folder: str, level: int, buckets: int, buffer: int = BUFFER):
         if level > 1:
             w, s, g = lower(words, stats)
             yield from ((m, b, raw, None, None) for m, b, raw in outgoing(level - 1, w, s, g, buckets))
-        path = write_arrays(f"{folder}/{level}", bucket, {"key": h} | dict(zip(STATS, stats)))
+        wanted = looked_up(level, order)
+        path = write_arrays(f"{folder}/{level}", bucket, {"key": h} | {k: v for k, v in zip(STATS, stats) if k in wanted})
         adjusted, event = stats[1], stats[1] > 0
         facts = [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [
             int(adjusted.sum()), int(event.sum()), int(stats[0].sum())]
@@ -301,7 +307,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, bucket_byt
     folder = shared_folder(spark, "kneser-ney")
     rows = column.mapInArrow(count_texts(order, buckets, buffer), ROW)
     for level in range(order, 0, -1):
-        rows = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(write_level(folder, level, buckets, buffer), ROW)
+        rows = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(write_level(folder, level, order, buckets, buffer), ROW)
     model = Model(order, buckets, [Order() for _ in range(order)])
     for r in rows.select("level", "bucket", "path", "facts").collect():
         held = model.orders[r["level"] - 1]
