@@ -10,8 +10,8 @@ one scored frame and the metrics are one aggregate over it.
 
 from __future__ import annotations
 
+import json
 import time
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +27,7 @@ from foldwise.operators import features as FE
 from foldwise.operators import metrics as ME
 from foldwise.operators import splits as SP
 from foldwise.operators.lookup import bounded
+from foldwise.session import InheritableThreads
 from foldwise.sources import io as IO
 
 
@@ -105,8 +106,20 @@ def save_fitted(fitted: _Fitted, path: str, spark) -> None:
         raise TypeError(f"{type(m).__name__} can't be saved")
 
 
+def folds_at_a_time(folded: DataFrame, k: int, parallel: int | None) -> int:
+    """``parallel``, or all folds where the frame has few partitions beside the cores, so that one
+    fold's fit leaves them idle, and one where it fills them."""
+    if parallel:
+        return parallel
+    return k if folded.rdd.getNumPartitions() <= 4 * folded.sparkSession.sparkContext.defaultParallelism else 1
+
+
+def model_path(save_dir: str, model: str, variant: str, target: str, heldout: int) -> str:
+    return f"{save_dir}/{model}_{variant}_{target}_fold{heldout}"
+
+
 def run_folds(folded: DataFrame, model: str, variant: str, k: int, targets=("price",), params: dict | None = None,
-              save_dir: str | None = None, parallel: int = 1, carry=()):
+              save_dir: str | None = None, parallel: int | None = None, carry=()):
     """Fit one model per held-out fold and target, all targets on the same features.
 
     Location encodings are fitted on the price, whatever the target is.  A fold's
@@ -136,18 +149,15 @@ def run_folds(folded: DataFrame, model: str, variant: str, k: int, targets=("pri
             seconds += time.perf_counter() - begun
             out = fitted.predict(out, f"_p_{t}")
             if save_dir:
-                save_fitted(fitted, f"{save_dir}/{model}_{variant}_{t}_fold{h}", spark)
+                save_fitted(fitted, model_path(save_dir, model, variant, t, h), spark)
         begun = time.perf_counter()
         out = out.select("row_id", "heldout", "split", *[f"c_{c}" for c in carry], *[f"y_{t}" for t in targets], *[
             EN.invert_minmax(F.col(f"_p_{t}"), F.col(f"{t}__min"), F.col(f"{t}__max")).alias(f"pred_{t}")
             for t in targets]).checkpoint()
         return out, (h, seconds, time.perf_counter() - begun)
 
-    if parallel > 1:
-        with ThreadPoolExecutor(parallel) as ex:
-            results = list(ex.map(one_fold, range(k)))
-    else:
-        results = [one_fold(h) for h in range(k)]
+    with InheritableThreads(spark, folds_at_a_time(folded, k, parallel)) as pool:
+        results = pool.map(one_fold, range(k))
     scored = results[0][0]
     for p, _ in results[1:]:
         scored = scored.unionByName(p)
@@ -156,7 +166,7 @@ def run_folds(folded: DataFrame, model: str, variant: str, k: int, targets=("pri
 
 
 def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k: int = 5,
-                   target: str = "price", params: dict | None = None, parallel: int = 1,
+                   target: str = "price", params: dict | None = None, parallel: int | None = None,
                    save_dir: str | None = None, metrics_path: str | None = None):
     """L2 (+L5): k-fold CV of one model on one variant.
 
@@ -179,6 +189,33 @@ def cross_validate(folded: DataFrame, model: str = "dt", variant: str = "tgt", k
     return scored, fm, summary
 
 
+#: settings of a learner where ``params`` doesn't say otherwise
+DEFAULT_SETTINGS = {"dt": {"max_depth": 6, "min_leaf": 2}, "rf": {"num_trees": 100, "max_depth": 30, "min_leaf": 2},
+                    "gbt": {"rounds": 200, "step": 0.1, "max_depth": 5}, "boost": {"rounds": 20, "step": 0.1, "max_depth": 5},
+                    "mlp": {"hidden_dims": [32, 32], "lr": 1e-2, "epochs": 50, "batch_size": 0}}
+
+
+def evaluate_folds(folded: DataFrame, model: str, variant: str, save_dir: str, k: int = 5, targets=("price", "price_per_sqft"),
+                   area: str = "sqft_living", params: dict | None = None, parallel: int | None = None) -> DataFrame:
+    """A row per target, held-out fold and split: the five metrics in the target's own units,
+    what the model was given (features, settings as JSON, which encodings), how long fitting and
+    predicting took, and where the fold's model is saved."""
+    rows = FE.price_per_area(folded, "price", area, "price_per_sqft") if "price_per_sqft" in targets else folded
+    scored, timing, n = run_folds(rows, model, variant, k, targets, params, save_dir, parallel)
+    settings = json.dumps(DEFAULT_SETTINGS.get(model, {}) | (params or {}) | {"inputs": n}, sort_keys=True)
+    parts = None
+    for t in targets:
+        own = scored.select(F.lit(t).alias("target"), "heldout", "split", F.col(f"y_{t}").alias("y"), F.col(f"pred_{t}").alias("pred"), "n_features")
+        parts = own if parts is None else parts.unionByName(own)
+    m = ME.fold_split_metrics(parts.where(F.col("y").isNotNull()), ["target"]).drop("n_zero_target")
+    path = F.concat(F.lit(f"{save_dir}/{model}_{variant}_"), F.col("target"), F.lit("_fold"), F.col("heldout").cast("string"))
+    return m.join(F.broadcast(timing), "heldout").select(  # k rows
+        F.lit(model).alias("model"), F.lit(variant).alias("variant"), "target", "heldout", "split", "n",
+        F.lit(variant == "coord_only").alias("drop_address"), F.lit(variant in ("cat", "tgt_only")).alias("drop_coord"),
+        F.lit(n).alias("n_features"), F.lit(settings).alias("settings"), "fit_seconds", "predict_seconds", path.alias("model_path"),
+        *ME.METRIC_NAMES)
+
+
 def blend_members(both: DataFrame, model: str, variant: str):
     """The stack's second half: ``both`` has y, pred_a (price member) and pred_b (price per
     area x area) for each row, held-out fold and split.  The weight is searched on a

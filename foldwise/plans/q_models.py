@@ -19,7 +19,7 @@ from foldwise.operators import metrics as ME
 from foldwise.plans import cv as CV
 from foldwise.plans.q_splits_encoders import folded
 from foldwise.plans.registry import register
-from foldwise.plans.sqltext import ENGINEERED
+from foldwise.plans.sqltext import ENGINEERED, HASH_FOLD, SALES
 from foldwise.sources import io as IO
 from foldwise.sources.tables import sales
 
@@ -358,15 +358,55 @@ def l9_model_comparison(spark, sf_dir):
 
 @register("l5_fold_evaluation")
 def l5_fold_evaluation(spark, sf_dir):
-    """L5 + S6 + S11: fold-level evaluation of the tree model on cat: per fold and
-    split the five metrics, n_features, fit and predict seconds; models saved per fold."""
-    save = IO.scratch_path(spark, "fold-models")
-    _, fm, _ = CV.cross_validate(folded(spark, sf_dir), "dt", "cat", 5, save_dir=save)
-    return fm.select("model", "variant", "heldout", "split", "n", "n_features",
-                     "fit_seconds", "predict_seconds",
-                     _r("RMSE", 2).alias("RMSE"), _r("MAE", 2).alias("MAE"),
-                     _r("MAPE", 4).alias("MAPE"), _r("R2", 6).alias("R2"),
-                     _r("Adjusted_R2", 6).alias("Adjusted_R2"))
+    """L5 + S6 + S11: fold-level evaluation of the tree model on cat for the price and the price per area:
+    per target, fold and split the five metrics, features, settings, seconds, and the saved model's path."""
+    rows = CV.evaluate_folds(folded(spark, sf_dir), "dt", "cat", IO.scratch_path(spark, "fold-models"))
+    return rows.withColumns({"RMSE": _r("RMSE", 2), "MAE": _r("MAE", 2), "MAPE": _r("MAPE", 4), "R2": _r("R2", 6),
+                             "Adjusted_R2": _r("Adjusted_R2", 6)})
+
+
+@register("l5_saved_folds", "WITH " + ENGINEERED + """,
+e AS (SELECT row_id, price, price / nullif(sqft_living, 0) AS price_per_sqft, """ + HASH_FOLD + """ AS fold FROM engineered)
+SELECT target, CAST(range AS INTEGER) AS heldout, s AS split, count(CASE target WHEN 'price' THEN price ELSE price_per_sqft END) AS n, 14 AS n_features, 0 AS n_diff
+FROM e, (VALUES ('price'), ('price_per_sqft')) t(target), range(5), (VALUES ('train'), ('test')) p(s)
+WHERE (fold = range) = (s = 'test') GROUP BY ALL""")
+def l5_saved_folds(spark, sf_dir):
+    """L5 + S11: the rows of a fold evaluation against the models it saved: rows and features of each
+    target, fold and split, and rows whose prediction by the loaded model gives another error sum."""
+    f, save = folded(spark, sf_dir), IO.scratch_path(spark, "fold-models")
+    rows = CV.evaluate_folds(f, "dt", "cat", save, params={"max_depth": 4}).checkpoint()
+    priced = FE.price_per_area(f, "price", "sqft_living", "price_per_sqft").withColumns(
+        {"y_price": F.col("price"), "y_price_per_sqft": F.col("price_per_sqft")})
+    fp = EN.FoldPreprocessor(5, "cat", targets=("price", "price_per_sqft"))
+    st = fp.fit(priced)
+    assembler, out = VectorAssembler(inputCols=fp.feature_names(st), outputCol="features"), None
+    for r in rows.select("target", "heldout", "model_path").distinct().collect():  # targets x folds
+        t = r["target"]
+        frame = assembler.transform(fp.transform(priced, st, r["heldout"])).where(F.col(f"y_{t}").isNotNull())
+        pred = TR.load_model("DecisionTreeRegressionModel", r["model_path"]).transform(frame)
+        err = F.col(f"y_{t}") - EN.invert_minmax(F.col("prediction"), F.col(f"{t}__min"), F.col(f"{t}__max"))
+        m = pred.groupBy("split").agg(F.sqrt(F.avg(err * err)).alias("again")).select(
+            F.lit(t).alias("target"), F.lit(r["heldout"]).alias("heldout"), "split", "again").checkpoint()
+        out = m if out is None else out.unionByName(m)
+    both = rows.join(out, ["target", "heldout", "split"])
+    return both.select("target", "heldout", "split", "n", "n_features",
+                       (F.abs(F.col("RMSE") - F.col("again")) > 1e-9 * F.col("RMSE")).cast("int").alias("n_diff"))
+
+
+@register("j2_map_join", f"""WITH {SALES},
+c AS (SELECT quantile_cont(price, 0.995) AS cap FROM sales WHERE price > 0)
+SELECT row_id, lat, long, price AS actual, true AS z_ok, true AS clip_ok FROM sales, c
+WHERE price > 0 AND price <= cap AND lat IS NOT NULL AND long IS NOT NULL""")
+def j2_map_join(spark, sf_dir):
+    """J2 + L6: every coordinate row with its prediction, stored and read back; whether the z-score and
+    its clipped copy are what SQL makes of the stored predictions."""
+    raw = sales(spark, sf_dir)
+    path = IO.write_table(CV.map_table(FE.engineer(raw).checkpoint(), raw, "dt", "tgt"), IO.scratch_path(spark, "map"))
+    spark.read.parquet(path).createOrReplaceTempView("map_rows")
+    return spark.sql("""
+        WITH s AS (SELECT avg(actual) AS m, stddev_pop(actual) AS sd FROM map_rows)
+        SELECT row_id, lat, long, actual, abs(value_zscore - (pred - m) / sd) < 1e-9 AS z_ok,
+               abs(value_zscore_clipped - greatest(-3, least(3, (pred - m) / sd))) < 1e-9 AS clip_ok FROM map_rows CROSS JOIN s""")
 
 
 @register("m7_sgd_step", """
