@@ -11,12 +11,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from foldwise.functions.scalar import round_half
 from foldwise.models import trees as TR
 from foldwise.models.boosting import BoostedStages
 from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
 from foldwise.operators import metrics as ME
 from foldwise.plans import cv as CV
+from foldwise.plans.q_metrics_reports import _BASE as METRIC_CTES
 from foldwise.plans.q_splits_encoders import folded
 from foldwise.plans.registry import register
 from foldwise.plans.sqltext import ENGINEERED, HASH_FOLD, SALES
@@ -441,30 +443,104 @@ def l1_preprocess(spark, sf_dir):
     return counts
 
 
-def _study(parts: dict, only) -> "DataFrame":
-    """A study's reports one under the other: report, row as JSON text."""
+#: of each report of a study: what names a row (columns joined by /), and its numbers
+_PRICE_REPORTS = {
+    "summary": ((), ("count", "mean", "std", "min", "p25", "p50", "p75", "max")), "zero_count": ((), ("n_zero", "n")),
+    "threshold": ((), ("cap", "q99")), "outliers": (("row_id",), ("price", "sqft_living")),
+    "hist_raw": (("bin",), ("lo", "hi", "count")), "hist_positive": (("bin",), ("lo", "hi", "count")),
+    "hist_tail": (("bin",), ("lo", "hi", "count")), "hist_trimmed": (("bin",), ("lo", "hi", "count")),
+    "trimmed_summary": ((), ("count", "mean", "std", "min", "p25", "p50", "p75", "max")), "trimmed_median": ((), ("median",)),
+    "rank_band": (("row_id",), ("price_rank", "per_sqft_rank", "rank_change"))}
+_RESULT_REPORTS = {
+    "leaderboard": (("model", "variant"), ("adjusted_r2_test", "adjusted_r2_std")), "rf_variants": (("variant",), ("adjusted_r2_test",)),
+    "top_k": (("model", "variant"), ("adjusted_r2_test", "is_baseline")), "top_k_no_ensemble": (("model", "variant"), ("adjusted_r2_test", "is_baseline")),
+    "improvement": (("model", "variant"), ("rmse_reduction", "adj_r2_gain"))}
+
+
+def _study(parts: dict, reports: dict, digits: int) -> "DataFrame":
+    """A study's reports one under the other: report, item, field, value."""
     out = None
-    for name in only:
-        part = parts[name].select(F.lit(name).alias("report"), F.to_json(F.struct(*parts[name].columns)).alias("row"))
+    for name, (item, fields) in reports.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), round_half(F.col(f).cast("double"), digits).alias("value")) for f in fields]))
+        part = parts[name].select(F.lit(name).alias("report"), F.concat_ws("/", *[F.col(c).cast("string") for c in item]).alias("item"),
+                                  cells.alias("c")).select("report", "item", "c.field", "c.value")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@register("l7_price_study")
-def l7_price_study(spark, sf_dir):
-    """Every report of the price distribution study, as (report, row)."""
-    from foldwise.plans.studies import price_distribution_study
-    parts = price_distribution_study(sales(spark, sf_dir))
-    return _study(parts, parts)
+def _study_sql(tables: dict, reports: dict, digits: int) -> str:
+    """The same over SQL tables, report -> table."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS report, concat_ws('/', {', '.join(f'CAST({c} AS VARCHAR)' for c in item) or repr('')}) AS item, '{f}' AS field, "
+        f"round(CAST({f} AS DOUBLE), {digits}) AS value FROM {tables[name]}" for name, (item, fields) in reports.items() for f in fields)
+
+
+def _describe_sql(name: str, source: str) -> str:
+    return f"""{name} AS (
+  SELECT count(price) AS count, avg(price) AS mean, stddev_samp(price) AS std, min(price) AS min, quantile_cont(price, 0.25) AS p25,
+         quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.75) AS p75, max(price) AS max FROM {source})"""
 
 
-@register("l8_result_study")
+def _bins_sql(name: str, source: str, bins: int) -> str:
+    return f"""{name} AS (
+  WITH r AS (SELECT min(price) AS mn, max(price) AS mx FROM {source}),
+  b AS (SELECT CASE WHEN mx = mn THEN 0 ELSE least(floor((price - mn) / (mx - mn) * {bins}), {bins - 1}) END AS place, count(*) AS n
+        FROM {source}, r GROUP BY 1)
+  SELECT range AS bin, mn + (mx - mn) * range / {bins} AS lo, mn + (mx - mn) * (range + 1) / {bins} AS hi, coalesce(n, 0) AS count
+  FROM range({bins}) CROSS JOIN r LEFT JOIN b ON place = range)"""
+
+
+_PRICE_SQL = f"WITH {SALES}," + """
+threshold AS MATERIALIZED (SELECT quantile_cont(price, 0.999) AS cap, quantile_cont(price, 0.99) AS q99 FROM sales),
+zero_count AS (SELECT count_if(price = 0) AS n_zero, count(*) AS n FROM sales),
+outliers AS (SELECT row_id, price, sqft_living FROM sales, threshold WHERE price > cap),
+positive AS (SELECT price FROM sales WHERE price > 0), tail AS (SELECT price FROM sales, threshold WHERE price > q99),
+trimmed AS (SELECT price FROM sales, threshold WHERE price > 0 AND price <= cap),
+trimmed_median AS (SELECT median(price) AS median FROM trimmed),
+ranked AS (SELECT row_id, row_number() OVER (ORDER BY price DESC, row_id) AS price_rank,
+                  row_number() OVER (ORDER BY price / nullif(sqft_living, 0) DESC NULLS LAST, row_id) AS per_sqft_rank FROM sales),
+rank_band AS (SELECT *, price_rank - per_sqft_rank AS rank_change FROM ranked WHERE price_rank BETWEEN 10 AND 25),
+""" + ", ".join([_describe_sql("summary", "sales"), _describe_sql("trimmed_summary", "trimmed"), _bins_sql("hist_raw", "sales", 100),
+                 _bins_sql("hist_positive", "positive", 100), _bins_sql("hist_tail", "tail", 40), _bins_sql("hist_trimmed", "trimmed", 100)]) + " "
+
+
+@register("l7_price_study", _PRICE_SQL + _study_sql({r: r for r in _PRICE_REPORTS}, _PRICE_REPORTS, 4))
+def l7_price_study(spark, sf_dir):
+    """Every report of the price distribution study, as (report, item, field, value)."""
+    from foldwise.plans.studies import price_distribution_study
+    return _study(price_distribution_study(sales(spark, sf_dir).checkpoint()), _PRICE_REPORTS, 4)
+
+
+_RESULT_SQL = METRIC_CTES + """,
+adj AS (SELECT model, variant, value AS adjusted_r2_test, std AS adjusted_r2_std, model = 'rf' AND variant = 'cat' AS is_baseline
+        FROM ml WHERE split = 'test' AND metric = 'Adjusted_R2'),
+top_k AS (SELECT * FROM adj QUALIFY row_number() OVER (ORDER BY adjusted_r2_test DESC, model, variant) <= 7 OR is_baseline),
+top_k_no_ensemble AS (
+  SELECT * FROM adj WHERE NOT starts_with(model, 'ensemble')
+  QUALIFY row_number() OVER (ORDER BY adjusted_r2_test DESC, model, variant) <= 7 OR is_baseline),
+rf_variants AS (
+  SELECT o.variant, adjusted_r2_test FROM (VALUES ('tgt'), ('coord_only'), ('tgt_only'), ('cat')) o(variant)
+  LEFT JOIN (SELECT * FROM adj WHERE model = 'rf') a ON a.variant = o.variant),
+wide AS (SELECT model, variant, max(CASE WHEN metric = 'RMSE' THEN value END) AS rmse, max(CASE WHEN metric = 'Adjusted_R2' THEN value END) AS adj
+         FROM ml WHERE split = 'test' GROUP BY model, variant),
+improvement AS (
+  SELECT w.model, w.variant, (b.rmse - w.rmse) / b.rmse AS rmse_reduction, w.adj - b.adj AS adj_r2_gain
+  FROM wide w, (SELECT * FROM wide WHERE model = 'rf' AND variant = 'cat') b) """
+
+
+@register("l8_result_study", _RESULT_SQL + _study_sql({r: r for r in _RESULT_REPORTS} | {"leaderboard": "adj"}, _RESULT_REPORTS, 6) + """
+UNION ALL SELECT 'mean_std_table', model || '/' || variant, printf('%.4f ± %.4f', value, std), NULL FROM ml WHERE split = 'test' AND metric = 'Adjusted_R2'""")
 def l8_result_study(spark, sf_dir):
-    """Every report of the result study over the long metric table, as (report, row)."""
+    """Every report of the result study over the long metric table, as (report, item, field, value);
+    the table of texts has its text as the field."""
     from foldwise.plans.q_metrics_reports import metrics_long
     from foldwise.plans.studies import result_study
     parts = result_study(metrics_long(spark, sf_dir).checkpoint())
-    return _study(parts, parts)
+    table = parts["mean_std_table"]
+    cells = F.explode(F.create_map(*[x for c in table.columns if c != "model" for x in (F.lit(c), F.col(c))])).alias("variant", "field")
+    texts = table.select("model", cells).where("field is not null").select(
+        F.lit("mean_std_table").alias("report"), F.concat_ws("/", "model", "variant").alias("item"), "field", F.lit(None).cast("double").alias("value"))
+    return _study(parts, _RESULT_REPORTS, 6).unionByName(texts)
 
 
 @register("l4_grid_tree")
