@@ -20,6 +20,9 @@ LOOKUP_ROWS = 100_000
 
 def bounded(table: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     """``table``, computed and kept once, with a broadcast hint if it has at most ``rows`` rows."""
+    if held(table):  # few rows: nothing but these is computed
+        local = table.toArrow()
+        return F.broadcast(table.sparkSession.createDataFrame(local, table.schema).coalesce(1)) if local.num_rows <= rows else table.checkpoint()
     kept = table.checkpoint()
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
@@ -32,8 +35,8 @@ def tiny(table: DataFrame) -> DataFrame:
     """A table whose rows are bounded by folds and columns, computed once and held by the plan
     itself, in one partition: what is derived from it needs no shuffle and no second job.
     More than ``TINY_ROWS`` rows raise an error."""
-    rows = table.limit(TINY_ROWS + 1).collect()
-    if len(rows) > TINY_ROWS:
+    rows = table.limit(TINY_ROWS + 1).toArrow()
+    if rows.num_rows > TINY_ROWS:
         raise ValueError(f"a table of statistics has more than {TINY_ROWS} rows")
     return table.sparkSession.createDataFrame(rows, table.schema).coalesce(1)
 
@@ -41,8 +44,14 @@ def tiny(table: DataFrame) -> DataFrame:
 def small(table: DataFrame) -> DataFrame:
     """``table`` computed and kept once; held by the plan (see ``tiny``) if it has few rows."""
     kept = table.checkpoint()
-    rows = kept.limit(TINY_ROWS + 1).collect()
-    return table.sparkSession.createDataFrame(rows, kept.schema).coalesce(1) if len(rows) <= TINY_ROWS else kept
+    rows = kept.limit(TINY_ROWS + 1).toArrow()
+    return table.sparkSession.createDataFrame(rows, kept.schema).coalesce(1) if rows.num_rows <= TINY_ROWS else kept
+
+
+def held(df: DataFrame) -> bool:
+    """Whether all that ``df`` reads is held by its plan."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return all(leaves.apply(i).nodeName() == "LocalRelation" for i in range(leaves.size()))
 
 
 def spread(df: DataFrame) -> DataFrame:
