@@ -602,3 +602,23 @@ def l4_grid(spark, sf_dir):
     the stored predictions."""
     from foldwise.plans.grid import GridRun
     return grid_report(GridRun(folded(spark, sf_dir), IO.scratch_path(spark, "grid"), params=GRID_PARAMS).run())
+
+
+@register("l3_stored_stack", "WITH " + ENGINEERED + """,
+e AS (SELECT """ + HASH_FOLD + """ AS fold FROM engineered)
+SELECT CAST(range AS INTEGER) AS heldout, s AS split, count(*) AS n, true AS same
+FROM e, range(5), (VALUES ('train'), ('test')) p(s) WHERE (fold = range) = (s = 'test') GROUP BY ALL""")
+def l3_stored_stack(spark, sf_dir):
+    """L3: both members' predictions of a stack, stored and read back: rows of each held-out fold and split,
+    and whether its RMSE, MAE and R2 are what SQL makes of them with weights of its own search."""
+    members, fm, _, _ = CV.cross_validate_stack(folded(spark, sf_dir), "dt", "cat", 5, params={"max_depth": 4})
+    path = IO.write_table(members.select(F.lit("dt").alias("model"), F.lit("cat").alias("variant"), "heldout", "split", "y", "pred_a", "pred_b"),
+                          IO.scratch_path(spark, "stack"))
+    spark.read.parquet(path).createOrReplaceTempView("stack_predictions")
+    again = spark.sql(_STORED_SQL.format(p="stack_predictions")).where("mode = 'stack'").select("heldout", "split", "m_n", "m_rmse", "m_mae", "m_r2")
+    both = fm.join(again, ["heldout", "split"])
+
+    def near(a, b):
+        return F.abs(F.col(a) - F.col(b)) <= 1e-6 * F.abs(F.col(a))
+
+    return both.select("heldout", "split", "n", ((F.col("n") == F.col("m_n")) & near("RMSE", "m_rmse") & near("MAE", "m_mae") & near("R2", "m_r2")).alias("same"))
