@@ -38,16 +38,32 @@ LANGUAGES = 100
 REMEMBERED = 200_000
 
 
+#: word characters without digits and underscores: letters, and numerals that are neither
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @cache
-def letters() -> re.Pattern:
-    """Runs of Unicode letters: word characters without digits, underscores and other numerals."""
-    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numerals}]+")
+def numerals() -> tuple[re.Pattern, re.Pattern]:
+    """Word characters that are numbers, but not letters or decimal digits: those of the basic
+    plane, whose set is matched by a table, and the others."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    basic = "".join(c for c in found if not ASTRAL.match(c))
+    return re.compile(f"[{basic}]+"), re.compile(f"[{''.join(found[len(basic):])}]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters of a whole text, in lower case."""
-    return letters().findall(text.lower())
+    """Runs of Unicode letters of a whole text, in lower case."""
+    low = text.lower()
+    if not low.isascii():
+        basic, others = numerals()
+        if basic.search(low):
+            low = basic.sub(" ", low)
+        if ASTRAL.search(low):
+            low = others.sub(" ", low)
+    return LETTERS.findall(low)
 
 
 def grams_of(word: str, n: int) -> list[str]:
