@@ -552,7 +552,7 @@ def l4_grid_tree(spark, sf_dir):
 
 
 #: learners of the registered grid: production settings for the tree, smaller ones for the others
-GRID_PARAMS = {"rf": {"num_trees": 10, "max_depth": 6}, "boost": {"rounds": 5, "max_depth": 3}, "mlp": {"epochs": 2, "batch_size": 64}}
+GRID_PARAMS = {"rf": {"num_trees": 5, "max_depth": 5}, "boost": {"rounds": 3, "max_depth": 3}, "mlp": {"epochs": 2, "batch_size": 256}}
 
 _GRID_SQL = "WITH " + ENGINEERED + """,
 c AS (SELECT count(*) AS n FROM engineered)
@@ -601,7 +601,7 @@ def l4_grid(spark, sf_dir):
     kept frame, fits side by side; rows, features and folds of each, and its metrics against SQL over
     the stored predictions."""
     from foldwise.plans.grid import GridRun
-    return grid_report(GridRun(folded(spark, sf_dir), IO.scratch_path(spark, "grid"), params=GRID_PARAMS).run())
+    return grid_report(GridRun(folded(spark, sf_dir), IO.scratch_path(spark, "grid"), params=GRID_PARAMS, parallel=8).run())
 
 
 @register("l3_stored_stack", "WITH " + ENGINEERED + """,
