@@ -72,7 +72,9 @@ def hashed_tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
     import pyarrow.compute as pc
     import xxhash
-    body = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a slice is copied: cast, it keeps its distance from its array's start, which ascii_lower forgets
+    whole = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    body = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
     split = pc.ascii_split_whitespace(body)
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(pc.binary_length(body), 0).to_numpy(zero_copy_only=False)
