@@ -9,6 +9,8 @@ neighbours of each target rank are picked with a join against a table of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,18 @@ def _pick(placed: DataFrame, targets: DataFrame, keys) -> DataFrame:
     return j.select("q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
 
 
-def _targets(spark, qs, n: int):
+def _target_rows(qs, n: int) -> list[dict]:
+    """Of each quantile, the two ranks next to it and how far it lies between them."""
     rows = []
     for i, q in enumerate(qs):
         h = (n - 1) * q
         lo = int(h // 1)
-        hi = lo if h == lo else lo + 1
-        rows.append((i, q, lo, hi, h - lo))
+        rows.append({"qi": i, "q": q, "_lo": lo, "_hi": lo if h == lo else lo + 1, "_frac": h - lo})
+    return rows
+
+
+def _targets(spark, qs, n: int):
+    rows = [tuple(r.values()) for r in _target_rows(qs, n)]
     return spark.createDataFrame(rows, "qi int, q double, _lo bigint, _hi bigint, _frac double")
 
 
@@ -72,26 +79,26 @@ def quantiles_long(df: DataFrame, col: str, qs, method: str = "exact",
     if method == "sort":
         return _exact_by_sort(x, qs).checkpoint()
     eps = 2.0 / accuracy
-    sk = x.agg(F.count(F.lit(1)).alias("n"),
-               F.percentile_approx("_v", [max(q - eps, 0.0) for q in qs], accuracy).alias("lo"),
-               F.percentile_approx("_v", [min(q + eps, 1.0) for q in qs], accuracy).alias("hi")
-               ).first()   # one row: n and 2 x len(qs) sketch values
+    # one sketch for both ends of every bracket
+    ends = [max(q - eps, 0.0) for q in qs] + [min(q + eps, 1.0) for q in qs]
+    sk = x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", ends, accuracy).alias("ends")).first()
     n = sk["n"]
     if n == 0:
         return spark.createDataFrame([], "q double, value double")
     targets = _targets(spark, qs, n)
-    br = spark.createDataFrame([(i, float(sk["lo"][i]), float(sk["hi"][i])) for i in range(len(qs))],
+    lo, hi = sk["ends"][:len(qs)], sk["ends"][len(qs):]
+    br = spark.createDataFrame([(i, float(lo[i]), float(hi[i])) for i in range(len(qs))],
                                "qi int, _blo double, _bhi double")
-    inb = (F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi"))
-    tagged = x.crossJoin(F.broadcast(br))   # len(qs) bracket rows, broadcast
-    counts = tagged.groupBy("qi").agg(F.count_if(F.col("_v") < F.col("_blo")).alias("_below"),
-                                      F.count_if(F.col("_v") <= F.col("_bhi")).alias("_upto"))
-    chk = counts.join(targets, "qi").collect()   # len(qs) rows
-    ok = all(r["_below"] <= r["_lo"] and r["_upto"] > r["_hi"] for r in chk)
-    if not ok:
+    # rows below and up to each bracket: one row of counts
+    n_below = x.agg(*[F.count_if(F.col("_v") < F.lit(lo[i])).alias(f"b{i}") for i in range(len(qs))],
+                    *[F.count_if(F.col("_v") <= F.lit(hi[i])).alias(f"u{i}") for i in range(len(qs))]).first()
+    if any(n_below[f"b{i}"] > t["_lo"] or n_below[f"u{i}"] <= t["_hi"] for i, t in enumerate(_target_rows(qs, n))):
         return _exact_by_sort(x, qs).checkpoint()
-    below = spark.createDataFrame([(r["qi"], int(r["_below"])) for r in chk], "qi int, _below bigint")
-    cand = tagged.where(inb).groupBy("qi", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    below = spark.createDataFrame([(i, int(n_below[f"b{i}"])) for i in range(len(qs))], "qi int, _below bigint")
+    # values inside any bracket, counted first, then dealt to their brackets (few rows, broadcast)
+    inside = [(F.col("_v") >= F.lit(lo[i])) & (F.col("_v") <= F.lit(hi[i])) for i in range(len(qs))]
+    some = x.where(reduce(lambda a, b: a | b, inside)).groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    cand = some.crossJoin(F.broadcast(br)).where((F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi"))).select("qi", "_v", "_cnt")
     placed = with_global_position(cand, [F.col("qi").asc(), F.col("_v").asc()], "_pos",
                                   weight_col="_cnt")
     starts = placed.groupBy("qi").agg(F.min("_pos").alias("_start"))
