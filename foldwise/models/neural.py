@@ -560,41 +560,31 @@ class LinearLayer:
     def predict(self, df: DataFrame, feats: str = "x", out: str = "prediction") -> DataFrame:
         ship_package(df.sparkSession)
         W, b, act, _ = self._state()
-        schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-        def run(it):
-            for pdf in it:
-                x = _to_matrix(pdf[feats])
-                o = LinearLayer._act(x @ W + b, act)[0] if len(pdf) else np.zeros((0, W.shape[1]))
-                pdf[out] = list(o)
-                yield pdf
+        @F.pandas_udf("array<double>")  # Python sees this column only
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(LinearLayer._act(_to_matrix(x) @ W + b, act)[0]) if len(x) else [], dtype=object)
 
-        return df.mapInPandas(run, schema)
+        return df.withColumn(out, run(F.col(feats).cast("array<double>")))
 
     def input_gradient(self, df: DataFrame, feats: str, target: str, out: str = "grad") -> DataFrame:
         """M9: gradient of the summed loss with respect to each row's input."""
         ship_package(df.sparkSession)
         W, b, act, loss = self._state()
         dl = self._dloss
-        schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-        def run(it):
-            for pdf in it:
-                if not len(pdf):
-                    pdf[out] = []
-                    yield pdf
-                    continue
-                x = _to_matrix(pdf[feats])
-                y = _to_matrix(pdf[target])
-                z = x @ W + b
-                o, dact = LinearLayer._act(z, act)
-                g, _ = dl(o, y, loss)
-                if loss != "ce":
-                    g = g * dact
-                pdf[out] = list(g @ W.T)
-                yield pdf
-
-        return df.mapInPandas(run, schema)
+        @F.pandas_udf("array<double>")  # Python sees these two columns only
+        def run(features: pd.Series, wanted: pd.Series) -> pd.Series:
+            if not len(features):
+                return pd.Series([], dtype=object)
+            z = _to_matrix(features) @ W + b
+            o, dact = LinearLayer._act(z, act)
+            g, _ = dl(o, _to_matrix(wanted), loss)
+            if loss != "ce":
+                g = g * dact
+            return pd.Series(list(g @ W.T))
+
+        return df.withColumn(out, run(F.col(feats).cast("array<double>"), F.col(target).cast("array<double>")))
 
     def backward_target(self, df: DataFrame, feats: str, target: str, lr: float,
                         out: str = "h_target") -> DataFrame:
