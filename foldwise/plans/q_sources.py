@@ -10,6 +10,7 @@ from foldwise.functions.scalar import hash_fraction
 from foldwise.operators import encoders as EN
 from foldwise.operators import features as FE
 from foldwise.operators import splits as SP
+from foldwise.operators.lookup import discard, kept
 from foldwise.plans.q_metrics_reports import fold_metrics, metrics_long
 from foldwise.plans.registry import register
 from foldwise.plans.sqltext import ENGINEERED, HASH_KEY, SALES
@@ -51,7 +52,10 @@ def s3_engineered_parquet(spark, sf_dir):
 
 def _variant_frames(spark, sf_dir):
     from foldwise.plans.cv import base_variants
-    return base_variants(SP.train_test_split(FE.engineer(sales(spark, sf_dir)), 0.2, 42).checkpoint())
+    features = FE.engineer(sales(spark, sf_dir))
+    split = kept(SP.train_test_split(features, 0.2, 42))
+    discard(features)
+    return base_variants(split)
 
 
 _SPLIT_SQL = f"""WITH {ENGINEERED},
